@@ -109,18 +109,18 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     yield block
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with a struct column `found` of n_words, merged hit spans (starts, ends: word positions), items, and the
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, found_col: str = "found") -> DataFrame:
+    """docs with a struct column found_col of n_words, merged hit spans (starts, ends: word positions), items, and the
     longest verbatim match with its item and place (null where nothing matched).
 
     A window is `window` consecutive words of an item, or the whole item if it has fewer words but not none. Items with
     a null id are left out; items or documents without words or with a null text match nothing; repeated items count
-    once, repeated documents each on their own. A column `found` of docs is replaced; all others stay.
+    once, repeated documents each on their own. A column of docs of that name is replaced; all others stay.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c != "found"]
-    out = docs.select(*kept).withColumn("found", F.lit(None).cast(f"struct<n_words: bigint, {FOUND.replace(' ', ': ').replace(',: ', ', ')}>"))
-    schema, kind = out.schema, None
+    kept = [c for c in docs.columns if c != found_col]
+    out = docs.select(*kept).withColumn(found_col, F.lit(None).cast(f"struct<n_words: bigint, {FOUND.replace(' ', ': ').replace(',: ', ', ')}>"))
+    schema = out.schema
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words)):
         if k:
             out = stored(out, "decontamination")
@@ -137,7 +137,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
                         seqs.append(list(map(probes.ids.get, ws, (0,) * len(ws))))
                         size, end = size + len(ws), end + 1
                     part = b.slice(at, end - at)
-                    before = part.column("found").to_pylist()
+                    before = part.column(found_col).to_pylist()
                     doc, start, probe, matched = search(seqs, probes) if probes.item else [np.zeros(0, np.int64)] * 4
                     order = np.argsort(doc, kind="stable")
                     bounds = np.searchsorted(doc[order], np.arange(len(seqs) + 1))
@@ -154,7 +154,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
                                 new |= {"longest_words": int(matched[best]), "longest_item": probes.item[probe[best]], "longest_at": int(start[best])}
                         found.append(new)
                     at = end
-                    kind = part.schema.field("found").type
+                    kind = part.schema.field(found_col).type
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(part.num_columns - 1)), pa.array(found, kind)], names=part.schema.names)
 
         out = out.mapInArrow(run, schema)
@@ -172,8 +172,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The documents without a hit, with the columns of docs; rules as in find_matches."""
-    found = find_matches(docs, benchmark, window, text_col)
-    return found.where(F.size(F.col("found")["starts"]) == 0).select(*docs.columns) if "found" not in docs.columns else docs.join(found, [], "left_semi")
+    name = "found"
+    while name in docs.columns:
+        name += "_"
+    found = find_matches(docs, benchmark, window, text_col, found_col=name)
+    return found.where(F.size(F.col(name)["starts"]) == 0).select(*docs.columns)
 
 
 def op5_decontamination(spark, sf_dir):
