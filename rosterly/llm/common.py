@@ -13,6 +13,9 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Regular expressions of the same class, for Spark's functions.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+#: Keys (one or two integers each) that may be broadcast once they are counted; with more, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

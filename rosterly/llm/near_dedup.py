@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stored, table
+from .common import BROADCAST_IDS, Shared, stored, table
 from .hashing import WordHashes, mixed, runs
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
-#: Slots of the universe (a power of two), shingles in one block of members, ids that may be broadcast.
-SLOTS, BLOCK_SHINGLES, BROADCAST_IDS = 1 << 22, 1_000_000, 2_000_000
+#: Slots of the universe (a power of two), shingles in one block of members.
+SLOTS, BLOCK_SHINGLES = 1 << 22, 1_000_000
 SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, bands binary"
 
 

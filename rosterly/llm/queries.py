@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, near_dedup, quality_rules, sharding, token_counts
+from . import byte_bpe, decontamination, near_dedup, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-SQL = {"op5_decontamination": decontamination.SQL, "op10_quality_rules": quality_rules.SQL}
+SQL = {"op2_substring_dedup": substring_dedup.SQL, "op5_decontamination": decontamination.SQL, "op10_quality_rules": quality_rules.SQL}
