@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, near_dedup, quality_rules, sharding, substring_dedup, token_counts
+from . import byte_bpe, decontamination, lm_scoring, near_dedup, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
