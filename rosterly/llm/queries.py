@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, lm_scoring, near_dedup, quality_rules, sharding, substring_dedup, token_counts
+from . import byte_bpe, decontamination, lm_scoring, near_dedup, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
