@@ -6,19 +6,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterly.llm import byte_bpe, decontamination
+from rosterly.llm import byte_bpe, decontamination, near_dedup, quality_rules, secret_scan
 from rosterly.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy accepts."""
+    return quality_rules.accepted(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.deduplicated(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a secret."""
+    return secret_scan.without_secrets(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids and of the texts decoded from them."""
     return byte_bpe.encode_digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("decontaminate", decontaminate), ("encode", encode)]
+STAGES = [("quality", quality), ("deduplicate", deduplicate), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]
 #: The secret scan's forest is trained, which SQL cannot express.
 ORACLE_SQL = None
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, lm_scoring, near_dedup, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from . import byte_bpe, decontamination, lm_scoring, near_dedup, pii_surrogates, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
+    "op4_pii_surrogates": pii_surrogates.op4_pii_surrogates,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
