@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from rosterly.plans import solving
+
+QUERIES = {**solving.QUERIES}
+SQL = {**solving.SQL}
