@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterly.plans import solving
+from rosterly.plans import puzzles, solving
 
-QUERIES = {**solving.QUERIES}
-SQL = {**solving.SQL}
+QUERIES = {**solving.QUERIES, **puzzles.QUERIES}
+SQL = {**solving.SQL, **puzzles.SQL}
