@@ -152,13 +152,14 @@ def anonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     lists = stored(lists.where("_n > 0"), "lists")
     dropped(each)
     few = lists.count() <= BROADCAST_IDS
-    ids = lists.select("th")
-    base = docs.select(*kept).withColumn("_th", F.xxhash64(text))
-    has = base.join(F.broadcast(ids) if few else ids, F.col("_th") == F.col("th"), "left_semi").join(lists, F.col("_th") == F.col("th"))
+    lists = lists.withColumnsRenamed({"th": "_pii_key", "_put": "_pii_put", "_kinds": "_pii_kinds", "_n": "_pii_n"})
+    ids = lists.select("_pii_key")
+    base = docs.select(*kept).withColumn("_pii_key", F.xxhash64(text))
+    has = base.join(F.broadcast(ids) if few else ids, "_pii_key", "left_semi").join(lists, "_pii_key")
     between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_put"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    rewritten = has.withColumns({text_col: joined, "pii_mentions": F.col("_n"), "pii_kinds": F.col("_kinds")})
-    plain = base.join(F.broadcast(ids) if few else ids, F.col("_th") == F.col("th"), "left_anti").withColumns({"pii_mentions": F.lit(0).cast("bigint"), "pii_kinds": F.array().cast("array<string>")})
+    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_pii_put"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    rewritten = has.withColumns({text_col: joined, "pii_mentions": F.col("_pii_n"), "pii_kinds": F.col("_pii_kinds")})
+    plain = base.join(F.broadcast(ids) if few else ids, "_pii_key", "left_anti").withColumns({"pii_mentions": F.lit(0).cast("bigint"), "pii_kinds": F.array().cast("array<string>")})
     columns = [*kept, "pii_mentions", "pii_kinds"]
     return plain.select(*columns).unionByName(rewritten.select(*columns))
 
