@@ -81,3 +81,22 @@ def image_key(tail: Column) -> Column:
     """Two hexadecimal digits of the file name's MD5 and the name: percent codes decoded, blanks as underscores."""
     f = F.replace(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))), F.lit(" "), F.lit("_"))
     return F.concat(F.substr(F.md5(f), F.lit(1), F.lit(2)), f)
+
+
+def flag(cc: Column, parts: dict[str, str] | None = None) -> Column:
+    """The flag of a two-letter country code as two regional letters, empty for an unknown one. parts: codes that are
+    shown as another flag text, as a part of a country is for teams and leagues."""
+    letter = lambda k: F.get(F.array(*(F.lit(chr(0x1F1E6 + i)) for i in range(26))), F.ascii(F.substr(F.upper(cc), F.lit(k), F.lit(1))) - 65)
+    own = F.when(cc.rlike("^[A-Za-z]{2}$"), F.concat(letter(1), letter(2))).otherwise("")
+    for code, text in (parts or {}).items():
+        own = F.when(cc == code, text).otherwise(own)
+    return own
+
+
+def thumbnail(key: Column, base: str, width: int = 120) -> Column:
+    """The address of an image's thumbnail from its image key: vector images as .png, scans and documents as .jpg."""
+    prefix, name = F.substr(key, F.lit(1), F.lit(2)), F.substring(key, 3, 1 << 20)
+    coded = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    low = F.lower(name)
+    page, tail = F.when(low.rlike("[.](tiff?|pdf)$"), F.when(low.rlike("[.]pdf$"), "page1-").otherwise("lossy-page1-")).otherwise(""), F.when(low.rlike("[.]svg$"), ".png").when(low.rlike("[.](tiff?|pdf)$"), ".jpg").otherwise("")
+    return F.when(F.length(key) > 2, F.concat(F.lit(base), F.lit("/"), F.substr(prefix, F.lit(1), F.lit(1)), F.lit("/"), prefix, F.lit("/"), coded, F.lit("/"), page, F.lit(f"{width}px-"), coded, tail))

@@ -57,6 +57,17 @@ def violations(team: DataFrame, member: DataFrame, posting: DataFrame, league: D
     return reduce(DataFrame.unionByName, checks)
 
 
+def export_violations(rosters: DataFrame, n_members: int) -> DataFrame:
+    """(check, detail) of what is wrong with exported rosters: arrays of unequal length, a first step under 0, later
+    steps that are not positive, ids past the last member, tallies under -1."""
+    later = F.slice("delta", 2, F.greatest(F.size("delta"), F.lit(1)))
+    checks = [
+        ("arrays differ in length", (F.size("delta") != F.size("apps")) | (F.size("delta") != F.size("goals"))), ("steps", (F.get("delta", F.lit(0)) < 0) | F.exists(later, lambda x: x <= 0)),
+        ("id out of range", F.aggregate("delta", F.lit(0).cast("bigint"), lambda a, x: a + x) >= n_members), ("tally under -1", F.exists("apps", lambda x: x < -1) | F.exists("goals", lambda x: x < -1)),
+    ]
+    return reduce(DataFrame.unionByName, [rosters.where(bad).select(F.lit(name).alias("check"), F.col("team_id").cast("string").alias("detail")) for name, bad in checks])
+
+
 def missing_shards(shards: DataFrame, n: int) -> DataFrame:
     every = shards.sparkSession.range(n).select(F.col("id").cast("int").alias("shard"))
     return every.join(shards.select("shard").distinct(), "shard", "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterly.functions.names import dotted_initials
+
 #: Weights and limits of fame and ease; all are parameters of the functions through this one table.
 W = {"apps": 0.75, "goals": 3.0, "apps_cap": 260, "goals_cap": 70, "career": 0.4, "photo": 20.0, "full_season": 25, "unknown_apps": 12}
 
@@ -114,3 +116,12 @@ def pair_nationalities(answer: DataFrame) -> DataFrame:
 def reveal(top: DataFrame, n: int = 10) -> DataFrame:
     """The n most famous answers of each pair, and how many more there are."""
     return top.where(F.col("rank") <= n).withColumn("more", F.greatest(F.col("others") + 1 - n, F.lit(0)))
+
+
+def identikits(answer: DataFrame, posting: DataFrame, member: DataFrame, build_year: int) -> DataFrame:
+    """Per pair and answer what a hint may tell: dotted initials, decade of birth, nationality, tallies summed over both
+    teams (goals not of goalkeepers; unknown only if both are), and whether a spell at the pair reaches the build year."""
+    both = answer.select("team_a", "team_b", "member_id", F.explode(F.array("team_a", "team_b")).alias("team_id"))
+    told = both.join(posting, ["team_id", "member_id"]).groupBy("team_a", "team_b", "member_id").agg(F.sum("apps").alias("apps"), F.sum("goals").alias("goals"), F.coalesce(F.bool_or(F.col("last_year") >= build_year), F.lit(False)).alias("still_there"))
+    m = member.select("member_id", dotted_initials(F.col("name")).alias("initials"), (F.floor(F.col("birth") / 10) * 10).cast("int").alias("decade"), "nat", F.coalesce("gk", F.lit(False)).alias("gk"))
+    return told.join(m, "member_id").select("team_a", "team_b", "member_id", "initials", "decade", "nat", "apps", F.when(~F.col("gk"), F.col("goals")).alias("goals"), "still_there")

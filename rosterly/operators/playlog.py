@@ -104,3 +104,26 @@ def resolved_days(stored: DataFrame, team: DataFrame) -> DataFrame:
     """Days of (user_id, date, qid) whose teams are all known still; others must be drawn again."""
     j = stored.join(team.select("qid", F.lit(True).alias("known")), "qid", "left")
     return j.groupBy("user_id", "date").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("ok")).where("ok").select("user_id", "date")
+
+
+def hint_ranks(events: DataFrame, first_kind: str) -> DataFrame:
+    """Hint events with the rank of the answer that each reveals: as many stages' identikits as were spent before on the
+    same stage by hints of a kind that goes first. events: run_id, seq, stage, hint."""
+    w = Window.partitionBy("run_id", "stage").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("reveals", F.coalesce(F.count(F.when(F.col("hint") == first_kind, 1)).over(w), F.lit(0)) + 1)
+
+
+def stage_board(runs: DataFrame) -> DataFrame:
+    """One row per run and stage with its state: skipped, hinted or done before the current stage, current or failed at
+    it, to do or revealed after it. runs: run_id, stage, done, won, skipped_stages, hinted_stages."""
+    each = runs.select("*", F.explode(F.sequence(F.lit(0), F.lit(STAGES - 1))).alias("stage_at"))
+    passed = F.col("won") | (F.col("stage_at") < F.col("stage"))
+    state = F.when(F.array_contains("skipped_stages", F.col("stage_at")), "skipped").when(passed & F.array_contains("hinted_stages", F.col("stage_at")), "hinted").when(passed, "done").when(F.col("stage_at") == F.col("stage"), F.when(F.col("done"), "failed").otherwise("current")).otherwise(F.when(F.col("done"), "revealed").otherwise("to do"))
+    return each.select("run_id", "stage_at", state.alias("state"))
+
+
+def upgraded(stored: DataFrame, schema: str, current_hints: list[str]) -> DataFrame:
+    """Saved states (run_id, json) read with the current schema: missing lists are empty, hints that are no longer in use
+    are dropped. The schema names skipped (array) and hints (map)."""
+    s = stored.select("run_id", F.from_json("json", schema).alias("s")).select("run_id", "s.*")
+    return s.withColumn("skipped", F.coalesce("skipped", F.array().cast(s.schema["skipped"].dataType))).withColumn("hints", F.map_filter(F.coalesce("hints", F.create_map().cast(s.schema["hints"].dataType)), lambda k, v: k.isin(current_hints)))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rosterly.operators import clean, overlay, pairs, playlog, schedule
+from rosterly.functions.names import flag, image_key, thumbnail
+from rosterly.operators import clean, gate, overlay, pairs, playlog, schedule
 from rosterly.sources import adapter as A
+from rosterly.sources import export
 from rosterly.sources import statements as S
 
 QUERIES, SQL = {}, {}
@@ -356,3 +358,67 @@ def _(spark, d):
     ccs = one(n % 3 == 0, F.concat(F.lit("C"), n.cast("string")))
     rows = c.select(k.alias("member"), F.when(n % 3 == 1, F.array(F.lit("DD"))).otherwise(ccs).alias("ccs"), one(k % 4 == 0, F.concat(F.lit("S"), (n % 5).cast("string"))).alias("sport_ccs"), one(k % 2 == 1, F.lit("Q1")).alias("citizenships"))
     return clean.nationality(rows, spark.createDataFrame([("DD", "NEW"), ("YU", None)], "cc string, successor string"), spark.createDataFrame([("Q1", "FIX")], "citizenship string, cc string")).select("member", "nat")
+
+
+@query("identikits", ANSWERS + f""", t AS (SELECT team_a, team_b, a.member_id, CAST(sum(apps) AS BIGINT) AS apps, CAST(sum(goals) AS BIGINT) AS goals, coalesce(bool_or(last_year >= {A.BUILD_YEAR}), false) AS still_there FROM ans a JOIN posting p ON p.member_id = a.member_id AND p.team_id IN (a.team_a, a.team_b) GROUP BY 1, 2, 3)
+SELECT team_a, team_b, member_id, name[1:1] || '.' AS initials, CAST(birth // 10 * 10 AS INT) AS decade, nat, apps, CASE WHEN NOT gk THEN goals END AS goals, still_there FROM t JOIN member USING (member_id)""")
+def _(spark, d):
+    return pairs.identikits(_answers(spark, d), A.posting(spark, d), A.member(spark, d), A.BUILD_YEAR)
+
+
+@query("export_violations", """x AS (SELECT team_id, max(member_id) AS top FROM posting GROUP BY 1) SELECT 'id out of range' AS "check", CAST(team_id AS VARCHAR) AS detail FROM x WHERE top >= (SELECT count(*) FROM member) - 5""")
+def _(spark, d):
+    rosters, members = export.roster_export(A.posting(spark, d)), A.table(spark, d, "customer").count()
+    return gate.export_violations(rosters, members - 5)
+
+
+@query("hint_ranks", EVENTS + ", hh AS (SELECT * FROM ev WHERE kind = 'hint') SELECT run_id, seq, coalesce(count(*) FILTER (hint = '0') OVER (PARTITION BY run_id, stage ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS reveals FROM hh")
+def _(spark, d):
+    return playlog.hint_ranks(_events(spark, d).where("kind = 'hint'"), "0").select("run_id", "seq", "reveals")
+
+
+def _run_lists(spark, d):
+    """Final states of runs with the stages that hints were spent on; skipped stages are taken as the first ones."""
+    e = _events(spark, d)
+    hinted = playlog.hint_stages(e).groupBy("run_id").agg(F.collect_set("stage").alias("hinted_stages"))
+    none = F.array().cast("array<int>")
+    skipped = F.when(F.col("skipped") > 0, F.sequence(F.lit(0), F.col("skipped") - 1)).otherwise(none)
+    return playlog.fold(e).join(hinted, "run_id", "left").withColumns({"hinted_stages": F.coalesce("hinted_stages", none), "skipped_stages": skipped})
+
+
+RUN_LISTS = f"""fr AS ({FOLD_SQL}), hs AS (SELECT run_id, list(DISTINCT stage) AS h FROM (SELECT run_id, hint, arg_min(stage, seq) AS stage FROM ev2 WHERE kind = 'hint' GROUP BY 1, 2) GROUP BY 1),
+bd AS (SELECT fr.*, CAST(r.range AS INT) AS stage_at, r.range < skipped AS sk, coalesce(list_contains(h, CAST(r.range AS INT)), false) AS hi FROM fr LEFT JOIN hs USING (run_id) CROSS JOIN range(4) r)"""
+EV2 = EVENTS.replace("ev AS (", "ev2 AS (", 1)
+
+
+@query("stage_board", None)
+def _(spark, d):
+    return playlog.stage_board(_run_lists(spark, d))
+
+
+SQL["stage_board"] = f"WITH {EV2}, {RUN_LISTS} SELECT run_id, stage_at, CASE WHEN sk THEN 'skipped' WHEN (won OR stage_at < stage) AND hi THEN 'hinted' WHEN won OR stage_at < stage THEN 'done' WHEN stage_at = stage THEN CASE WHEN done THEN 'failed' ELSE 'current' END ELSE CASE WHEN done THEN 'revealed' ELSE 'to do' END END AS state FROM bd"
+
+
+@query("outcome_codes", None)
+def _(spark, d):
+    return playlog.outcome_codes(_run_lists(spark, d)).select("run_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), "").alias("codes"), playlog.share_line(F.col("codes")).alias("line"))
+
+
+SQL["outcome_codes"] = f"WITH {EV2}, {RUN_LISTS} SELECT run_id, string_agg(c, '' ORDER BY stage_at) AS codes, string_agg(CASE c WHEN 0 THEN '🟩' WHEN 1 THEN '🟨' WHEN 2 THEN '🟥' ELSE '⬜' END, '' ORDER BY stage_at) AS line FROM (SELECT run_id, stage_at, CASE WHEN sk THEN 2 WHEN won OR stage_at < stage THEN CASE WHEN hi THEN 1 ELSE 0 END WHEN stage_at = stage THEN 2 ELSE 3 END AS c FROM bd) GROUP BY 1"
+
+
+@query("resolved_days", "u AS (SELECT user_id, CAST(ts AS DATE) AS date, event_id % 40 AS q FROM events) SELECT user_id, date FROM u LEFT JOIN team ON team_id = q AND q % 9 <> 0 GROUP BY 1, 2 HAVING count(*) = count(team_id)")
+def _(spark, d):
+    e = A.table(spark, d, "events").select("user_id", F.to_date("ts").alias("date"), (F.col("event_id") % 40).alias("qid"))
+    return playlog.resolved_days(e, A.team(spark, d).where("team_id % 9 <> 0").select(F.col("team_id").alias("qid")))
+
+
+@query("flags", "SELECT n_nationkey, chr(CAST(127462 + n_nationkey % 26 AS INT)) || chr(127462 + 1) AS flag FROM nation")
+def _(spark, d):
+    cc = F.concat(F.char(F.col("n_nationkey") % 26 + 65), F.lit("b"))
+    return A.table(spark, d, "nation").select("n_nationkey", flag(cc).alias("flag"))
+
+
+@query("thumbnails", "k AS (SELECT member_id, substr(md5('photo_' || member_id || '.jpg'), 1, 2) AS p FROM member WHERE img IS NOT NULL) SELECT member_id, 'base/' || p[1:1] || '/' || p || '/photo_' || member_id || '.jpg/120px-photo_' || member_id || '.jpg' AS link FROM k")
+def _(spark, d):
+    return A.member(spark, d).where("img IS NOT NULL").select("member_id", thumbnail(image_key(F.replace("img", F.lit(" "), F.lit("%20"))), "base").alias("link"))
