@@ -38,6 +38,11 @@ def marquee_tallies(posting: DataFrame, statures: DataFrame, marquee: DataFrame,
     return own.groupBy("member_id").agg(F.sum(more("apps")).alias("m_apps"), F.sum(F.when(~F.coalesce("gk", F.lit(False)), more("goals")).otherwise(0.0)).alias("m_goals"))
 
 
+def digits(x: Column, k: int) -> Column:
+    """x to k digits, ties up, by arithmetic that engines do alike (their own rounding of ties differs)."""
+    return F.floor(x * 10.0**k + 0.5001) / 10.0**k
+
+
 def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
 
@@ -82,7 +87,7 @@ def answers(posting: DataFrame, member: DataFrame, statures: DataFrame, marquee:
     career = W["apps"] * rest("m_apps", "q_apps", W["apps_cap"]) + W["goals"] * rest("m_goals", "q_goals", W["goals_cap"])
     at_pair = W["apps"] * F.least(add("w_apps"), F.lit(float(W["apps_cap"]))) + W["goals"] * F.least(add("w_goals"), F.lit(float(W["goals_cap"])))
     fame = recency(age) * played + era(F.coalesce("birth", F.lit(0))) * (at_pair + W["career"] * career) + F.when(F.col("img").isNotNull(), W["photo"]).otherwise(0.0)
-    return full.select(F.col("team_id_a").alias("team_a"), F.col("team_id_b").alias("team_b"), "member_id", "birth", "nat", (F.col("mq_a").cast("int") + F.col("mq_b").cast("int")).alias("n_marquee"), F.round(fame, 6).alias("fame"))
+    return full.select(F.col("team_id_a").alias("team_a"), F.col("team_id_b").alias("team_b"), "member_id", "birth", "nat", (F.col("mq_a").cast("int") + F.col("mq_b").cast("int")).alias("n_marquee"), digits(fame, 6).alias("fame"))
 
 
 def ranked(answer: DataFrame) -> DataFrame:
@@ -104,9 +109,9 @@ def pair_facts(answer: DataFrame, team: DataFrame, lesser_cc: list[str]) -> Data
     over = lambda c: F.greatest(F.col(c) - 250, F.lit(0.0))
     ease = F.col("f1") + 0.3 * over("f2") + 0.18 * over("f3") + 0.1 * over("f4") + 2 * F.least("n", F.lit(25))
     lone = F.when((F.col("n_marquee") < 2) & (F.col("f2") < 430), F.least((430 - F.col("f2")) * 1.5, F.lit(150.0))).otherwise(0.0)
-    per = per.withColumn("e", F.round((ease - lone) * F.col("fa") * F.col("fb"), 6))
+    per = per.withColumn("e", digits((ease - lone) * F.col("fa") * F.col("fb"), 6))
     near = F.when(F.col("e") >= 500, F.when(F.col("n_marquee") == 2, 35.0).otherwise(-45.0 * (2 - F.col("n_marquee")))).otherwise(0.0)
-    return per.select("team_a", "team_b", "n", F.round(F.col("e") + near, 6).alias("ease"), "birth_known")
+    return per.select("team_a", "team_b", "n", digits(F.col("e") + near, 6).alias("ease"), "birth_known")
 
 
 def pair_nationalities(answer: DataFrame) -> DataFrame:

@@ -15,11 +15,26 @@ LESSER = ["AFRICA", "ASIA"]
 EPOCH = "2024-01-01"
 
 
+def _digits(sql: str) -> str:
+    """dgK(x) written out as pairs.digits does it; dg64 is six digits and then four."""
+    while (at := sql.find("dg")) >= 0 and sql[at + 2].isdigit():
+        opening = sql.index("(", at)
+        depth, end = 1, opening + 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[opening + 1 : end - 1]
+        for k in sql[at + 2 : opening]:
+            inner = f"(floor(({inner}) * 1e{k} + 0.5001) / 1e{k})"
+        sql = sql[:at] + inner + sql[end:]
+    return sql
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = A.oracle(sql)
+            SQL[name] = A.oracle(_digits(sql))
         return f
 
     return keep
@@ -82,39 +97,39 @@ def _side(x: str) -> str:
     return f"{x} AS (SELECT p.team_id, member_id, coalesce(apps = 0, false) AS zero, {pos('apps')} AS wa, {goals} AS wg, CASE WHEN {mq} THEN {pos('apps')} ELSE 0 END AS qa, CASE WHEN {mq} THEN {goals} ELSE 0 END AS qg, CAST({mq} AS INT) AS mq FROM posting p JOIN stature USING (team_id) JOIN member USING (member_id) LEFT JOIN marquee q USING (team_id))"
 
 
-ANSWERS = f"""{STATURE}, {TALLIES}, {_side('side')}, ans AS (SELECT a.team_id AS team_a, b.team_id AS team_b, member_id, birth, nat, a.mq + b.mq AS n_marquee, round(
+ANSWERS = f"""{STATURE}, {TALLIES}, {_side('side')}, ans AS (SELECT a.team_id AS team_a, b.team_id AS team_b, member_id, birth, nat, a.mq + b.mq AS n_marquee, dg6(
   CASE WHEN {A.BUILD_YEAR} - coalesce(birth, {A.BUILD_YEAR} - 99) <= 28 THEN 200 WHEN {A.BUILD_YEAR} - coalesce(birth, {A.BUILD_YEAR} - 99) <= 32 THEN 150 WHEN {A.BUILD_YEAR} - coalesce(birth, {A.BUILD_YEAR} - 99) <= 36 THEN 90 WHEN {A.BUILD_YEAR} - coalesce(birth, {A.BUILD_YEAR} - 99) <= 41 THEN 45 ELSE 10 END
   * least(1.0::DOUBLE, (CASE WHEN a.wa + b.wa = 0 THEN 12 ELSE a.wa + b.wa END) / 25) + (CASE WHEN birth >= 1970 THEN 1.0::DOUBLE WHEN birth >= 1955 THEN 0.85 WHEN birth >= 1940 THEN 0.65 ELSE 0.45 END)
-  * (0.75 * least(a.wa + b.wa, 260) + 3 * least(a.wg + b.wg, 70) + 0.4 * (0.75 * least(greatest(coalesce(m_apps, 0) - (a.qa + b.qa), 0), 260) + 3 * least(greatest(coalesce(m_goals, 0) - (a.qg + b.qg), 0), 70))) + CASE WHEN img IS NOT NULL THEN 20 ELSE 0 END, 6) AS fame
+  * (0.75 * least(a.wa + b.wa, 260) + 3 * least(a.wg + b.wg, 70) + 0.4 * (0.75 * least(greatest(coalesce(m_apps, 0) - (a.qa + b.qa), 0), 260) + 3 * least(greatest(coalesce(m_goals, 0) - (a.qg + b.qg), 0), 70))) + CASE WHEN img IS NOT NULL THEN 20 ELSE 0 END) AS fame
   FROM side a JOIN side b USING (member_id) JOIN member USING (member_id) LEFT JOIN tallies USING (member_id) WHERE a.team_id < b.team_id AND NOT a.zero AND NOT b.zero),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY round(fame, 4) DESC, member_id) AS rank, count(*) OVER (PARTITION BY team_a, team_b) - 1 AS others FROM ans)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY dg4(fame) DESC, member_id) AS rank, count(*) OVER (PARTITION BY team_a, team_b) - 1 AS others FROM ans)"""
 
 
 def _ranked(spark, d):
     """Ranked by fame rounded to four digits, so that engines agree on near-ties."""
-    return pairs.ranked(_answers(spark, d).withColumn("fame", F.round("fame", 4)))
+    return pairs.ranked(_answers(spark, d).withColumn("fame", pairs.digits(F.col("fame"), 4)))
 
 
-@query("fame_top_answers", ANSWERS + " SELECT team_a, team_b, member_id, round(fame, 3) AS fame, rank, others FROM ranked WHERE rank <= 3")
+@query("fame_top_answers", ANSWERS + " SELECT team_a, team_b, member_id, dg3(dg4(fame)) AS fame, rank, others FROM ranked WHERE rank <= 3")
 def _(spark, d):
-    return _ranked(spark, d).where("rank <= 3").select("team_a", "team_b", "member_id", F.round("fame", 3).alias("fame"), "rank", "others")
+    return _ranked(spark, d).where("rank <= 3").select("team_a", "team_b", "member_id", pairs.digits(F.col("fame"), 3).alias("fame"), "rank", "others")
 
 
 FACTS = f"""facts0 AS (SELECT team_a, team_b, count(*) AS n, max(n_marquee) AS nm, coalesce(max(CASE WHEN rank = 1 THEN fame END), 0) AS f1, coalesce(max(CASE WHEN rank = 2 THEN fame END), 0) AS f2, coalesce(max(CASE WHEN rank = 3 THEN fame END), 0) AS f3, coalesce(max(CASE WHEN rank = 4 THEN fame END), 0) AS f4,
   arg_min(coalesce(birth, -1), member_id) <> -1 AS birth_known FROM ranked GROUP BY 1, 2),
-facts1 AS (SELECT f.*, round((f1 + 0.3 * greatest(f2 - 250, 0) + 0.18 * greatest(f3 - 250, 0) + 0.1 * greatest(f4 - 250, 0) + 2 * least(f.n, 25) - CASE WHEN nm < 2 AND f2 < 430 THEN least((430 - f2) * 1.5, 150) ELSE 0 END)
-  * (CASE WHEN a.cc IN ('AFRICA', 'ASIA') THEN 0.93 ELSE 1.0 END)::DOUBLE * (CASE WHEN b.cc IN ('AFRICA', 'ASIA') THEN 0.93 ELSE 1.0 END)::DOUBLE, 6) AS e FROM facts0 f JOIN sizes a ON a.team_id = team_a JOIN sizes b ON b.team_id = team_b),
-facts AS (SELECT team_a, team_b, n, round(e + CASE WHEN e >= 500 THEN CASE WHEN nm = 2 THEN 35 ELSE -45 * (2 - nm) END ELSE 0 END, 6) AS ease, birth_known FROM facts1)"""
+facts1 AS (SELECT f.*, dg6((f1 + 0.3 * greatest(f2 - 250, 0) + 0.18 * greatest(f3 - 250, 0) + 0.1 * greatest(f4 - 250, 0) + 2 * least(f.n, 25) - CASE WHEN nm < 2 AND f2 < 430 THEN least((430 - f2) * 1.5, 150) ELSE 0 END)
+  * (CASE WHEN a.cc IN ('AFRICA', 'ASIA') THEN 0.93 ELSE 1.0 END)::DOUBLE * (CASE WHEN b.cc IN ('AFRICA', 'ASIA') THEN 0.93 ELSE 1.0 END)::DOUBLE) AS e FROM facts0 f JOIN sizes a ON a.team_id = team_a JOIN sizes b ON b.team_id = team_b),
+facts AS (SELECT team_a, team_b, n, dg6(e + CASE WHEN e >= 500 THEN CASE WHEN nm = 2 THEN 35 ELSE -45 * (2 - nm) END ELSE 0 END) AS ease, birth_known FROM facts1)"""
 
 
 def _facts(spark, d):
     sizes = _sizes(spark, d).select("team_id", F.col("cc").alias("league_cc"))
-    return pairs.pair_facts(_answers(spark, d).withColumn("fame", F.round("fame", 4)), sizes, LESSER)
+    return pairs.pair_facts(_answers(spark, d).withColumn("fame", pairs.digits(F.col("fame"), 4)), sizes, LESSER)
 
 
-@query("pair_ease", f"{ANSWERS.replace('ELSE 0 END, 6) AS fame', 'ELSE 0 END, 4) AS fame')}, {FACTS} SELECT team_a, team_b, n, round(ease, 2) AS ease, birth_known FROM facts")
+@query("pair_ease", f"{ANSWERS.replace('AS n_marquee, dg6(', 'AS n_marquee, dg64(')}, {FACTS} SELECT team_a, team_b, n, dg2(ease) AS ease, birth_known FROM facts")
 def _(spark, d):
-    return _facts(spark, d).withColumn("ease", F.round("ease", 2))
+    return _facts(spark, d).withColumn("ease", pairs.digits(F.col("ease"), 2))
 
 
 LADDER = [(0, 0, "star", "field", 2, 10**9, 545.0, 1e9, False), (0, 1, "star", "field", 2, 10**9, 470.0, 1e9, False), (1, 0, "star", "field", 3, 10**9, 425.0, 545.0, False), (1, 1, "star", "field", 2, 10**9, 350.0, 570.0, False), (2, 0, "field", "field", 2, 180, 140.0, 370.0, False), (2, 1, "field", "field", 2, 250, 0.0, 700.0, False), (3, 0, "obs", "any300", 1, 150, -1e9, 560.0, True), (3, 1, "obs", "any100", 1, 300, -1e9, 1000.0, False)]
@@ -125,13 +140,13 @@ def _ladder(spark):
 
 
 def _cands(spark, d):
-    return schedule.candidates(_facts(spark, d).withColumn("ease", F.round("ease", 2)), _pools(spark, d), _ladder(spark))
+    return schedule.candidates(_facts(spark, d).withColumn("ease", pairs.digits(F.col("ease"), 2)), _pools(spark, d), _ladder(spark))
 
 
 _PICK = lambda side, col: "CASE " + col + " " + " ".join(f"WHEN '{p}' THEN {side}.{p}" for p in ("star", "sub", "field", "obs", "any300", "any100")) + " END"
-CANDS = f"""{ANSWERS.replace('ELSE 0 END, 6) AS fame', 'ELSE 0 END, 4) AS fame')}, {FACTS}, {POOLS}, ladder(stage, tier, pool_a, pool_b, min_n, max_n, ease_lo, ease_hi, need_birth) AS (VALUES {', '.join(str(x).replace('True', 'true').replace('False', 'false') for x in LADDER)}),
-c0 AS (SELECT CAST(stage AS INT) AS stage, CAST(tier AS INT) AS tier, f.team_a AS lo, f.team_b AS hi, f.n, round(ease, 2) AS ease, ({_PICK('a', 'pool_a')}) AND ({_PICK('b', 'pool_b')}) AS straight, ({_PICK('b', 'pool_a')}) AND ({_PICK('a', 'pool_b')}) AS turned
-  FROM facts f JOIN pools a ON a.team_id = team_a JOIN pools b ON b.team_id = team_b JOIN ladder l ON f.n BETWEEN min_n AND max_n AND round(ease, 2) >= ease_lo AND round(ease, 2) < ease_hi AND (NOT need_birth OR birth_known)),
+CANDS = f"""{ANSWERS.replace('AS n_marquee, dg6(', 'AS n_marquee, dg64(')}, {FACTS}, {POOLS}, ladder(stage, tier, pool_a, pool_b, min_n, max_n, ease_lo, ease_hi, need_birth) AS (VALUES {', '.join(str(x).replace('True', 'true').replace('False', 'false') for x in LADDER)}),
+c0 AS (SELECT CAST(stage AS INT) AS stage, CAST(tier AS INT) AS tier, f.team_a AS lo, f.team_b AS hi, f.n, dg2(ease) AS ease, ({_PICK('a', 'pool_a')}) AND ({_PICK('b', 'pool_b')}) AS straight, ({_PICK('b', 'pool_a')}) AND ({_PICK('a', 'pool_b')}) AS turned
+  FROM facts f JOIN pools a ON a.team_id = team_a JOIN pools b ON b.team_id = team_b JOIN ladder l ON f.n BETWEEN min_n AND max_n AND dg2(ease) >= ease_lo AND dg2(ease) < ease_hi AND (NOT need_birth OR birth_known)),
 cands AS (SELECT stage, tier, CASE WHEN straight THEN lo ELSE hi END AS team_a, CASE WHEN straight THEN hi ELSE lo END AS team_b, n, ease FROM c0 WHERE straight OR turned)"""
 
 
