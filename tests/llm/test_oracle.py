@@ -2,7 +2,6 @@
 
 import pytest
 
-pytest.importorskip("rosterly.llm.queries")
 from rosterly.llm import queries
 from tests.compare import connect
 
