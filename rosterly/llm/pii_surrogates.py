@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, dropped, stored, table
+from .common import BROADCAST_IDS, dropped, let, stored, table
 
 #: Titles and the gender that they tell ("" for none). Names follow in capitals, in Latin, Cyrillic or Greek script.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
@@ -58,7 +58,7 @@ def gender_of(mention: Column) -> Column:
 def _stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
     """Keyed numbers 0-255 for an entity: 64 of them, repeated where more are asked for."""
     bytes_ = lambda part: F.sha2(F.concat_ws("\u0000", F.lit(key), kind, entity, attempt.cast("string"), F.lit(part)), 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substr(F.concat(bytes_("a"), bytes_("b")), i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return let(F.concat(bytes_("a"), bytes_("b")), lambda h: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def _drawn(signs: Column, r: Column, keep: int = 0) -> Column:
@@ -94,12 +94,15 @@ def _name(entity: Column, gender: Column, r: Column) -> Column:
 
 def _surrogate(key: str, attempt: Column) -> Column:
     kind, entity = F.col("kind"), F.col("entity")
-    r = _stream(key, kind, entity, attempt)
     domain = F.substring_index(entity, "@", -1)
-    rd = _stream(key, F.lit("domain"), domain, F.lit(0))
-    email = F.concat(_drawn(F.substring_index(entity, "@", 1), r), F.lit("@"), _drawn(F.regexp_replace(domain, r"\.[^.]+$", ""), rd), F.lit("."), F.substring_index(domain, ".", -1))
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.get(r, i), F.when(i == 0, 223).otherwise(254)) + 1).cast("string")), ".")
-    return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", _luhn(_drawn(entity, r, 1))).when(kind == "phone", _drawn(entity, r, 1)).when(kind == "iban", _drawn(entity, r, 2)).when(kind == "person", _name(entity, F.col("gender"), r)).otherwise(_drawn(entity, r))
+
+    def made(r: Column, rd: Column) -> Column:
+        email = F.concat(_drawn(F.substring_index(entity, "@", 1), r), F.lit("@"), _drawn(F.regexp_replace(domain, r"\.[^.]+$", ""), rd), F.lit("."), F.substring_index(domain, ".", -1))
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.get(r, i), F.when(i == 0, 223).otherwise(254)) + 1).cast("string")), ".")
+        return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", _luhn(_drawn(entity, r, 1))).when(kind == "phone", _drawn(entity, r, 1)).when(kind == "iban", _drawn(entity, r, 2)).when(kind == "person", _name(entity, F.col("gender"), r)).otherwise(_drawn(entity, r))
+
+    drawn = F.struct(_stream(key, kind, entity, attempt).alias("r"), _stream(key, F.lit("domain"), domain, F.lit(0)).alias("d"))
+    return let(drawn, lambda s: made(s["r"], s["d"]))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
