@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, table
+from .common import Shared, table, trimmed
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-CACHE_SIZE, CACHED_LENGTH = 400_000, 48
+CACHE_SIZE, CACHED_LENGTH = 150_000, 48
 #: The first character of the byte alphabet; the 256 that follow have no white space, mark or special meaning.
 FIRST = 0x4E00
 
@@ -87,6 +87,7 @@ def _pass(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
 
         return regex.compile(pattern).findall, Encoded(ranks, CACHE_SIZE).__getitem__, {r: p for p, r in ranks.items()}.__getitem__
 
+    @trimmed
     def run(batches):
         split, ids_of, piece_of = shared.get(coder)
         for b in batches:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +64,20 @@ class Shared:
         return Shared._made[self.key]
 
 
+def trimmed(run):
+    """run for mapInArrow that, once a task's batches are done, returns freed memory to the system: Python workers are
+    kept for later tasks, of whatever operator, and would hold on to their peak."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: optimisers may copy a projected expression into every use."""
     return F.transform(F.array(value), body)[0]

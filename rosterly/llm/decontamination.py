@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stored, table
+from .common import Shared, stored, table, trimmed
 
 WINDOW = 10
 #: Words of benchmark text in one broadcast block, and bytes of suffix keys in one shard.
@@ -126,6 +126,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
             out = stored(out, "decontamination")
         shared = Shared(spark, (block, window))
 
+        @trimmed
         def run(batches, shared=shared):
             probes = shared.get(lambda value: Probes(*value))
             for b in batches:

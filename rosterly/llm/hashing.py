@@ -12,7 +12,7 @@ BASE = 0x9E3779B97F4A7C15
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered for as many words as there is room for."""
 
-    def __init__(self, room: int = 500_000):
+    def __init__(self, room: int = 150_000):
         super().__init__()
         self.room = room
 

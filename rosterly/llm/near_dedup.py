@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Shared, stored, table
+from .common import BROADCAST_IDS, Shared, stored, table, trimmed
 from .hashing import WordHashes, mixed, runs
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
@@ -67,6 +67,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, set size, set hash and bands of each row; bands are empty for an empty set."""
     shared = Shared(docs.sparkSession, 1)
 
+    @trimmed
     def run(batches):
         c = shared.get(Circulant)
         for b in batches:
@@ -84,6 +85,7 @@ def signed(docs: DataFrame) -> DataFrame:
 def banded(reps: DataFrame) -> DataFrame:
     """(rep, n_shingles, band, key) for every band of a class."""
 
+    @trimmed
     def run(batches):
         for b in batches:
             raw = np.frombuffer(b"".join(x.as_py() for x in b.column("bands")), np.int64)
@@ -102,6 +104,7 @@ def of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def set_table(docs: DataFrame) -> DataFrame:
     shared = Shared(docs.sparkSession, 1)
 
+    @trimmed
     def run(batches):
         hashes = shared.get(lambda _: WordHashes())
         for b in batches:
@@ -120,6 +123,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
+    @trimmed
     def run(batches):
         for b in batches:
             yes = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("sa"), b.column("sb"))]
