@@ -22,9 +22,15 @@ KEY_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?
 HASH_WORD = r"(?i)^(commit|sha\d*|md5|checksum|hash|digest|etag|uuid|guid|revision|integrity)[:=]?$"
 PLACEHOLDER = r"(?i)(example|sample|changeme|your[_-]|xxxx|0000|1234|dummy|placeholder|redacted|test)"
 SAFE_PATH, RISKY_PATH = r"(?i)(test|example|sample|fixture|docs?/|mock)", r"(?i)(config|\.env|secret|credential|deploy|settings|\.pem|\.key)"
-#: A candidate is a run of 16 or more of these signs with a digit, or of 20 or more, or what a key name is set to.
+#: A candidate is a run of 16 or more of these signs with a digit, or of 20 or more, a known format anywhere in a word,
+#: or what a key name is set to: up to the closing quote or, without one, to a blank, quote, comma, semicolon or the
+#: next parameter of a query. A word may hold many.
 SIGN = r"A-Za-z0-9+/_=.\-"
 LONG = rf"[{SIGN}]{{16,}}"
+ANYWHERE = r"(?<![A-Z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Z0-9])|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+"
+QUOTED = r"(?<=\")(?:(?!\\?\")\S){8,}|(?<=')(?:(?!\\?')\S){8,}"
+ASSIGNED = KEY_NAME + r"(?:\\?[\"'])?\s*[=:]\s*(?:\\?[\"'])?(" + QUOTED + r"|(?<![\"'])(?:(?!\\?[\"']|&(?:amp;)?[\w.-]+=)[^\s,;]){8,})"
+EDGES = "\"'`,;:()[]{}<>."
 FEATURES = ("length", "transitions", "distinct", "digits", "upper", "hex", "coverage", "named", "assigned", "hash_near", "placeholder", "safe_path", "risky_path", "slashes")
 
 
@@ -36,13 +42,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     at = w.where(F.size("w") > 0).select("row_key", "path", "w", F.explode(some).alias("i"))
     word = F.get("w", F.col("i"))
     near = at.select("row_key", "path", word.alias("word"), F.coalesce(F.get("w", F.col("i") - 1), F.lit("")).alias("b1"), F.coalesce(F.get("w", F.col("i") - 2), F.lit("")).alias("b2"))
-    set_to = F.regexp_extract("word", KEY_NAME + r"[\"']?\s*[=:]\s*[\"']?([^\s\"',;]{8,})", 3)
-    bare = F.btrim("word", F.lit("\"'`,;:()[]{}<>."))
-    value = F.when(set_to != "", set_to).otherwise(F.regexp_extract(bare, rf"([{SIGN}]{{8,}})", 1))
     before = F.when(F.col("b1").rlike(r"^\W*[=:]\W*$"), F.concat_ws(" ", "b2", "b1")).otherwise(F.col("b1"))
-    name = F.when(set_to != "", F.regexp_extract("word", KEY_NAME, 0)).otherwise(F.regexp_extract(before, KEY_NAME, 0))
-    found = near.select("row_key", "path", value.alias("value"), before.alias("before"), name.alias("name"), ((set_to != "") | before.rlike(r"[=:]\W*$")).alias("set"))
-    return found.where((F.length("value") >= 20) | ((F.length("value") >= 16) & F.col("value").rlike(r"\d")) | ((F.col("name") != "") & F.col("set") & (F.length("value") >= 8)))
+    near = near.select("row_key", "path", "word", F.btrim("word", F.lit(EDGES)).alias("bare"), before.alias("before"), F.regexp_extract(before, KEY_NAME, 0).alias("near_name"), before.rlike(r"[=:]\W*$").alias("near_set"))
+    # the word as a whole where the word before sets a key name: what its first quotes hold, else all of it
+    quoted = F.regexp_extract("word", rf"^[(\[{{]*\\?[\"']({QUOTED})", 1)
+    set_before = (F.col("near_name") != "") & F.col("near_set")
+    near = near.withColumns({"quoted": F.when(set_before, quoted).otherwise(""), "whole": F.when(set_before & (quoted == ""), F.col("bare")).otherwise(""), "names": F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1)), "values": F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(3))})
+    plain = F.col("whole").rlike(r"^[^\"',;{}]+$")  # nothing but the one value
+    left = F.when(F.col("quoted") != "", F.replace("word", F.col("quoted"), F.lit(" "))).otherwise(F.col("bare"))
+    near = near.withColumns({"rest": F.when(plain, "").otherwise(F.regexp_replace(left, ASSIGNED, " ")), "inside": F.concat("values", F.array(F.col("quoted"), F.when(plain, F.col("whole")).otherwise("")))})
+    known = lambda text: F.regexp_extract_all(text, F.lit(ANYWHERE), F.lit(0))
+    nested = F.flatten(F.transform("inside", lambda v: F.filter(known(v), lambda k: k != v)))
+    runs = F.transform(F.regexp_extract_all(F.regexp_replace("rest", ANYWHERE, " "), F.lit(LONG), F.lit(0)), lambda v: F.btrim(v, F.lit(".")))
+    item = lambda value, name, set_: F.struct(value.alias("value"), name.alias("name"), set_.alias("set"))
+    by_near = lambda v: item(v, F.col("near_name"), F.col("near_set"))
+    each = F.concat(F.zip_with("values", "names", lambda v, k: item(v, k, F.lit(True))), F.transform(F.concat(F.filter(F.array("quoted", "whole"), lambda v: v != ""), known(F.col("rest")), nested, runs), by_near))
+    found = near.select("row_key", "path", "before", F.explode(each).alias("c")).select("row_key", "path", "c.value", "before", "c.name", "c.set")
+    return found.where((F.length("value") >= 20) | ((F.length("value") >= 16) & F.col("value").rlike(r"\d")) | F.col("value").rlike(KNOWN) | ((F.col("name") != "") & F.col("set") & (F.length("value") >= 8)))
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -82,7 +98,7 @@ def labelled(feats: DataFrame) -> DataFrame:
     """Findings whose label is certain: published formats, and mixed values set to a key name, are secrets (1); values
     of letters alone, paths, placeholders and values next to a hash word are not (0). Others have no label."""
     v = F.col("value")
-    not_secret = v.rlike(r"^[A-Za-z]+$") | (F.col("placeholder") == 1) | (F.col("hash_near") == 1) | v.rlike(r"^(\.?/[a-z0-9_.-]+){2,}$")
+    not_secret = v.rlike(r"^\p{L}+$") | (F.col("placeholder") == 1) | (F.col("hash_near") == 1) | v.rlike(r"^(\.?/[a-z0-9_.-]+){2,}$")
     secret = v.rlike(KNOWN) | ((F.col("named") == 1) & (F.col("assigned") == 1) & v.rlike(r"\d") & v.rlike("[A-Za-z]") & (F.col("distinct") > 0.2))
     return feats.withColumn("label", F.when(not_secret, 0.0).when(secret, 1.0)).where(F.col("label").isNotNull())
 
