@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, stored, table, words
 
-#: Labelled findings at most for the forest, and documents whose words make the dictionary of letter triples.
-TRAIN_ROWS, DICTIONARY_DOCS, SYNTHETIC_ROWS = 20_000, 2_000, 1_200
+#: Labelled findings at most for the forest, and findings made by a rule.
+TRAIN_ROWS, SYNTHETIC_ROWS = 20_000, 1_200
+#: The least part of all letter triples of the corpus with which a triple is in the dictionary.
+TRIPLE_SHARE = 1e-6
 #: Published prefixes of credentials, key names, words next to hashes and words of placeholders.
 KNOWN = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^sk_live_[0-9A-Za-z]{16,}$|^AIza[0-9A-Za-z_-]{35}$|^eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+$"
 KEY_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
@@ -71,10 +73,12 @@ def _triples(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3))), lambda x: x.rlike("^[a-z]{3}$")))
 
 
-def dictionary(docs: DataFrame, n_docs: int = DICTIONARY_DOCS) -> DataFrame:
-    """Letter triples of the words of n_docs documents, at most 26^3 of them."""
-    w = docs.where(F.length("text") <= 200_000).select("text").limit(n_docs).select(F.explode(F.array_distinct(words(F.col("text")))).alias("w")).where(F.col("w").rlike(r"^\p{L}{3,14}\W?$"))
-    return w.select(F.explode(_triples(F.col("w"))).alias("triple")).distinct()
+def dictionary(docs: DataFrame, share: float = TRIPLE_SHARE) -> DataFrame:
+    """Letter triples, at most 26^3, that make a share of all triples in the words of docs. Words are counted first."""
+    w = docs.select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike(r"^\p{L}{3,14}\W?$"))
+    per = w.select(F.explode(_triples(F.col("w"))).alias("triple"), "n").groupBy("triple").agg(F.sum("n").alias("n"))
+    total = per.agg(F.sum("n").alias("total"))
+    return per.join(F.broadcast(total), F.col("n") >= F.col("total") * share).select("triple")
 
 
 def features(found: DataFrame, triples: DataFrame) -> DataFrame:

@@ -43,3 +43,11 @@ def test_secrets_in_csv_and_minified_json(spark):
     got = {r.doc_id: r.secrets for r in secret_scan.scan(docs).collect()}
     assert got == {0: [keys[0]], 1: sorted(keys[1:]), 2: []}
     assert [r.doc_id for r in secret_scan.without_secrets(docs).collect()] == [2]
+
+
+def test_dictionary_of_all_documents(spark):
+    """Words of long texts and of rows after the first thousands count; what is very rare does not."""
+    rows = [(i, "", "ber kon tiber") for i in range(2500)] + [(2500, "", "zurxq " * 40_000), (2501, "", "Wolga wolga")]
+    docs = spark.createDataFrame(rows, "row_key long, path string, text string").coalesce(1)
+    assert {r.triple for r in secret_scan.dictionary(docs).collect()} == {"ber", "kon", "tib", "ibe", "zur", "urx", "rxq", "wol", "olg", "lga"}
+    assert "wol" not in {r.triple for r in secret_scan.dictionary(docs, 1e-3).collect()}
