@@ -35,6 +35,8 @@ HINT = rf"@|[0-9][ .()-]?[0-9]|{'|'.join(TITLES)}"
 SYLLABLES = {"latin": "ba be bo da de do fa ga ka ke la le lo ma me mi na ne no ra re ri ro sa se so ta te ti va vi".split(), "cyrillic": "ба бе во да де до ка ко ла ле ло ма ме ми на не но ра ре ри ро са се со та те ти ва ви за".split(), "greek": "βα γα γε δα δε θα κα κε λα λε λο μα με μι να νε νο πα πε ρα ρε ρι ρο σα σε σο τα τε τι φι".split()}
 ENDINGS = {"latin": {"m": "n", "f": "na", "": "s"}, "cyrillic": {"m": "н", "f": "на", "": "с"}, "greek": {"m": "ν", "f": "να", "": "ς"}}
 MAX_ROUNDS = 40
+#: Rounds after which what is drawn grows, and the place of the numbers for it in an entity's stream.
+GROW, SPARE = 2, 32
 
 
 def mentions(text: Column) -> Column:
@@ -79,29 +81,34 @@ def _luhn(signs: Column) -> Column:
     return F.concat(body, F.pmod(-_check_sum(body, 0), F.lit(10)).cast("string"))
 
 
-def _name(entity: Column, gender: Column, r: Column) -> Column:
-    """A made-up name of as many parts and the same script; its first part ends as the gender does."""
+def _name(entity: Column, gender: Column, r: Column, more: int = 0) -> Column:
+    """A made-up name of as many parts and the same script; its first part has `more` further syllables and ends as the
+    gender does."""
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
     def one(s: str) -> Column:
         table_ = F.array(*(F.lit(x) for x in SYLLABLES[s]))
         syllable = lambda i: F.get(table_, F.pmod(F.get(r, F.pmod(i, F.lit(64))), F.lit(len(SYLLABLES[s]))))
         end = F.when(gender == "m", ENDINGS[s]["m"]).when(gender == "f", ENDINGS[s]["f"]).otherwise(ENDINGS[s][""])
-        return F.array_join(F.transform(F.split(entity, " "), lambda w, k: F.concat(F.initcap(F.concat(syllable(k * 4), syllable(k * 4 + 1), F.when(F.get(r, k * 4 + 2) % 2 == 0, syllable(k * 4 + 3)).otherwise(""))), F.when(k == 0, end).otherwise(ENDINGS[s][""]))), " ")
+        further = F.concat(F.lit(""), *(syllable(F.lit(SPARE + i)) for i in range(more)))
+        return F.array_join(F.transform(F.split(entity, " "), lambda w, k: F.concat(F.initcap(F.concat(syllable(k * 4), syllable(k * 4 + 1), F.when(F.get(r, k * 4 + 2) % 2 == 0, syllable(k * 4 + 3)).otherwise(""), F.when(k == 0, further).otherwise(""))), F.when(k == 0, end).otherwise(ENDINGS[s][""]))), " ")
 
     return F.when(script == "cyrillic", one("cyrillic")).when(script == "greek", one("greek")).otherwise(one("latin"))
 
 
-def _surrogate(key: str, attempt: Column) -> Column:
-    kind, entity = F.col("kind"), F.col("entity")
+def _surrogate(key: str, attempt: int) -> Column:
+    """The draw of a round. Names and the local parts of emails have one more syllable or letter every GROW rounds, and
+    an email that collided gets another domain too, so there are enough of them for any number of entities."""
+    kind, entity, more = F.col("kind"), F.col("entity"), attempt // GROW
     domain = F.substring_index(entity, "@", -1)
 
     def made(r: Column, rd: Column) -> Column:
-        email = F.concat(_drawn(F.substring_index(entity, "@", 1), r), F.lit("@"), _drawn(F.regexp_replace(domain, r"\.[^.]+$", ""), rd), F.lit("."), F.substring_index(domain, ".", -1))
+        further = F.concat(F.lit(""), *(F.char(F.pmod(F.get(r, F.lit(SPARE + i)), F.lit(26)) + 97) for i in range(more)))
+        email = F.concat(_drawn(F.substring_index(entity, "@", 1), r), further, F.lit("@"), _drawn(F.regexp_replace(domain, r"\.[^.]+$", ""), rd), F.lit("."), F.substring_index(domain, ".", -1))
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.get(r, i), F.when(i == 0, 223).otherwise(254)) + 1).cast("string")), ".")
-        return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", _luhn(_drawn(entity, r, 1))).when(kind == "phone", _drawn(entity, r, 1)).when(kind == "iban", _drawn(entity, r, 2)).when(kind == "person", _name(entity, F.col("gender"), r)).otherwise(_drawn(entity, r))
+        return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", _luhn(_drawn(entity, r, 1))).when(kind == "phone", _drawn(entity, r, 1)).when(kind == "iban", _drawn(entity, r, 2)).when(kind == "person", _name(entity, F.col("gender"), r, more)).otherwise(_drawn(entity, r))
 
-    drawn = F.struct(_stream(key, kind, entity, attempt).alias("r"), _stream(key, F.lit("domain"), domain, F.lit(0)).alias("d"))
+    drawn = F.struct(_stream(key, kind, entity, F.lit(attempt)).alias("r"), _stream(key, F.lit("domain"), domain, F.lit(attempt)).alias("d"))
     return let(drawn, lambda s: made(s["r"], s["d"]))
 
 
@@ -111,7 +118,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     done, todo = None, stored(entities, "entities")
     real = todo.select("kind", F.col("entity").alias("surrogate"))
     for attempt in range(MAX_ROUNDS):
-        drawn = todo.withColumn("surrogate", _surrogate(key, F.lit(attempt)))
+        drawn = todo.withColumn("surrogate", _surrogate(key, attempt))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rosterly.llm import secret_scan
+from rosterly.llm import pii_surrogates, secret_scan
 
 
 def found_values(spark, words):
@@ -51,3 +51,16 @@ def test_dictionary_of_all_documents(spark):
     docs = spark.createDataFrame(rows, "row_key long, path string, text string").coalesce(1)
     assert {r.triple for r in secret_scan.dictionary(docs).collect()} == {"ber", "kon", "tib", "ibe", "zur", "urx", "rxq", "wol", "olg", "lga"}
     assert "wol" not in {r.triple for r in secret_scan.dictionary(docs, 1e-3).collect()}
+
+
+def test_surrogates_for_more_entities_than_short_ones(spark):
+    """100,000 one-part names, and as many emails of one letter as their letters allow."""
+    letter = lambda c: F.char(F.pmod(c, F.lit(26)).cast("int") + 97)
+    names = spark.range(100_000).select(F.lit("person").alias("kind"), F.initcap(F.concat(F.lit("q"), *(letter(F.floor(F.col("id") / 26**k)) for k in range(4)))).alias("entity"), F.lit("m").alias("gender"))
+    mails = spark.range(26 * 26).select(F.lit("email").alias("kind"), F.concat(letter(F.col("id")), F.lit("@"), letter(F.floor(F.col("id") / 26)), F.lit(".io")).alias("entity"), F.lit("").alias("gender"))
+    every = names.union(mails)
+    got = pii_surrogates.surrogates(every, "key").toPandas()
+    real = {(r.kind, r.entity) for r in every.collect()}
+    made = set(zip(got["kind"], got["surrogate"], strict=True))
+    assert len(got) == len(made) == len(real) == 100_676 and not made & real
+    assert got[got["kind"] == "person"]["surrogate"].str.match(r"^[A-Z][a-z]+n$").all() and got[got["kind"] == "email"]["surrogate"].str.match(r"^[a-z]+@[a-z]\.io$").all()
