@@ -25,13 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset and all tasks run on this
+    machine (a local master), a temporary folder of this application; on a cluster that is an error, as executors would
+    write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return _OWN[context.applicationId]
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -50,18 +59,24 @@ def dropped(df: DataFrame) -> None:
 
 
 class Shared:
-    """A broadcast value, and what a worker makes of it once: made(value), kept in the worker while this is in use."""
+    """A broadcast value, and what a worker makes of it once: made(value), kept in the worker while this, or another one
+    of its group, is in use. Of a group KEPT are held at a time."""
 
+    KEPT = 3
     _made: dict = {}
 
-    def __init__(self, spark: SparkSession, value):
+    def __init__(self, spark: SparkSession, value, group: str | None = None):
         self.key, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+        self.group = group or self.key
 
     def get(self, make):
-        if self.key not in Shared._made:
-            Shared._made.clear()
-            Shared._made[self.key] = make(self.sent.value)
-        return Shared._made[self.key]
+        if (self.group, self.key) not in Shared._made:
+            if any(g != self.group for g, _ in Shared._made):
+                Shared._made.clear()
+            while len(Shared._made) >= Shared.KEPT:
+                del Shared._made[next(iter(Shared._made))]
+            Shared._made[self.group, self.key] = make(self.sent.value)
+        return Shared._made[self.group, self.key]
 
 
 def trimmed(run):

@@ -3,12 +3,18 @@
 Each byte is eight binary decisions. For every context of 0 to DEPTH preceding bytes and every place in a byte, the
 tree holds how often each decision was taken in training. A node mixes its own Krichevsky-Trofimov estimate with that
 of its children, in equal prior shares, so the weight of each depth follows from how well it coded the training text.
-A document's score is the log10 probability of its bytes and one end, with the tree as trained.
-
-Spark counts (DEPTH + 1)-grams of all training documents in one scan. The tree keeps the contexts that hold at least
-one part in CONTEXTS of all training bytes, so at most CONTEXTS at each depth however large the corpus; what other
-contexts saw is pooled in one further child of the deepest kept context above them. That tree goes to the driver
-and, as code lengths of 256 bytes for each context, to all tasks.
+A document's score is the log10 probability of its bytes and one end, with the tree as trained; its code length per
+byte follows from it.
+
+The tree holds every context seen in training and grows with the corpus. It is a table of its nodes for each depth:
+1. One scan counts the (DEPTH + 1)-grams of all training documents.
+2. From the deepest level up, nodes are summed by their parent: counts, and the log probability of the children's code.
+   A sum has partial aggregation, so no group is ever in one task.
+3. From the root down, each node joins its parent (which has at most 256 children) for what is left of the mixture.
+4. Each gram seen in training gets one number, the log10 probability of its last byte after the others.
+Documents are scored in one scan with the HOT most frequent grams, which are broadcast (a fixed bound); all other grams
+are joined with their numbers by a shuffle. A gram not seen in training takes, for each decision, the deepest node that
+was; below that node nothing is known, and an empty node's estimate is a half.
 
 The word baseline looks up each token's training count: words that hold at least one part in WORDS of all tokens are
 broadcast (so at most WORDS of them), other tokens are joined with the counts by a shuffle.
@@ -16,17 +22,21 @@ broadcast (so at most WORDS of them), other tokens are joined with the counts by
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stored, table
+from .common import Shared, dropped, stored, table
 from .hashing import WordHashes
 
-DEPTH, CONTEXTS, WORDS = 5, 1 << 16, 4_000_000
+DEPTH = 5
+#: Grams and words that are broadcast at most (12 and 16 bytes each); the others are joined.
+HOT, WORDS = 4_000_000, 4_000_000
 #: No UTF-8 text holds this byte: it ends a text and stands before it.
 END = 255
 #: Bytes handled at a time, and distinct n-grams or words held before they are handed on.
@@ -104,166 +114,200 @@ def corpus_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
     return train.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
+def log_gamma(x: Column) -> Column:
     """The natural logarithm of the gamma function for x >= 0.5: Stirling's series at x + 8 and the recurrence."""
-    y, product = x + 8, np.ones_like(x)
-    for k in range(8):
-        product *= x + k
-    return (y - 0.5) * np.log(y) - y + 0.918938533204672742 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
-
-
-def _nodes(n: np.ndarray) -> np.ndarray:
-    """Counts of 256 symbols to counts of the 511 nodes of the binary tree: node j has children 2j and 2j + 1."""
-    out = np.zeros((len(n), 512))
-    out[:, 256:] = n
-    for j in range(255, 0, -1):
-        out[:, j] = out[:, 2 * j] + out[:, 2 * j + 1]
-    return out
-
+    x = x.cast("double")
+    y, product = x + 8, x
+    for k in range(1, 8):
+        product = product * (x + k)
+    return (y - 0.5) * F.log(y) - y + 0.918938533204672742 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
 
-def _each(f, n: np.ndarray) -> np.ndarray:
-    """f of the nodes of n, a few thousand contexts at a time."""
-    return np.concatenate([f(_nodes(n[at : at + 2048])) for at in range(0, max(len(n), 1), 2048)])
 
+def block(zero: Column, one: Column) -> Column:
+    """The log of the Krichevsky-Trofimov probability of a node's decisions."""
+    return log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - math.log(math.pi)
 
-def _block(nodes: np.ndarray) -> np.ndarray:
-    """The log of the Krichevsky-Trofimov probability of each node's decisions."""
-    zero, one = nodes[:, 2::2], nodes[:, 3::2]
-    return log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - np.log(np.pi)
 
+def _path(symbol: Column) -> Column:
+    """The eight (node, bit) of a byte: node 1 is the first decision, nodes 2j and 2j + 1 follow node j."""
+    steps = lambda k: F.struct(F.shiftright(symbol + 256, 8 - k).cast("int").alias("node"), F.shiftright(symbol, 7 - k).bitwiseAND(F.lit(1)).cast("int").alias("bit"))
+    return F.array(*(steps(k) for k in range(8)))
 
-def _next(nodes: np.ndarray) -> np.ndarray:
-    """The Krichevsky-Trofimov estimate that the next decision is one."""
-    return (nodes[:, 3::2] + 0.5) / (nodes[:, 1:256] + 1)
 
+def _context(key: Column, d: int) -> Column:
+    """The d bytes before the last one of a gram."""
+    return F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
 
-def _symbols(p: np.ndarray) -> np.ndarray:
-    """log10 of each symbol's probability from those of its eight decisions."""
-    out = np.zeros((len(p), 512))
-    for j in range(1, 256):
-        out[:, 2 * j] = out[:, j] + np.log10(1 - p[:, j - 1])
-        out[:, 2 * j + 1] = out[:, j] + np.log10(p[:, j - 1])
-    return out[:, 256:].astype(np.float32)
 
-
-def tree(counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the kept contexts, ascending, and log10 probabilities of the 256 symbols where that context is the
-    deepest kept. counts: for each depth the contexts and their symbol counts; depth 0 has the one empty context."""
-    depth = len(counts) - 1
-    nodes = [n for _, n in counts]
-    parent = [None] + [np.searchsorted(counts[d - 1][0], counts[d][0] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)]
-    rest = []
-    for d in range(depth):
-        r = nodes[d].copy()
-        np.subtract.at(r, parent[d + 1], nodes[d + 1])
-        rest.append(np.maximum(r, 0))
-    weight, coded = [None] * depth, _each(_block, nodes[depth])
+def tree(grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
+    """For each depth the nodes (ctx, node, q) of all contexts seen. q: the probability that the next decision is one,
+    where this is the deepest node that training saw. grams: key (of depth + 1 bytes), n."""
+    last = grams.select(_context(F.col("key"), depth).alias("ctx"), F.explode(_path(F.col("key").bitwiseAND(F.lit(255)))).alias("p"), "n")
+    count = lambda bit: F.sum(F.when(F.col("p.bit") == bit, F.col("n")).otherwise(0)).alias(f"n{bit}")
+    counts = last.groupBy("ctx", F.col("p.node").alias("node")).agg(count(0), count(1))
+    levels = [stored(counts.withColumn("coded", block(F.col("n0"), F.col("n1"))), "level")]
     for d in range(depth - 1, -1, -1):
-        own, below = _each(_block, nodes[d]), _each(_block, rest[d])
-        np.add.at(below, parent[d + 1], coded)
-        coded = np.logaddexp(own, below) - np.log(2)
-        weight[d] = np.exp(own - np.log(2) - coded).astype(np.float32)
-    out, so_far, left = [], np.zeros((1, 255)), np.ones((1, 255))
-    for d in range(depth + 1):
-        up = parent[d] if d else np.zeros(1, np.int64)
-        so_far, left = so_far[up], left[up]
+        up = levels[0].groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("coded").alias("below"))
+        both = up.withColumn("own", block(F.col("n0"), F.col("n1")))
+        most = F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - math.log(2)
+        levels.insert(0, stored(both.withColumn("coded", most).withColumn("weight", F.exp(F.col("own") - math.log(2) - F.col("coded"))).select("ctx", "node", "n0", "n1", "coded", "weight"), "level"))
+    estimate = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+    out, up = [], None
+    for d, level in enumerate(levels):
+        own = level.withColumn("estimate", estimate)
+        if up is None:
+            own = own.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0)})
+        else:
+            own = own.withColumn("parent", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))).join(up, ["parent", "node"])
         if d == depth:
-            p = so_far + left * _each(_next, nodes[d])
+            done = stored(own.select("ctx", "node", (F.col("so_far") + F.col("left") * F.col("estimate")).alias("q")), "nodes")
         else:
-            so_far = so_far + left * weight[d] * _each(_next, nodes[d])
-            left = left * (1 - weight[d])
-            p = so_far + left * _each(_next, rest[d])
-        out.append((counts[d][0], np.concatenate([_symbols(np.clip(p[at : at + 2048], 1e-12, 1 - 1e-12)) for at in range(0, max(len(p), 1), 2048)])))
+            then = own.select("ctx", "node", (F.col("so_far") + F.col("left") * F.col("weight") * F.col("estimate")).alias("so_far"), (F.col("left") * (1 - F.col("weight"))).alias("left"))
+            done = stored(then.withColumn("q", F.col("so_far") + F.col("left") * 0.5), "nodes")
+            up = done.select(F.col("ctx").alias("parent"), "node", "so_far", "left")
+        out.append(done.select("ctx", "node", "q"))
+    for level in levels:
+        dropped(level)
     return out
 
 
-def trained(counts: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    grams = counts.where("kind = 1")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    masks = F.array(*(F.lit((1 << 8 * d) - 1).cast("bigint") for d in range(depth + 1)))
-    each = grams.select(F.posexplode(masks).alias("d", "mask"), "key", "n")
-    per = each.groupBy("d", F.shiftright("key", 8).bitwiseAND(F.col("mask")).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).alias("sym")).agg(F.sum("n").alias("n"))
-    kept = per.groupBy("d", "ctx").agg(F.sum("n").alias("t")).where(F.col("t") * contexts >= total).select("d", "ctx")
-    got = per.join(kept, ["d", "ctx"]).toArrow()
-    d, ctx, sym, n = (got.column(c).to_numpy() for c in ("d", "ctx", "sym", "n"))
-    out = []
-    for k in range(depth + 1):
-        at = d == k
-        own, row = np.unique(ctx[at], return_inverse=True)
-        table_ = np.zeros((max(len(own), int(k == 0)), 256))
-        table_[row, sym[at]] = n[at]
-        out.append((own if k or len(own) else np.zeros(1, np.int64), table_))
-    return out
+def _coded(q: Column, bit: Column) -> Column:
+    return F.log10(F.when(bit == 1, q).otherwise(1 - q))
+
+
+def seen_values(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(key, n, value) of grams seen in training: all their nodes are at the deepest level. A context has at most 255
+    nodes, which are gathered in one map."""
+    depth = len(nodes) - 1
+    own = nodes[depth].groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct("node", "q"))).alias("q"))
+    each = F.transform(_path(F.col("key").bitwiseAND(F.lit(255))), lambda p: _coded(F.element_at("q", p["node"]), p["bit"]))
+    return grams.withColumn("ctx", _context(F.col("key"), depth)).join(own, "ctx").select("key", "n", F.aggregate(each, F.lit(0.0), lambda a, x: a + x).alias("value"))
+
+
+def unseen_values(keys: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(key, value) of distinct grams that training did not see. The nodes of depths 0 and 1, at most 257 * 255, are
+    broadcast; those of other depths are joined at once and the deepest one is taken."""
+    depth = len(nodes) - 1
+    each = keys.select("key", F.explode(_path(F.col("key").bitwiseAND(F.lit(255)))).alias("p")).select("key", "p.node", "p.bit")
+    for d in range(min(depth, 1) + 1):
+        each = each.withColumn("ctx", _context(F.col("key"), d)).join(F.broadcast(nodes[d].withColumnRenamed("q", f"q{d}")), ["ctx", "node"], "left").drop("ctx")
+    q = F.coalesce(*(F.col(f"q{d}") for d in range(min(depth, 1), -1, -1)), F.lit(0.5))
+    each = each.select("key", "node", "bit", q.alias("q"))
+    if depth > 1:
+        levels = F.array(*(F.struct(F.lit(d).alias("d"), _context(F.col("key"), d).alias("ctx")) for d in range(2, depth + 1)))
+        asked = each.select("key", "node", F.explode(levels).alias("l")).select("key", "node", "l.d", "l.ctx")
+        every = reduce(DataFrame.unionByName, (nodes[d].withColumn("d", F.lit(d)) for d in range(2, depth + 1)))
+        deepest = asked.join(every, ["d", "ctx", "node"]).groupBy("key", "node").agg(F.max_by("q", "d").alias("deep"))
+        each = each.join(deepest, ["key", "node"], "left").withColumn("q", F.coalesce("deep", "q"))
+    return each.groupBy("key").agg(F.sum(_coded(F.col("q"), F.col("bit"))).alias("value"))
+
+
+def frequent(values: DataFrame, most: int) -> DataFrame:
+    """The most frequent rows, `most` of them at most: those with the counts of the highest classes that fit, where a
+    class holds the counts between two steps of a sixteenth of a power of two."""
+    kind = F.floor(F.log2("n") * 16)
+    fits, least = 0, None
+    for r in values.groupBy(kind.alias("kind")).agg(F.count("*").alias("rows")).orderBy(F.desc("kind")).collect():
+        fits += r.rows
+        if fits > most:
+            break
+        least = r.kind
+    return values.where(F.lit(False) if least is None else kind >= least)
+
+
+class Lookup:
+    """Rows of sorted distinct keys, by two tables of slots and, for the few keys that have a place in neither, by
+    binary search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables = keys, []
+        todo = np.arange(len(keys), dtype=np.int32)
+        bits = max(10, int(len(keys)).bit_length() + 1)
+        for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            slot = np.full(1 << bits, -1, np.int32)
+            at = self._slot(keys[todo], factor, bits)
+            slot[at] = todo
+            self.tables.append((factor, bits, slot))
+            todo = todo[slot[at] != todo]
+        self.others = len(todo) > 0
+
+    @staticmethod
+    def _slot(keys, factor, bits):
+        return (keys.astype(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
+        ask = np.arange(len(keys))
+        for factor, bits, slot in self.tables:
+            row = slot[self._slot(keys[ask], factor, bits)]
+            good = (row >= 0) & (self.keys[row] == keys[ask])
+            out[ask[good]] = row[good]
+            ask = ask[~good & (row >= 0)]  # an empty slot: no such key
+        if self.others and len(ask):
+            at = np.minimum(np.searchsorted(self.keys, keys[ask]), len(self.keys) - 1)
+            good = self.keys[at] == keys[ask]
+            out[ask[good]] = at[good]
+        return out
 
 
 class Scorer:
-    SLOT_BITS = 20
-
     def __init__(self, value):
-        self.levels, self.hot, self.count, self.n, self.v = value
-        self.hashes = WordHashes()
-        self.slots = []
-        for ctx, _ in self.levels:
-            slot = np.full(1 << self.SLOT_BITS, -1, np.int32)
-            slot[self.slot_of(ctx)] = np.arange(len(ctx))
-            self.slots.append((slot, len(np.unique(self.slot_of(ctx))) < len(ctx)))
-        self.floor = np.log10(0.1 / (self.n + 0.1 * (self.v + 1)))
+        self.depth, self.grams, self.values, self.hot, self.count, self.n, self.v = value
+        self.hashes, self.look, self.look_words = WordHashes(), Lookup(self.grams), Lookup(self.hot)
         self.hot_log = np.log10((self.count + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
-    def slot_of(self, ctx):
-        return (ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOT_BITS)
-
-    def find(self, d, ctx):
-        """The rows of contexts at depth d, -1 where it isn't kept."""
-        own, (slot, clash) = self.levels[d][0], self.slots[d]
-        if not len(own):
-            return np.full(len(ctx), -1)
-        row = slot[self.slot_of(ctx)]
-        good = (row >= 0) & (own[row] == ctx)
-        if clash:
-            ask = np.flatnonzero((row >= 0) & ~good)
-            at = np.minimum(np.searchsorted(own, ctx[ask]), len(own) - 1)
-            row[ask], good[ask] = at, own[at] == ctx[ask]
-        return np.where(good, row, -1)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        out, depth = np.zeros(len(texts)), len(self.levels) - 1
-        for owner, lengths, key in pieces(texts, depth):
-            value, todo = np.empty(len(key), np.float32), np.arange(len(key))
-            for d in range(depth, -1, -1):
-                ctx = key[todo] >> 8 & ((1 << 8 * d) - 1)
-                row = self.find(d, ctx) if d else np.zeros(len(todo), np.int64)
-                hit = row >= 0
-                value[todo[hit]] = self.levels[d][1][row[hit], key[todo[hit]] & 255]
-                todo = todo[~hit]
-            np.add.at(out, owner, np.add.reduceat(value.astype(np.float64), np.cumsum(lengths) - lengths))
-        return out
+    def scores(self, texts: list[bytes]):
+        """What the broadcast grams add to each text's score; owner, key and count of all other grams."""
+        out, others = np.zeros(len(texts)), []
+        for owner, lengths, key in pieces(texts, self.depth):
+            row = self.look.rows(key)
+            value = np.where(row >= 0, self.values[row], 0.0) if len(self.grams) else np.zeros(len(key))
+            np.add.at(out, owner, np.add.reduceat(value, np.cumsum(lengths) - lengths))
+            rest = np.flatnonzero(row < 0)
+            others.append(_counted(np.stack([np.repeat(np.array(owner), lengths)[rest], key[rest]])))
+        return out, np.concatenate(others, axis=1) if others else np.zeros((3, 0), np.int64)
 
     def base(self, text: bytes):
         """Tokens, of which broadcast words, their part of the score, and the hashes of all other tokens."""
         ws = text.split()
         ws.append(_END_WORD)
         h = self.hashes.of(ws).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hot, h), max(len(self.hot) - 1, 0))
-        hit = self.hot[at] == h if len(self.hot) else np.zeros(len(h), bool)
-        return len(h), int(hit.sum()), float(self.hot_log[at[hit]].sum()) if len(self.hot) else 0.0, h[~hit]
+        row = self.look_words.rows(h)
+        hit = row >= 0
+        return len(h), int(hit.sum()), float(self.hot_log[row[hit]].sum()) if len(self.hot) else 0.0, h[~hit]
+
+
+def _counted(pair: np.ndarray) -> np.ndarray:
+    """Rows owner, key and count of the distinct columns of pair."""
+    order = np.lexsort((pair[1], pair[0]))
+    pair = pair[:, order]
+    first = np.flatnonzero(np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)]) if pair.shape[1] else np.zeros(0, np.int64)
+    return np.vstack([pair[:, first], np.diff(np.r_[first, pair.shape[1]])])
 
 
-def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS, words: int = WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs, learnt from train
-    (both: doc_id, text). A-Z are lower-cased.
+def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, hot: int = HOT, words: int = WORDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (the code length of the
+    text and its end, over their bytes) of each row of docs, learnt from train (both: doc_id, text). A-Z are
+    lower-cased. depth: 0 to 6.
 
     A null or empty text is the end alone. A null id counts as the empty text when folds are dealt. Repeated rows each
     give a row. Without training texts all bytes are equally likely and no token is known. Other columns are ignored.
+    hot and words bound what is broadcast and change no result.
     """
     spark = docs.sparkSession
     counts = stored(corpus_counts(train, depth), "counts")
-    tokens = counts.where("kind = 0")
+    tokens, grams = counts.where("kind = 0"), counts.where("kind = 1").select("key", "n")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = tokens.where(F.col("n") * words >= n).select("key", "n").orderBy("key").toArrow() if n else None
-    key, count = (hot.column(c).to_numpy() for c in ("key", "n")) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    often = tokens.where(F.col("n") * words >= n).select("key", "n").orderBy("key").toArrow()
+    nodes = tree(grams, depth)
+    values = stored(seen_values(grams, nodes), "values")
+    some = frequent(values, hot).select("key", "value").toArrow()
+    key, value = some.column("key").to_numpy(), some.column("value").to_numpy()
     order = np.argsort(key)
-    shared = Shared(spark, (tree(trained(counts, depth, contexts)), key[order], count[order], n, v))
+    shared = Shared(spark, (depth, key[order], value[order], often.column("key").to_numpy(), often.column("n").to_numpy(), n, v))
 
     def run(batches):
         s = shared.get(Scorer)
@@ -272,17 +316,29 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, contexts: int =
                 part = b.slice(at, 1000)
                 texts = [(t.as_py() or "").encode().lower() for t in part.column("text")]
                 base = [s.base(t) for t in texts]
+                total, (owner, other, times) = s.scores(texts)
+                ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int64()))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("held_out"), pa.array([x[0] for x in base], pa.int64()), pa.array([x[1] for x in base], pa.int64()), pa.array([x[2] for x in base], pa.float64()),
-                    pa.array(s.scores(texts), pa.float64()), pa.array([x[3] for x in base], pa.list_(pa.int64()))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                    part.column("doc_id"), part.column("held_out"), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([x[0] for x in base], pa.int64()), pa.array([x[1] for x in base], pa.int64()), pa.array([x[2] for x in base], pa.float64()),
+                    pa.array(total, pa.float64()), pa.array([x[3] for x in base], pa.list_(pa.int64())), lists(other), lists(times)], names=["doc_id", "held_out", "size", "n_tokens", "n_known", "base_score", "score", "rare", "grams", "times"])
 
-    first = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>")
+    first = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, size bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, grams array<bigint>, times array<bigint>")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     cold = tokens.where(F.col("n") * words < n).select("key", "n")
     part = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(n + 0.1 * (v + 1)))
     rare = first.select("row", F.explode("rare").alias("key")).join(cold, "key", "left").groupBy("row").agg(F.sum(part).alias("more"), F.count("n").alias("seen"))
-    out = first.drop("rare").join(rare, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    other = stored(first.where(F.size("grams") > 0).select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("key"), F.col("g.times").alias("times")), "grams")
+    new = stored(other.select("key").distinct().join(values, "key", "left_anti"), "unseen")
+    known = values.select("key", "value").unionByName(stored(unseen_values(new, nodes), "values"))
+    rest = other.join(known, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest"))
+    for level in nodes:
+        dropped(level)
+    out = first.drop("rare", "grams", "times").join(rare, "row", "left").join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("size")).alias("bits_per_byte"),
+    )
 
 
 def op3_lm_scoring(spark, sf_dir):
