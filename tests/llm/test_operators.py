@@ -2,6 +2,7 @@
 ties, repeated rows, empty tables, and extra columns with names that the operators use themselves."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -124,19 +125,64 @@ def test_decontamination_by_brute_force(spark, docs, block_words):
     assert collections.Counter(r.doc_id for r in clean.collect()) == collections.Counter({r[0]: n for r, n in want.items() if not r[5]})
 
 
+def brute_longest(docs, items, window):
+    """Words, place and item of each document's longest verbatim match that holds a window."""
+    out = []
+    for i, t in docs:
+        w, best = decontamination.item_words(t), (0, 0, "")
+        for name, x in items:
+            iw = decontamination.item_words(x)
+            for s in range(len(w)):
+                for q in range(len(iw)):
+                    n = 0
+                    while s + n < len(w) and q + n < len(iw) and w[s + n] == iw[q + n]:
+                        n += 1
+                    if n >= min(window, len(iw)):
+                        best = min(best, (-n, s, str(name)))
+        out.append((i, *((-best[0], best[2], best[1]) if best[0] else (None, None, None))))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("block_words", [10**6, 30])
+def test_longest_matches_by_brute_force(spark, docs, block_words):
+    some = [(i, " ".join((t or "").split()[:120])) for i, t in docs[::3]]
+    items = [(1, some[0][1]), (2, "one two"), (7, " ".join(some[4][1].split()[3:40])), (6, " ".join(some[4][1].split()[3:40])), (9, "sun " * 30), (3, None)]
+    some += [(500, "sun " * 25 + "moon " + "sun " * 12), (501, "a sun sun sun b"), (502, some[4][1] + " x " + some[4][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.digest(decontamination.find_matches(frame(spark, some), bench, block_words=block_words))
+    assert rows_of(got.select("doc_id", "longest_words", "longest_item", "longest_at")) == brute_longest(some, items, 10)
+    assert rows_of(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == brute_hits(some, items, 10)
+
+
 def test_suffix_shards_agree_with_one(docs):
     import numpy as np
 
     probes = decontamination.Probes([("a", decontamination.item_words(docs[0][1])), ("b", [b"one", b"two"])], 10)
-    seqs = [[probes.ids.get(w, 0) for w in decontamination.item_words(t)] for _, t in docs]
+    seqs = [np.array([probes.ids.get(w, 0) for w in decontamination.item_words(t)], np.uint32) for _, t in docs]
     whole = sorted(zip(*(x.tolist() for x in decontamination.search(seqs, probes))))
-    assert whole and whole == sorted(zip(*(x.tolist() for x in decontamination.search(seqs, probes, shard_bytes=4 * probes.depth * 5))))
-    for d, s, p, m in whole:
-        suffix = probes.suffix[p][: m + 1]
-        assert seqs[d][s : s + m] == suffix[:m].tolist() and (m == probes.depth or s + m == len(seqs[d]) or suffix[m] == 0 or seqs[d][s + m] != suffix[m])
+    assert whole and whole == sorted(zip(*(x.tolist() for x in decontamination.search(seqs, probes, shard_bytes=4 * 10 * 5))))
     assert np.all(probes.length >= 2)
 
 
+def test_a_very_long_item_takes_memory_in_proportion():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(2)
+    item = [str(rng.randrange(3000)).encode() for _ in range(20_000)]
+    tracemalloc.start()
+    for words in (item, [b"the"] * 20_000):
+        probes = decontamination.Probes([("long", words), ("b", words[:50])], 10)
+        seqs = [np.array([probes.ids.get(w, 0) for w in words[500:19_000]], np.uint32)]
+        doc, start, probe = decontamination.search(seqs, probes)
+        assert len(start) == 18_491
+        got = decontamination._found(18_500, seqs[0], probes, start, probe, {"starts": [], "ends": [], "items": [], "longest_words": None, "longest_at": None, "longest_item": None})
+        assert (got["starts"], got["ends"], got["longest_words"], got["longest_at"], got["longest_item"]) == ([0], [18_500], 18_500, 0, "long")
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
 def brute_repeats(docs, k):
     first = {}
     words = [(i, (t or "").encode().split()) for i, t in docs]
@@ -222,55 +268,87 @@ def test_lm_scores(spark, docs):
     assert len(rows) == len(own)
 
 
-def test_the_tree_is_a_distribution_and_mixes_as_the_definition_says():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    text = bytes(rng.choice([97, 98, 99], 300, p=[0.6, 0.3, 0.1]).astype(np.uint8))
-    counts = []
-    for d in range(3):
-        seen = collections.Counter((int.from_bytes((b"\xff\xff" + text)[p + 2 - d : p + 2], "big"), text[p]) for p in range(len(text)))
-        ctx = np.array(sorted({a for a, _ in seen}), np.int64) if d else np.zeros(1, np.int64)
-        n = np.zeros((len(ctx), 256))
-        for (a, s), x in seen.items():
-            n[np.searchsorted(ctx, a), s] += x
-        counts.append((ctx, n))
-    tables = lm_scoring.tree(counts)
-    for _, t in tables:
-        assert np.allclose((10.0 ** t.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-    def block(a, b):
+def brute_tree(texts, depth):
+    """log10 probability of a byte after a context by the definition, with dictionaries of nodes."""
+    end = b"\xff"
+    seen = collections.Counter()
+    for t in texts:
+        data = end * depth + t + end
+        for p in range(depth, len(data)):
+            for d in range(depth + 1):
+                for k in range(8):
+                    seen[data[p - d : p], (256 + data[p]) >> (8 - k), data[p] >> (7 - k) & 1] += 1
+    children = collections.defaultdict(set)
+    for c, j, _ in seen:
+        if c:
+            children[c[1:], j].add(c)
+
+    def block(c, j):
+        a, b = seen[c, j, 0], seen[c, j, 1]
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def pair(counts_row, bit, prefix):
-        sym = [s for s in range(256) if s >> (8 - bit) == prefix] if bit else range(256)
-        one = [s for s in sym if s >> (7 - bit) & 1]
-        b = sum(counts_row[s] for s in one)
-        return sum(counts_row[s] for s in sym) - b, b
-
-    def coded(d, ctx, bit, prefix):
-        row = counts[d][1][np.searchsorted(counts[d][0], ctx)]
-        own = block(*pair(row, bit, prefix))
-        if d == 2:
-            return own
-        below = sum(coded(d + 1, c, bit, prefix) for c in counts[d + 1][0] if c & ((1 << 8 * d) - 1) == ctx) + block(0, 0)
-        return np.logaddexp(own, below) - math.log(2)
-
-    def chance(d, ctx, full, bit, prefix):
-        row = counts[d][1][np.searchsorted(counts[d][0], ctx)]
-        a, b = pair(row, bit, prefix)
+    @functools.cache
+    def coded(c, j):
+        if len(c) == depth:
+            return block(c, j)
+        own, below = block(c, j), sum(coded(x, j) for x in children[c, j])
+        return max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
+
+    def chance(full, d, j):
+        c = full[len(full) - d :]
+        a, b = seen[c, j, 0], seen[c, j, 1]
+        if a + b == 0:
+            return 0.5
         own = (b + 0.5) / (a + b + 1)
-        if d == 2:
+        if d == depth:
             return own
-        w = math.exp(block(a, b) - math.log(2) - coded(d, ctx, bit, prefix))
-        return w * own + (1 - w) * chance(d + 1, full & ((1 << 8 * (d + 1)) - 1), full, bit, prefix)
-
-    full, sym = int.from_bytes(b"ab", "big"), 99
-    want = 0.0
-    for bit in range(8):
-        p = chance(0, 0, full, bit, sym >> (8 - bit))
-        want += math.log10(p if sym >> (7 - bit) & 1 else 1 - p)
-    assert math.isclose(want, tables[2][1][np.searchsorted(tables[2][0], full), sym], abs_tol=1e-4)
+        w = math.exp(block(c, j) - math.log(2) - coded(c, j))
+        return w * own + (1 - w) * chance(full, d + 1, j)
+
+    def score(text):
+        data, total = end * depth + text + end, 0.0
+        for p in range(depth, len(data)):
+            for k in range(8):
+                one = chance(data[p - depth : p], 0, (256 + data[p]) >> (8 - k))
+                total += math.log10(one if data[p] >> (7 - k) & 1 else 1 - one)
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("depth, hot", [(5, 3), (2, 4_000_000), (0, 0)])
+def test_lm_scores_equal_a_brute_force_tree(spark, depth, hot):
+    rng = random.Random(depth)
+    train = ["", None, "ABC abc", "the tha thé"] + [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    others = ["zebra Ж", "the", None, "sun moon 木 river", "q" * 30]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(train + others)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, docs.where(F.col("doc_id") < len(train)), depth=depth, hot=hot).collect()}
+    lower = lambda t: (t or "").encode().lower()
+    want = brute_tree([lower(t) for t in train], depth)
+    for i, t in enumerate(train + others):
+        assert math.isclose(got[i].score, want(lower(t)), rel_tol=1e-9), t
+        assert math.isclose(got[i].bits_per_byte, -want(lower(t)) / math.log10(2) / (len(lower(t)) + 1), rel_tol=1e-9)
+
+
+def test_lm_probabilities_of_all_bytes_sum_to_one(spark):
+    grams = spark.createDataFrame([(ctx << 8 | s, n) for ctx, s, n in [(0x6161, 98, 5), (0x6161, 99, 2), (0x6261, 97, 7), (0xFFFF, 97, 1), (0x61FF, 98, 3)]], "key long, n long")
+    nodes = lm_scoring.tree(grams, 2)
+    values = {r.key: r.value for r in lm_scoring.seen_values(grams, nodes).collect()}
+    for ctx in (0x6161, 0x6261, 0x7A61, 0x7A7A):
+        keys = spark.range(256).select((F.col("id") + (ctx << 8)).alias("key"))
+        rest = {r.key: r.value for r in lm_scoring.unseen_values(keys.join(grams, "key", "left_anti"), nodes).collect()}
+        assert math.isclose(sum(10 ** {**values, **rest}[ctx << 8 | s] for s in range(256)), 1, rel_tol=1e-9)
+
+
+def test_lookup_finds_keys_and_no_others():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 20_000))
+    ask = np.concatenate([keys, keys + 1])
+    got = lm_scoring.Lookup(keys).rows(ask)
+    where = {int(k): i for i, k in enumerate(keys)}
+    assert got.tolist() == [where.get(int(k), -1) for k in ask]
 
 
 def test_lm_without_training_texts(spark):

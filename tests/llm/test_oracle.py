@@ -1,17 +1,13 @@
-"""The queries that SQL can express, against it."""
+"""The queries that SQL can express, against it: the same columns, types and rows."""
 
 import pytest
 
 from rosterly.llm import queries
-from tests.compare import connect
+from tests.compare import connect, same
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, name):
-    con = connect(SF)
-    con.execute(queries.SQL[name])
-    columns, want = [c[0] for c in con.description], set(con.fetchall())
-    got = {tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, SF).collect()}
-    assert got == want
+    same(spark, connect(SF), queries.QUERIES[name], queries.SQL[name], SF)
