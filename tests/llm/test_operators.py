@@ -396,16 +396,16 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct_when_draws_collide(spark):
-    rows = [("ssn", f"{i:09d}", "") for i in range(300)] + [("other", str(i), "") for i in range(100, 400)]
-    got = pii_surrogates.surrogates(spark.createDataFrame(rows, "kind string, entity string, gender string"), "k").collect()
-    real = {(k, e) for k, e, _ in rows}
+    rows = [("ssn", f"{i:09d}") for i in range(300)] + [("other", str(i)) for i in range(100, 400)]
+    got = pii_surrogates.surrogates(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    real = set(rows)
     made = {(r.kind, r.surrogate) for r in got}
     assert len(made) == len(got) == 600 and not made & real
 
 
 def test_surrogates_give_up_loudly(spark):
     with pytest.raises(ValueError):
-        pii_surrogates.surrogates(spark.createDataFrame([("phone", f"1{i}", "") for i in range(10)], "kind string, entity string, gender string"), "k")
+        pii_surrogates.surrogates(spark.createDataFrame([("phone", f"1{i}") for i in range(10)], "kind string, entity string"), "k")
 
 
 def test_secrets(spark):

@@ -57,14 +57,71 @@ def test_dictionary_of_all_documents(spark):
 def test_surrogates_for_more_entities_than_short_ones(spark):
     """100,000 one-part names, and as many emails of one letter as their letters allow."""
     letter = lambda c: F.char(F.pmod(c, F.lit(26)).cast("int") + 97)
-    names = spark.range(100_000).select(F.lit("person").alias("kind"), F.initcap(F.concat(F.lit("q"), *(letter(F.floor(F.col("id") / 26**k)) for k in range(4)))).alias("entity"), F.lit("m").alias("gender"))
-    mails = spark.range(26 * 26).select(F.lit("email").alias("kind"), F.concat(letter(F.col("id")), F.lit("@"), letter(F.floor(F.col("id") / 26)), F.lit(".io")).alias("entity"), F.lit("").alias("gender"))
+    names = spark.range(100_000).select(F.lit("part").alias("kind"), F.initcap(F.concat(F.lit("q"), *(letter(F.floor(F.col("id") / 26**k)) for k in range(4)))).alias("entity"))
+    mails = spark.range(26 * 26).select(F.lit("email").alias("kind"), F.concat(letter(F.col("id")), F.lit("@"), letter(F.floor(F.col("id") / 26)), F.lit(".io")).alias("entity"))
     every = names.union(mails)
     got = pii_surrogates.surrogates(every, "key").toPandas()
     real = {(r.kind, r.entity) for r in every.collect()}
     made = set(zip(got["kind"], got["surrogate"], strict=True))
     assert len(got) == len(made) == len(real) == 100_676 and not made & real
-    assert got[got["kind"] == "person"]["surrogate"].str.match(r"^[A-Z][a-z]+n$").all() and got[got["kind"] == "email"]["surrogate"].str.match(r"^[a-z]+@[a-z]\.io$").all()
+    assert got[got["kind"] == "part"]["surrogate"].str.match(r"^[A-Z][a-z]+[aeio]$").all() and got[got["kind"] == "email"]["surrogate"].str.match(r"^[a-z]+@[a-z]\.io$").all()
+
+
+def mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_persons_keep_gender_and_coreference(spark):
+    texts = [
+        "Mr John Smith called. Smith left; John Smith spoke to Anna.", "Mr Smith and Mrs Smith", "Dr Anna Berg met Mrs Anna Berg, Dr Berg and Berg's dog", "Dr Anna Berg", "Smith is not named by a title here",
+        "DE89 3704 0044 0532 0130 00 is one, DE89 3704 0044 0532 0130 01 is none", "Prof. Иванов и Госпожа Анна Иванова, Иванов",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_surrogates.anonymised(docs, "k").collect()}
+    first = got[0].text.split()
+    john, smith = first[1], first[2].rstrip(".")
+    assert got[0].text == f"Mr {john} {smith} called. {smith} left; {john} {smith} spoke to Anna." and john.endswith("n") and smith.endswith("n") and john != smith
+    assert got[1].text == f"Mr {smith} and Mrs {smith[:-1]}na" and got[0].pii_mentions == 4
+    anna, berg = got[2].text.split()[1:3]
+    assert got[2].text == f"Dr {anna} {berg} met Mrs {anna} {berg}, Dr {berg} and {berg}'s dog" and anna.endswith("na")
+    assert got[3].text == f"Dr {anna[:-2]}s {berg[:-2]}s" and got[4].text == texts[4] and got[4].pii_mentions == 0
+    iban, tail = got[5].text[:27].replace(" ", ""), got[5].text[27:]
+    assert iban[:2] == "DE" and iban != "DE89370400440532013000" and mod97(iban) == 1 and tail == texts[5][27:]
+    assert "Иванов" not in got[6].text and "Анна" not in got[6].text and got[6].pii_mentions == 3
+
+
+def test_distinctness_and_coreference_by_brute_force(spark):
+    """Every mention of a person in 2,000 texts, against the part mapping that the titled mentions must agree on."""
+    rng = random.Random(8)
+    names = [a + b for a in ("Al", "Be", "Co", "Du", "Ed", "Fi") for b in ("ra", "mo", "nix", "tor", "wen", "ser", "vik")]
+    titles = {"Mr": "n", "Mrs": "na", "Dr": None}
+    rows, said = [], []
+    for i in range(2000):
+        people = [(rng.choice(list(titles)), rng.sample(names, rng.randint(1, 2))) for _ in range(rng.randint(1, 3))]
+        rows.append((i, " and ".join(f"{t} {' '.join(p)}" for t, p in people) + " met " + people[0][1][-1]))
+        said.append(people)
+    got = {r.doc_id: r.text for r in pii_surrogates.anonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    stems = {}
+    for i, people in enumerate(said):
+        body, last = got[i].split(" met ")
+        for (title, parts), mention in zip(people, body.split(" and "), strict=True):
+            words = mention.split()
+            assert words[0] == title and len(words) == len(parts) + 1
+            for part, made in zip(parts, words[1:]):
+                end = titles[title] or next(e for e in ("na", "n", "s") if made.endswith(e))
+                assert made.endswith(end) and stems.setdefault(part, made[: -len(end)]) == made[: -len(end)], (part, made)
+        assert last.startswith(stems[people[0][1][-1]])
+    assert len(set(stems.values())) == len(stems) == len(names) and not set(stems) & set(stems.values())
+
+
+def test_a_ledger_keeps_surrogates_across_batches(spark):
+    one = spark.createDataFrame([(1, "Mr John Smith, a.b@mail.org, 1.2.3.4")], "doc_id long, text string")
+    two = spark.createDataFrame([(2, "Mrs Mary Smith, x@mail.org, 1.2.3.4, Mr Li")], "doc_id long, text string")
+    ledger = pii_surrogates.surrogates_of(one, "k")
+    later = {(r.kind, r.entity): r.surrogate for r in pii_surrogates.surrogates_of(two, "k", ledger=ledger).collect()}
+    first = {(r.kind, r.entity): r.surrogate for r in ledger.collect()}
+    assert all(later[e] == first[e] for e in later.keys() & first.keys()) and ("part", "Smith") in later and ("ipv4", "1.2.3.4") in later
+    assert not {(k, s) for (k, e), s in later.items() if (k, e) not in first} & {(k, s) for (k, _), s in first.items()}
 
 
 def test_equal_rows_are_scanned_once_and_counted_each(spark):
