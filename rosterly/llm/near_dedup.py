@@ -1,16 +1,20 @@
 """Near-duplicate detection with circulant MinHash, banding and exact verification.
 
 A document's set is its distinct 5-word shingles. Two permutations serve for all signature coordinates: the first
-spreads the shingles over a universe of slots; the second ranks the slots, and coordinate k is the least rank under it
-shifted circularly by k slots. Bands of coordinates give candidate buckets; every link is confirmed on full sets.
+spreads the shingles over a universe of 2^32 slots; the second ranks the slots, and coordinate k is the least rank under
+it shifted circularly by k slots. Both are bijections computed by arithmetic, so no table bounds the universe. Bands of
+coordinates give candidate buckets; every link is confirmed on full sets.
 
 Shape of the job, for groups of any size without all pairs:
 1. One pass makes set size, set hash and bands. Documents with equal sets form a class; its least id stands for it.
+   Sets of one or two shingles are similar enough to equal sets alone, so they have no bands.
 2. In each bucket every class is compared with the bucket's least id (a star), and links give components.
-3. Only buckets that still hold several components are looked at again: their members, with their sets, are dealt in
-   blocks of bounded size, and every pair of different components that shares a bucket is compared inside a task;
-   a task returns links alone. New links give the final components.
-A pair with similarity s misses every bucket with probability (1 - s^4)^32, 5e-6 at 0.75, the least that is linked.
+3. Only buckets that still hold several components are looked at again. Members of a bucket's largest component need
+   no comparing with one another, so only the strays, the members of its other components, are dealt to blocks and
+   compared with all members. A group is a block of strays and a block of members, both of bounded size; it returns
+   links alone. New links give the final components.
+A pair with similarity s misses every bucket with probability about (1 - s^4)^32, 5e-6 at 0.75, the least that is
+linked; circulant coordinates are not quite independent, so a test measures the share of pairs that meet.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Shared, stored, table, trimmed
+from .common import BROADCAST_IDS, Shared, dropped, stored, table, trimmed
 from .hashing import WordHashes, mixed, runs
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
-#: Slots of the universe (a power of two), shingles in one block of members.
-SLOTS, BLOCK_SHINGLES = 1 << 22, 1_000_000
+#: Shingles in one block of members.
+BLOCK_SHINGLES = 1_000_000
+#: The largest n with 100 * n < PERCENT * (n + 1): sets of up to n shingles are linked with equal sets alone.
+MAX_EQUAL_ONLY = PERCENT // (100 - PERCENT) - (PERCENT % (100 - PERCENT) == 0)
 SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, bands binary"
 
 
@@ -40,23 +46,33 @@ def shingles(text: str | None, hashes: WordHashes, k: int = SHINGLE) -> np.ndarr
     return np.unique(runs(a, k)) if len(a) >= k else runs(a, len(a)) ^ np.uint64(len(a))
 
 
+def _permuted(x: np.ndarray, odd: tuple[int, int, int]) -> np.ndarray:
+    """A bijection of 32-bit integers, in place: multiplications by odd numbers and shifts folded in."""
+    for k, times in enumerate(odd):
+        x *= np.uint32(times)
+        x ^= x >> np.uint32((15, 13, 16)[k])
+    return x
+
+
 class Circulant:
-    def __init__(self, seed: int = 1):
-        rank = np.random.Generator(np.random.PCG64(seed)).permutation(SLOTS).astype(np.uint32)
-        self.width = BANDS * ROWS
-        self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([rank, rank[: self.width]]), self.width)
-        self.hashes = WordHashes()
+    WIDTH = BANDS * ROWS
+    FIRST, SECOND = (0x2C1B3C6D, 0x297A2D39, 0x85EBCA6B), (0x9E3779B1, 0x7FEB352D, 0x846CA68B)
+
+    def __init__(self):
+        self.hashes, self.shifts = WordHashes(), np.arange(self.WIDTH, dtype=np.uint32)
+
+    def signature(self, s: np.ndarray) -> np.ndarray:
+        slots = _permuted((s ^ (s >> np.uint64(32))).astype(np.uint32), self.FIRST)
+        least = np.full(self.WIDTH, 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(slots), 1024):
+            np.minimum(least, _permuted(slots[at : at + 1024, None] + self.shifts, self.SECOND).min(axis=0), out=least)
+        return least
 
     def bands(self, s: np.ndarray) -> np.ndarray:
-        """One 64-bit hash for each band. The first permutation is a bijection of the slots."""
-        x = s & np.uint64(SLOTS - 1)
-        x = (x * np.uint64(0x2C9277B5)) & np.uint64(SLOTS - 1)
-        x = ((x ^ (x >> np.uint64(11))) * np.uint64(0x5851F42D)) & np.uint64(SLOTS - 1)
-        x = (x ^ (x >> np.uint64(11))).astype(np.int64)
-        least = np.full(self.width, SLOTS, np.uint32)
-        for at in range(0, len(x), 4096):
-            np.minimum(least, self.shifted[x[at : at + 4096]].min(axis=0), out=least)
-        rows = least.reshape(BANDS, ROWS).astype(np.uint64)
+        """One 64-bit hash for each band; none for a set that only an equal one can be linked with."""
+        if len(s) <= MAX_EQUAL_ONLY:
+            return np.zeros(0, np.uint64)
+        rows = self.signature(s).reshape(BANDS, ROWS).astype(np.uint64)
         h = np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in range(ROWS):
             h = mixed(h + rows[:, r] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r))
@@ -64,19 +80,19 @@ class Circulant:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, set hash and bands of each row; bands are empty for an empty set."""
+    """doc_id, set size, set hash and bands of each row; bands are empty for a set that has none."""
     shared = Shared(docs.sparkSession, 1)
 
     @trimmed
     def run(batches):
-        c = shared.get(Circulant)
+        c = shared.get(lambda _: Circulant())
         for b in batches:
             n, key, bands = [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py(), c.hashes)
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(c.bands(s).tobytes() if len(s) else b"")
+                bands.append(c.bands(s).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "bands"])
 
     return docs.mapInArrow(run, SIGNED)
@@ -93,7 +109,7 @@ def banded(reps: DataFrame) -> DataFrame:
                 pa.array(np.repeat(b.column("rep").to_numpy(zero_copy_only=False), BANDS)), pa.array(np.repeat(b.column("n_shingles").to_numpy(zero_copy_only=False), BANDS)),
                 pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), pa.array(raw)], names=["rep", "n_shingles", "band", "key"])
 
-    return reps.select("rep", "n_shingles", "bands").mapInArrow(run, "rep bigint, n_shingles bigint, band int, key bigint")
+    return reps.where(F.length("bands") > 0).select("rep", "n_shingles", "bands").mapInArrow(run, "rep bigint, n_shingles bigint, band int, key bigint")
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -142,38 +158,40 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old"))
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("least"))
         after = stored(hooked.join(jump, "label").select("node", F.col("least").alias("label"), (F.col("least") != F.col("old")).alias("moved")), "labels")
+        dropped(labels)
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
+            dropped(both)
             return labels
 
 
 def cross_links(members: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between different components that share a bucket. members: key, band, rep, n_shingles, label, of buckets
-    with several labels. A bucket's members are dealt to blocks of about BLOCK_SHINGLES; each pair of blocks is a group."""
-    size = members.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("key", "band", "rep", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(reps.select("rep", "bands"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    with several labels. Per bucket, strays (members outside its largest component) and all members are each dealt to
+    blocks of about BLOCK_SHINGLES; a group is one block of each."""
+    size = members.groupBy("key", "label").agg(F.sum("n_shingles").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
+    size = size.select("key", "main", blocks(F.col("n")).alias("bs"), F.greatest(blocks(F.col("n") - F.col("most")), F.lit(1)).alias("ss"))
+    dealt = members.join(size, "key").withColumn("stray", F.col("label") != F.col("main"))
+    own = F.pmod(F.xxhash64("rep"), F.col("bs")).cast("int")
+    every = dealt.select("key", "band", "rep", "label", F.lit(False).alias("stray"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("ss") - 1)).alias("j"))
+    some = dealt.where("stray").select("key", "band", "rep", "label", "stray", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), F.col("ss")).cast("int").alias("j"))
+    full = every.unionByName(some).join(reps.select("rep", "bands"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
 
     def run(group: pa.Table) -> pa.Table:
         band = group.column("band")[0].as_py()
-        rep = group.column("rep").to_numpy()
-        _, label, count = np.unique(group.column("label").to_numpy(), return_inverse=True, return_counts=True)
-        order = np.lexsort((rep, label, count[label]))  # members of small components first
-        rep, label = rep[order], label[order]
-        data = [np.frombuffer(group.column("shingles")[int(k)].as_py(), np.uint64) for k in order]
-        bands = np.frombuffer(b"".join(group.column("bands")[int(k)].as_py() for k in order), np.int64).reshape(-1, BANDS)
+        rep, stray = group.column("rep").to_numpy(), group.column("stray").to_numpy()
+        _, label = np.unique(group.column("label").to_numpy(), return_inverse=True)
+        data = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+        bands = np.frombuffer(b"".join(x.as_py() for x in group.column("bands")), np.int64).reshape(-1, BANDS)
         n = np.array([len(s) for s in data])
         _, flat = np.unique(np.concatenate(data), return_inverse=True)
         first = np.concatenate([[0], np.cumsum(n)])
         mark = np.zeros(int(flat.max()) + 1, np.bool_)
+        others = np.flatnonzero(~stray)
         links = []
-        for i in range(len(rep)):
-            if label[i] == label[-1] and (label[i:] == label[-1]).all():
-                break
-            rest = np.arange(i + 1, len(rep))
-            rest = rest[(label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))]
+        for i in np.flatnonzero(stray):
+            rest = others[(label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
             if band:  # a pair is looked at in the first band that it shares
                 rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
             if not len(rest):
@@ -218,6 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = stored(texts.join(shared_ids, "doc_id", "left_semi").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "links")
     if not (more.isEmpty() and same.isEmpty()):
         labels = components(star.union(more).union(same))
+    for used in (reps, multi, sets, star, more):
+        dropped(used)
     out = sig.join(classes, "set_hash", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -231,3 +251,16 @@ def deduplicated(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op9_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM d UNION SELECT link.b, reach.low FROM reach JOIN link ON link.a = reach.node WHERE reach.low < link.b),
+least AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least.low AS component_id, d.doc_id = least.low AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.node = d.doc_id
+"""

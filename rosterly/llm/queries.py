@@ -16,4 +16,10 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-SQL = {"op2_substring_dedup": substring_dedup.SQL, "op5_decontamination": decontamination.SQL, "op10_quality_rules": quality_rules.SQL}
+SQL = {
+    "op2_substring_dedup": substring_dedup.SQL,
+    "op5_decontamination": decontamination.SQL,
+    "op6_sharding": sharding.SQL,
+    "op9_near_dedup": near_dedup.SQL,
+    "op10_quality_rules": quality_rules.SQL,
+}

@@ -66,6 +66,16 @@ def write_shards(docs: DataFrame, key_col: str, shards: list[str], path: str, sl
     place(docs, key_col, shards, slots).withColumn("_part", spread).repartition("shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
 
 
+NAMES = [f"shard-{i:03d}" for i in range(SHARDS)]
+
+
 def op6_sharding(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return place(docs, "doc_id", [f"shard-{i:03d}" for i in range(SHARDS)]).select("doc_id", F.col("slot").cast("bigint").alias("slot"), "shard")
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", NAMES).select("doc_id", F.col("slot").cast("bigint").alias("slot"), "shard")
+
+
+#: The table is given to SQL as a list; the place of a key in it is worked out there.
+SQL = f"""
+WITH k AS (SELECT doc_id, CAST('0x' || left(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT) % {SLOTS} AS slot FROM documents),
+t AS (SELECT {lookup_table(NAMES)} AS owner)
+SELECT doc_id, slot, format('shard-{{:03d}}', owner[slot + 1]) AS shard FROM k, t
+"""
