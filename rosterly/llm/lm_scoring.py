@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, dropped, stored, table
+from .common import Shared, dropped, stored, table, trimmed
 from .hashing import WordHashes
 
 DEPTH = 5
@@ -40,7 +40,7 @@ HOT, WORDS = 4_000_000, 4_000_000
 #: No UTF-8 text holds this byte: it ends a text and stands before it.
 END = 255
 #: Bytes handled at a time, and distinct n-grams or words held before they are handed on.
-CHUNK, HELD = 1 << 20, 400_000
+CHUNK, HELD = 1 << 20, 500_000
 FOLDS = 10
 _END_WORD = b"\n"  # no word is a line break
 
@@ -84,9 +84,14 @@ def corpus_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
     def rows(kind, keys, n):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
+    def merged(parts):
+        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+
+    @trimmed
     def run(batches):
         hashes = shared.get(lambda _: WordHashes())
-        words, keys, n = Counter(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words, grams, held = Counter(), [], 0
 
         def word_rows():
             return rows(0, np.fromiter((hashes[w] for w in words), np.uint64, len(words)).view(np.int64), np.fromiter(words.values(), np.int64, len(words)))
@@ -100,16 +105,18 @@ def corpus_counts(train: DataFrame, depth: int = DEPTH) -> DataFrame:
                     if len(words) > HELD:
                         yield word_rows()
                         words = Counter()
-                for _, _, grams in pieces(texts, depth):
-                    k, c = np.unique(grams, return_counts=True)
-                    every, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                    n = np.bincount(back, np.concatenate([n, c]), len(every)).astype(np.int64)
-                    keys = every
-                    if len(keys) > HELD:
-                        yield rows(1, keys, n)
-                        keys, n = keys[:0], n[:0]
+                for _, _, key in pieces(texts, depth):
+                    grams.append(np.unique(key, return_counts=True))
+                    held += len(grams[-1][0])
+                    if held > 2 * HELD:
+                        grams = [merged(grams)]
+                        held = len(grams[0][0])
+                        if held > HELD:
+                            yield rows(1, *grams[0])
+                            grams, held = [], 0
         yield word_rows()
-        yield rows(1, keys, n)
+        if grams:
+            yield rows(1, *merged(grams))
 
     return train.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -237,47 +244,57 @@ class Lookup:
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int32)
         if not len(self.keys):
-            return out
-        ask = np.arange(len(keys))
-        for factor, bits, slot in self.tables:
+            return np.full(len(keys), -1, np.int32)
+        factor, bits, slot = self.tables[0]
+        out = slot[self._slot(keys, factor, bits)]
+        other = np.flatnonzero(self.keys[out] != keys)  # -1, an empty slot: no such key
+        if len(other):
+            ask = other[out[other] >= 0]
+            out[other] = -1
+            factor, bits, slot = self.tables[1]
             row = slot[self._slot(keys[ask], factor, bits)]
             good = (row >= 0) & (self.keys[row] == keys[ask])
             out[ask[good]] = row[good]
-            ask = ask[~good & (row >= 0)]  # an empty slot: no such key
-        if self.others and len(ask):
-            at = np.minimum(np.searchsorted(self.keys, keys[ask]), len(self.keys) - 1)
-            good = self.keys[at] == keys[ask]
-            out[ask[good]] = at[good]
+            ask = ask[~good & (row >= 0)]
+            if self.others and len(ask):
+                at = np.minimum(np.searchsorted(self.keys, keys[ask]), len(self.keys) - 1)
+                good = self.keys[at] == keys[ask]
+                out[ask[good]] = at[good]
         return out
 
 
 class Scorer:
     def __init__(self, value):
-        self.depth, self.grams, self.values, self.hot, self.count, self.n, self.v = value
-        self.hashes, self.look, self.look_words = WordHashes(), Lookup(self.grams), Lookup(self.hot)
-        self.hot_log = np.log10((self.count + 0.1) / (self.n + 0.1 * (self.v + 1)))
+        self.depth, grams, values, hot, count, n, v = value
+        self.hashes, self.look, self.look_words = WordHashes(), Lookup(grams), Lookup(hot)
+        self.values = np.append(values, 0.0)  # the last stands for keys that the table lacks
+        self.logs = np.append(np.log10((count + 0.1) / (n + 0.1 * (v + 1))) if n else count, 0.0)
 
     def scores(self, texts: list[bytes]):
         """What the broadcast grams add to each text's score; owner, key and count of all other grams."""
         out, others = np.zeros(len(texts)), []
         for owner, lengths, key in pieces(texts, self.depth):
             row = self.look.rows(key)
-            value = np.where(row >= 0, self.values[row], 0.0) if len(self.grams) else np.zeros(len(key))
-            np.add.at(out, owner, np.add.reduceat(value, np.cumsum(lengths) - lengths))
+            np.add.at(out, owner, np.add.reduceat(self.values[row], np.cumsum(lengths) - lengths))
             rest = np.flatnonzero(row < 0)
             others.append(_counted(np.stack([np.repeat(np.array(owner), lengths)[rest], key[rest]])))
         return out, np.concatenate(others, axis=1) if others else np.zeros((3, 0), np.int64)
 
-    def base(self, text: bytes):
-        """Tokens, of which broadcast words, their part of the score, and the hashes of all other tokens."""
-        ws = text.split()
-        ws.append(_END_WORD)
-        h = self.hashes.of(ws).view(np.int64)
-        row = self.look_words.rows(h)
+    def base(self, texts: list[bytes]):
+        """For each text its tokens, those of broadcast words and their part of the score; hashes of all other tokens, and
+        where those of each text begin."""
+        parts = []
+        for text in texts:
+            ws = text.split()
+            ws.append(_END_WORD)
+            parts.append(self.hashes.of(ws))
+        n = np.array([len(x) for x in parts])
+        h = np.concatenate(parts).view(np.int64)
+        row, first = self.look_words.rows(h), np.cumsum(n) - n
         hit = row >= 0
-        return len(h), int(hit.sum()), float(self.hot_log[row[hit]].sum()) if len(self.hot) else 0.0, h[~hit]
+        known = np.add.reduceat(hit.astype(np.int64), first)
+        return n, known, np.add.reduceat(self.logs[row], first), h[~hit], np.concatenate([[0], np.cumsum(n - known)]).astype(np.int32)
 
 
 def _counted(pair: np.ndarray) -> np.ndarray:
@@ -309,19 +326,20 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, hot: int = HOT,
     order = np.argsort(key)
     shared = Shared(spark, (depth, key[order], value[order], often.column("key").to_numpy(), often.column("n").to_numpy(), n, v))
 
+    @trimmed
     def run(batches):
         s = shared.get(Scorer)
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.slice(at, 1000)
                 texts = [(t.as_py() or "").encode().lower() for t in part.column("text")]
-                base = [s.base(t) for t in texts]
+                n_tokens, n_known, base, rare, from_ = s.base(texts)
                 total, (owner, other, times) = s.scores(texts)
                 ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int64()))
+                lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at), pa.array(x, pa.int64()))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("held_out"), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([x[0] for x in base], pa.int64()), pa.array([x[1] for x in base], pa.int64()), pa.array([x[2] for x in base], pa.float64()),
-                    pa.array(total, pa.float64()), pa.array([x[3] for x in base], pa.list_(pa.int64())), lists(other), lists(times)], names=["doc_id", "held_out", "size", "n_tokens", "n_known", "base_score", "score", "rare", "grams", "times"])
+                    part.column("doc_id"), part.column("held_out"), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
+                    pa.array(total, pa.float64()), lists(from_, rare), lists(ends, other), lists(ends, times)], names=["doc_id", "held_out", "size", "n_tokens", "n_known", "base_score", "score", "rare", "grams", "times"])
 
     first = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, size bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, grams array<bigint>, times array<bigint>")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), "scored")
