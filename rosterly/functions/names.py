@@ -34,11 +34,11 @@ def search_name(s: Column) -> Column:
     return _tidy(_folded(low))
 
 
-def core_name(s: Column) -> Column:
+def core_name(s: Column, stop: list[str] = STOP) -> Column:
     """A team's name without marks, stop words and founding years; letters without a plain form vanish."""
     folded = F.regexp_replace(_folded(s), r"[^\x00-\x7F]", "")
     w = F.split(_tidy(folded), " ")
-    return F.array_join(F.filter(w, lambda x: ~x.isin(STOP) & ~x.rlike("^(18|19|20)[0-9]{2}$")), " ")
+    return F.array_join(F.filter(w, lambda x: ~x.isin(stop) & ~x.rlike("^(18|19|20)[0-9]{2}$")), " ")
 
 
 def initials(s: Column) -> Column:

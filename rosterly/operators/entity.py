@@ -49,3 +49,15 @@ def lineage(team: DataFrame, merges: DataFrame, leagues: DataFrame) -> DataFrame
 def stray_current(current: DataFrame, team: DataFrame) -> DataFrame:
     """Curated current members of leagues that the universe lacks."""
     return current.join(team.select("team_id"), "team_id", "left_anti")
+
+
+def with_current(team: DataFrame, current: DataFrame, merges: DataFrame) -> DataFrame:
+    """team with the league (current_idx) in which a curated list says it plays, merged ids taken as their canonical
+    ones; the least of several, null for none."""
+    now = canonical(current.select("team_id", "idx"), merges).groupBy("team_id").agg(F.min("idx").alias("current_idx"))
+    return team.join(now, "team_id", "left")
+
+
+def with_attributes(members: DataFrame, attributes: DataFrame) -> DataFrame:
+    """members (member_id) with their attributes; unknown ones are null, and the name of a member without one is its id."""
+    return members.join(attributes, "member_id", "left").withColumn("name", F.coalesce("name", F.col("member_id").cast("string")))

@@ -81,6 +81,12 @@ def regressions(now: DataFrame, baseline: DataFrame, count_share: float = 0.97,
     return reduce(DataFrame.unionByName, [j.where(w).select(F.lit(k).alias("check"), d.cast("string").alias("detail")) for k, w, d in bad])
 
 
+def report(found: DataFrame, shown: int = 20) -> DataFrame:
+    """The first failures of a gate, by check and detail, with the number of all."""
+    total = found.agg(F.count("*").alias("failures"))
+    return found.orderBy("check", "detail").limit(shown).join(F.broadcast(total), F.lit(True))
+
+
 def enforce(found: DataFrame, shown: int = 20) -> None:
     """Raise with the first failures of a gate, if there are any."""
     first = found.limit(shown).collect()

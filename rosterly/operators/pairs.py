@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from rosterly.functions.names import dotted_initials
 
-#: Weights and limits of fame and ease; all are parameters of the functions through this one table.
+#: Weights and limits of fame and ease; all are parameters of the functions through this one table.
 W = {"apps": 0.75, "goals": 3.0, "apps_cap": 260, "goals_cap": 70, "career": 0.4, "photo": 20.0, "full_season": 25, "unknown_apps": 12}
 
 
 def stature(team_sizes: DataFrame, marquee: DataFrame, least: int = 120) -> DataFrame:
     """(team_id, stature): teams of at least `least` members ranked by size within their country (column cc): the upper
     40 % have 1, the next 30 % 0.82, the rest 0.66; marquee teams 1.15; teams under `least` have 0.66 whoever they are."""
-    big = team_sizes.where(F.col("n") >= least).join(F.broadcast(marquee.select("team_id", F.lit(True).alias("marquee"))), "team_id", "left")
+    big = team_sizes.where(F.col("n") >= least).join(marquee.select("team_id", F.lit(True).alias("marquee")), "team_id", "left")
     by = Window.partitionBy("cc").orderBy("n", "team_id")
     count = F.count("*").over(Window.partitionBy("cc"))
     pct = F.when(count > 1, (F.row_number().over(by) - 1).cast("double") / (count - 1).cast("double")).otherwise(1.0)
@@ -33,7 +33,7 @@ def pools(team_sizes: DataFrame, star: int = 400, sub: int = 120, obs: int = 250
 
 def marquee_tallies(posting: DataFrame, statures: DataFrame, marquee: DataFrame, member: DataFrame) -> DataFrame:
     """(member_id, m_apps, m_goals): positive tallies at marquee teams, weighted by stature; no goals of goalkeepers."""
-    own = posting.join(F.broadcast(marquee.select("team_id")), "team_id", "left_semi").join(statures, "team_id").join(member.select("member_id", "gk"), "member_id")
+    own = posting.join(marquee.select("team_id"), "team_id", "left_semi").join(statures, "team_id").join(member.select("member_id", "gk"), "member_id")
     more = lambda c: F.when(F.col(c) > 0, F.col("stature") * F.col(c)).otherwise(0.0)
     return own.groupBy("member_id").agg(F.sum(more("apps")).alias("m_apps"), F.sum(F.when(~F.coalesce("gk", F.lit(False)), more("goals")).otherwise(0.0)).alias("m_goals"))
 
@@ -70,7 +70,7 @@ def answers(posting: DataFrame, member: DataFrame, statures: DataFrame, marquee:
     Fame adds recency (scaled by play at the pair; none or unknown apps leave a sliver), capped tallies at the pair and
     at marquee teams elsewhere (scaled by era), and a photo. Unknown birth counts as age 99 and the oldest era.
     """
-    mq = F.broadcast(marquee.select("team_id", F.lit(True).alias("mq")))
+    mq = marquee.select("team_id", F.lit(True).alias("mq"))
     tallied = marquee_tallies(posting, statures, marquee, member)
     rated = posting.join(statures, "team_id").join(mq, "team_id", "left").join(member.select("member_id", "gk"), "member_id")
     s = F.col("stature")
@@ -101,10 +101,11 @@ def pair_facts(answer: DataFrame, team: DataFrame, lesser_cc: list[str]) -> Data
 
     lesser_cc: countries whose leagues make a pair a notch harder. team: (team_id, league_cc).
     """
-    top = ranked(answer)
-    nth = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("fame"))), F.lit(0.0)).alias(f"f{k}")
-    per = top.groupBy("team_a", "team_b").agg(F.count("*").alias("n"), F.max("n_marquee").alias("n_marquee"), nth(1), nth(2), nth(3), nth(4), F.min_by("birth", "member_id").isNotNull().alias("birth_known"))
-    factor = F.broadcast(team.select("team_id", F.when(F.col("league_cc").isin(lesser_cc), 0.93).otherwise(1.0).alias("factor")))
+    nth = lambda k: F.coalesce(F.get("_top", F.lit(k - 1)), F.lit(0.0)).alias(f"f{k}")
+    best = F.slice(F.sort_array(F.collect_list("fame"), asc=False), 1, 4)  # a pair's answers are few: members that two teams share
+    per = answer.groupBy("team_a", "team_b").agg(F.count("*").alias("n"), F.max("n_marquee").alias("n_marquee"), best.alias("_top"), F.min_by("birth", "member_id").isNotNull().alias("birth_known"))
+    per = per.select("team_a", "team_b", "n", "n_marquee", nth(1), nth(2), nth(3), nth(4), "birth_known")
+    factor = team.select("team_id", F.when(F.col("league_cc").isin(lesser_cc), 0.93).otherwise(1.0).alias("factor"))
     per = per.join(factor.withColumnsRenamed({"team_id": "team_a", "factor": "fa"}), "team_a").join(factor.withColumnsRenamed({"team_id": "team_b", "factor": "fb"}), "team_b")
     over = lambda c: F.greatest(F.col(c) - 250, F.lit(0.0))
     ease = F.col("f1") + 0.3 * over("f2") + 0.18 * over("f3") + 0.1 * over("f4") + 2 * F.least("n", F.lit(25))

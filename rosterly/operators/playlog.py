@@ -15,25 +15,31 @@ def first_guesses(events: DataFrame) -> DataFrame:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The final state of each run of (run_id, seq, kind): kind is right, wrong, skip, resign or hint.
+    """The final state of each run of (run_id, seq, kind, member_id): kind is right, wrong, skip, resign or hint.
 
     A right guess moves on and wins at the fourth stage; a wrong one costs one of five lives, the last of which loses;
-    a skip leaves a stage that is not the last unsolved; a resignation loses. After the end nothing changes. One fold
-    over the ordered events of a run, which are few.
+    a guess of a member that was guessed in this stage before changes nothing; a skip leaves a stage that is not the
+    last unsolved; a resignation loses. After the end nothing changes. One fold over the ordered events of a run, which
+    are few.
     """
-    state = F.struct(F.lit(0).alias("stage"), F.lit(LIVES).alias("lives"), F.lit(0).alias("wrong"), F.lit(0).alias("skipped"), F.lit(False).alias("done"), F.lit(False).alias("won"))
+    none = F.array().cast("array<bigint>")
+    state = F.struct(F.lit(0).alias("stage"), F.lit(LIVES).alias("lives"), F.lit(0).alias("wrong"), F.lit(0).alias("skipped"), F.lit(False).alias("done"), F.lit(False).alias("won"), none.alias("guessed"))
 
     def step(s: Column, e: Column) -> Column:
         k, last = e["kind"], s["stage"] == STAGES - 1
+        guess = k.isin("right", "wrong")
+        again = guess & F.array_contains(s["guessed"], e["member_id"])
         right, wrong, skip, out = k == "right", k == "wrong", (k == "skip") & ~last, k == "resign"
+        on = (right & ~last) | skip
         new = F.struct(
-            (s["stage"] + F.when(right & ~last, 1).when(skip, 1).otherwise(0)).alias("stage"), (s["lives"] - wrong.cast("int")).alias("lives"), (s["wrong"] + wrong.cast("int")).alias("wrong"),
+            (s["stage"] + on.cast("int")).alias("stage"), (s["lives"] - wrong.cast("int")).alias("lives"), (s["wrong"] + wrong.cast("int")).alias("wrong"),
             (s["skipped"] + skip.cast("int")).alias("skipped"), ((right & last) | (wrong & (s["lives"] == 1)) | out).alias("done"), (right & last).alias("won"),
+            F.when(on, none).when(guess, F.array_append(s["guessed"], e["member_id"])).otherwise(s["guessed"]).alias("guessed"),
         )
-        return F.when(s["done"], s).otherwise(new)
+        return F.when(s["done"] | F.coalesce(again, F.lit(False)), s).otherwise(new)
 
-    runs = events.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind"))).alias("e"))
-    return runs.select("run_id", F.aggregate("e", state, step).alias("s")).select("run_id", "s.*")
+    runs = events.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", F.col("member_id").cast("bigint").alias("member_id")))).alias("e"))
+    return runs.select("run_id", F.aggregate("e", state, step).alias("s")).select("run_id", "s.*").drop("guessed")
 
 
 def solved(runs: DataFrame) -> DataFrame:
@@ -100,6 +106,23 @@ def board_source(days: DataFrame, replays: DataFrame, archive: DataFrame, genera
     return out.select("user_id", "date", F.coalesce("replay", "archive", "generated").alias("source"))
 
 
+def gated(saved: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The saved days of (user_id, date) that may be shown again: those whose teams are all known still."""
+    return saved.join(resolved.select("user_id", "date").distinct(), ["user_id", "date"], "left_semi")
+
+
+def backfilled(archive: DataFrame, runs: DataFrame) -> DataFrame:
+    """The archive (user_id, date, won) with finished runs (user_id, date, done, won) of days that it lacks."""
+    missing = runs.where("done").groupBy("user_id", "date").agg(F.bool_or("won").alias("won")).join(archive, ["user_id", "date"], "left_anti")
+    return archive.select("user_id", "date", "won").unionByName(missing)
+
+
+def share_text(number: Column, codes: Column, won: Column, wrong: Column, hints: Column, streak: Column) -> Column:
+    """The line to share: puzzle number, symbols, misses and hints where there were any, and a streak of two or more."""
+    some = lambda n, word: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}")))
+    return F.concat_ws(" · ", F.concat(F.lit("#"), number.cast("string"), F.lit(" "), share_line(codes)), F.when(won, "won").otherwise("lost"), some(wrong, "missed"), some(hints, "hints"), F.when(streak > 1, F.concat(F.lit("streak "), streak.cast("string"))))
+
+
 def resolved_days(stored: DataFrame, team: DataFrame) -> DataFrame:
     """Days of (user_id, date, qid) whose teams are all known still; others must be drawn again."""
     j = stored.join(team.select("qid", F.lit(True).alias("known")), "qid", "left")

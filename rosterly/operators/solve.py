@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterly.sources.stages import stored
+
 
 def common_members(posting: DataFrame, member: DataFrame, team_ids: list[int]) -> DataFrame:
     """The members that have a posting at every chosen team, with combined tallies.
@@ -70,6 +72,7 @@ def result_order(by: str, descending: bool = True) -> list[Column]:
 
 def page(result: DataFrame, order: list[Column], start: int = 0, size: int = 50) -> DataFrame:
     """Rows start .. start + size - 1 of the order with their rank, from 1, and how many follow the page."""
+    result = stored(result)  # the page and its total read it
     ranked = result.orderBy(*order).offset(start).limit(size)
     rank = F.row_number().over(Window.orderBy(*order)) + start  # over one page
     total = result.agg(F.count("*").alias("_total"))
@@ -83,12 +86,14 @@ def solve(posting, member, team_ids, born_from=None, born_to=None, no_zero=False
 
 
 def effective_end(spells: DataFrame, build_year: int) -> DataFrame:
-    """spells with eff: the end; for an open spell the start of the member's next spell that is no loan and not earlier,
-    else the build year; null where the start is unknown."""
-    w = Window.partitionBy("member_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("start_year").isNotNull() & ~F.coalesce("loan", F.lit(False)), F.col("start_year")), ignorenulls=True).over(w)
+    """spells with eff: the end; for an open spell the start of the member's next spell, by seq, that is no loan and starts
+    no earlier; else the build year; null where the start is unknown. A member's later starts, which are few, are
+    gathered backwards, so each row adds one."""
+    w = Window.partitionBy("member_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.collect_list(F.when(~F.coalesce("loan", F.lit(False)), F.col("start_year"))).over(w)  # nearest last
+    following = F.get(F.reverse(F.filter("_later", lambda y: y >= F.col("start_year"))), F.lit(0))
     opened = F.col("start_year").isNotNull() & F.col("end_year").isNull()
-    return spells.withColumn("eff", F.when(opened, F.coalesce(following, F.lit(build_year))).when(F.col("start_year").isNotNull(), F.col("end_year")))
+    return spells.withColumn("_later", later).withColumn("eff", F.when(opened, F.coalesce(following, F.lit(build_year))).when(F.col("start_year").isNotNull(), F.col("end_year"))).drop("_later")
 
 
 def shared_teams(spells: DataFrame, member_ids: list[int]) -> DataFrame:
@@ -121,3 +126,12 @@ def shared_totals(spells: DataFrame, member_ids: list[int]) -> DataFrame:
     own = spells.where(F.col("member_id").isin(ids)).join(shared, "team_name", "left_semi").withColumn("goals", F.when(~F.coalesce("gk", F.lit(False)), F.col("goals")))
     level = F.grouping_id()
     return own.groupingSets([["team_name", "member_id"], ["team_name"], ["member_id"], []], "team_name", "member_id").agg(F.sum("apps").alias("apps"), F.sum("goals").alias("goals"), F.count("*").alias("n_spells"), level.alias("level"))
+
+
+def team_records(shared: DataFrame, team: DataFrame, league: DataFrame) -> DataFrame:
+    """shared (team_name ...) with the record of the team of that name: team_id, cc and current league ("Others" where it
+    plays in none now). Of several teams with one name the greatest id counts; an unknown name has nulls."""
+    idx = F.when(F.col("dissolved").isNull(), F.col("cur_league"))
+    one = team.groupBy(F.col("name").alias("team_name")).agg(F.max_by(F.struct("team_id", "cc", idx.alias("idx")), "team_id").alias("t")).select("team_name", "t.*")
+    known = one.join(league.select("idx", F.col("name").alias("league")), "idx", "left").select("team_name", "team_id", "cc", F.coalesce("league", F.lit("Others")).alias("league"))
+    return shared.join(known, "team_name", "left")

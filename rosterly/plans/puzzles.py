@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterly.functions.names import flag, image_key, thumbnail
-from rosterly.operators import clean, gate, overlay, pairs, playlog, schedule
+from rosterly.operators import clean, gate, overlay, pairs, playlog, schedule, solve
+from rosterly.plans import solving
 from rosterly.sources import adapter as A
 from rosterly.sources import export
 from rosterly.sources import statements as S
+from rosterly.sources.stages import stored
 
 QUERIES, SQL = {}, {}
 LESSER = ["AFRICA", "ASIA"]
@@ -40,9 +42,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _sizes(spark, d):
+def _sizes(spark, d, posting=None):
     """team_id, n, cc of the league (of the team where it has none), cur_league, dissolved."""
-    n = A.posting(spark, d).groupBy("team_id").agg(F.count("*").alias("n"))
+    n = (A.posting(spark, d) if posting is None else posting).groupBy("team_id").agg(F.count("*").alias("n"))
     league = F.broadcast(A.league(spark, d).select(F.col("idx").alias("cur_league"), F.col("cc").alias("l_cc")))
     return A.team(spark, d).join(n, "team_id").join(league, "cur_league", "left").select("team_id", "n", F.coalesce("l_cc", "cc").alias("cc"), "cur_league", "dissolved")
 
@@ -85,9 +87,12 @@ def _(spark, d):
     return pairs.pair_members(A.posting(spark, d)).groupBy("team_a", "team_b").agg(F.count("*").alias("n"), F.sum("apps_a").alias("apps_a"), F.sum("goals_b").alias("goals_b"))
 
 
-def _answers(spark, d):
+def _answers(spark, d, posting=None, sizes=None):
+    """The answers of all pairs; postings and team sizes are worked out once and stored."""
+    posting = stored(A.posting(spark, d)) if posting is None else posting
+    sizes = stored(_sizes(spark, d, posting)) if sizes is None else sizes
     marquee = A.marquee(spark, d)
-    return pairs.answers(A.posting(spark, d), A.member(spark, d), pairs.stature(_sizes(spark, d), marquee), marquee, A.BUILD_YEAR)
+    return pairs.answers(posting, A.member(spark, d), stored(pairs.stature(sizes, marquee)), marquee, A.BUILD_YEAR)
 
 
 def _side(x: str) -> str:
@@ -122,9 +127,10 @@ facts1 AS (SELECT f.*, dg6((f1 + 0.3 * greatest(f2 - 250, 0) + 0.18 * greatest(f
 facts AS (SELECT team_a, team_b, n, dg6(e + CASE WHEN e >= 500 THEN CASE WHEN nm = 2 THEN 35 ELSE -45 * (2 - nm) END ELSE 0 END) AS ease, birth_known FROM facts1)"""
 
 
-def _facts(spark, d):
-    sizes = _sizes(spark, d).select("team_id", F.col("cc").alias("league_cc"))
-    return pairs.pair_facts(_answers(spark, d).withColumn("fame", pairs.digits(F.col("fame"), 4)), sizes, LESSER)
+def _facts(spark, d, posting=None, sizes=None):
+    posting = stored(A.posting(spark, d)) if posting is None else posting
+    sizes = stored(_sizes(spark, d, posting)) if sizes is None else sizes
+    return pairs.pair_facts(_answers(spark, d, posting, sizes).withColumn("fame", pairs.digits(F.col("fame"), 4)), sizes.select("team_id", F.col("cc").alias("league_cc")), LESSER)
 
 
 @query("pair_ease", f"{ANSWERS.replace('AS n_marquee, dg6(', 'AS n_marquee, dg64(')}, {FACTS} SELECT team_a, team_b, n, dg2(ease) AS ease, birth_known FROM facts")
@@ -140,7 +146,11 @@ def _ladder(spark):
 
 
 def _cands(spark, d):
-    return schedule.candidates(_facts(spark, d).withColumn("ease", pairs.digits(F.col("ease"), 2)), _pools(spark, d), _ladder(spark))
+    """Candidates, and the sizes of teams, both stored."""
+    posting = stored(A.posting(spark, d))
+    sizes = stored(_sizes(spark, d, posting))
+    facts = _facts(spark, d, posting, sizes).withColumn("ease", pairs.digits(F.col("ease"), 2))
+    return stored(schedule.candidates(facts, pairs.pools(sizes, star=500, sub=120, obs=520), _ladder(spark))), sizes
 
 
 _PICK = lambda side, col: "CASE " + col + " " + " ".join(f"WHEN '{p}' THEN {side}.{p}" for p in ("star", "sub", "field", "obs", "any300", "any100")) + " END"
@@ -152,20 +162,25 @@ cands AS (SELECT stage, tier, CASE WHEN straight THEN lo ELSE hi END AS team_a,
 
 @query("puzzle_candidates", CANDS + " SELECT * FROM cands")
 def _(spark, d):
-    return _cands(spark, d)
+    return _cands(spark, d)[0]
 
 
 @query("puzzle_first_tier", CANDS + " SELECT stage, min(tier) AS tier, count(*) FILTER (tier = low) AS n FROM (SELECT *, min(tier) OVER (PARTITION BY stage) AS low FROM cands) GROUP BY 1")
 def _(spark, d):
-    return schedule.first_tier(_cands(spark, d), ["stage"]).groupBy("stage").agg(F.min("tier").alias("tier"), F.count("*").alias("n"))
+    return schedule.first_tier(_cands(spark, d)[0], ["stage"]).groupBy("stage").agg(F.min("tier").alias("tier"), F.count("*").alias("n"))
 
 
 @query("puzzle_draws", CANDS + """, days AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-01-15', INTERVAL 1 DAY)), f AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY stage) AS low FROM cands) WHERE tier = low)
 SELECT date, stage, tier, team_a, team_b FROM (SELECT *, row_number() OVER (PARTITION BY date, stage ORDER BY md5(concat_ws('|', date, stage, cc)), md5(concat_ws('|', date, stage, team_a, team_b)), team_a, team_b) AS r FROM days, f JOIN (SELECT team_id, cc FROM sizes) s ON s.team_id = f.team_a) WHERE r = 1""")
 def _(spark, d):
     days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-14')) AS date")
-    c = schedule.first_tier(_cands(spark, d), ["stage"]).crossJoin(F.broadcast(days))
-    return schedule.drawn(c, ["date", "stage"], ["date", "stage"], _sizes(spark, d).select("team_id", F.col("cc").alias("league_cc"))).select("date", "stage", "tier", "team_a", "team_b")
+    cands, sizes = _cands(spark, d)
+    return _draws(cands, sizes, days).select("date", "stage", "tier", "team_a", "team_b")
+
+
+def _draws(cands, sizes, days):
+    c = schedule.first_tier(cands, ["stage"]).crossJoin(F.broadcast(days))
+    return schedule.drawn(c, ["date", "stage"], ["date", "stage"], sizes.select("team_id", F.col("cc").alias("league_cc")))
 
 
 @query("pair_nationalities", ANSWERS + " SELECT team_a, team_b, coalesce(nat, '') AS nat, count(*) AS n FROM ans GROUP BY 1, 2, 3")
@@ -174,10 +189,10 @@ def _(spark, d):
 
 
 @query("same_generation", """own AS (SELECT team_id, member_id, birth FROM posting JOIN member USING (member_id) WHERE img IS NOT NULL AND birth IS NOT NULL)
-SELECT a.member_id AS anchor_id, a.team_id, b.member_id FROM own a JOIN own b ON a.team_id = b.team_id AND abs(a.birth - b.birth) <= 2 AND a.member_id <> b.member_id WHERE a.member_id % 50 = 1""")
+SELECT a.member_id AS anchor_id, a.team_id, b.member_id FROM own a JOIN own b ON a.team_id = b.team_id AND abs(a.birth - b.birth) <= 2 AND a.member_id <> b.member_id""")
 def _(spark, d):
     m = A.member(spark, d)
-    return schedule.same_generation(A.posting(spark, d), m, m.where("member_id % 50 = 1"))
+    return schedule.same_generation(A.posting(spark, d), m, m)
 
 
 @query("puzzle_numbers", "SELECT event_id, CAST(date_diff('day', DATE '2024-01-05', CAST(ts AS DATE)) + 1 AS INT) AS puzzle, CAST(((date_diff('day', DATE '2024-01-05', CAST(ts AS DATE))) // 90) * 90 + 1 AS INT) AS block FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-05'")
@@ -202,9 +217,11 @@ EVENTS = f"""ev AS (SELECT user_id, user_id || '-' || (date_diff('day', DATE '{E
 
 FOLD = EVENTS + """, o AS (SELECT run_id, kind, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i FROM ev)
 """
-FOLD_SQL = "WITH RECURSIVE " + A.ADAPTER + ",\n" + FOLD + """, runs AS (SELECT run_id, 0 AS i, 0 AS stage, 5 AS lives, 0 AS wrong, 0 AS skipped, false AS done, false AS won FROM (SELECT DISTINCT run_id FROM o)
-UNION ALL SELECT r.run_id, r.i + 1, CASE WHEN done THEN stage WHEN kind IN ('right', 'skip') AND stage < 3 THEN stage + 1 ELSE stage END, CASE WHEN NOT done AND kind = 'wrong' THEN lives - 1 ELSE lives END, CASE WHEN NOT done AND kind = 'wrong' THEN wrong + 1 ELSE wrong END,
-CASE WHEN NOT done AND kind = 'skip' AND stage < 3 THEN skipped + 1 ELSE skipped END, done OR (kind = 'right' AND stage = 3) OR (kind = 'wrong' AND lives = 1), won OR (NOT done AND kind = 'right' AND stage = 3) FROM runs r JOIN o ON o.run_id = r.run_id AND o.i = r.i + 1)
+FOLD_SQL = "WITH RECURSIVE " + A.ADAPTER + ",\n" + FOLD.replace("SELECT run_id, kind, row", "SELECT run_id, kind, member_id, row") + """, runs AS (SELECT run_id, 0 AS i, 0 AS stage, 5 AS lives, 0 AS wrong, 0 AS skipped, false AS done, false AS won, CAST([] AS BIGINT[]) AS guessed FROM (SELECT DISTINCT run_id FROM o)
+UNION ALL SELECT run_id, i, CASE WHEN still THEN stage WHEN moves THEN stage + 1 ELSE stage END, CASE WHEN NOT still AND kind = 'wrong' THEN lives - 1 ELSE lives END, CASE WHEN NOT still AND kind = 'wrong' THEN wrong + 1 ELSE wrong END,
+CASE WHEN NOT still AND kind = 'skip' AND stage < 3 THEN skipped + 1 ELSE skipped END, done OR (NOT still AND ((kind = 'right' AND stage = 3) OR (kind = 'wrong' AND lives = 1))), won OR (NOT still AND kind = 'right' AND stage = 3),
+CASE WHEN still THEN guessed WHEN moves THEN CAST([] AS BIGINT[]) WHEN kind IN ('right', 'wrong') THEN list_append(guessed, member_id) ELSE guessed END
+FROM (SELECT r.* EXCLUDE (i), o.i, o.kind, o.member_id, done OR (kind IN ('right', 'wrong') AND list_contains(guessed, member_id)) AS still, kind IN ('right', 'skip') AND stage < 3 AS moves FROM runs r JOIN o ON o.run_id = r.run_id AND o.i = r.i + 1))
 SELECT run_id, CAST(stage AS INT) AS stage, CAST(lives AS INT) AS lives, CAST(wrong AS INT) AS wrong, CAST(skipped AS INT) AS skipped, done, won, CAST(CASE WHEN won THEN 4 ELSE stage END - skipped AS INT) AS solved FROM runs QUALIFY i = max(i) OVER (PARTITION BY run_id)"""
 
 
@@ -243,11 +260,12 @@ def _(spark, d):
 SQL["stage_histogram"] = f"SELECT CAST(split_part(run_id, '-', 1) AS BIGINT) AS user_id, count(*) AS played, {', '.join(f'count(*) FILTER (solved = {i}) AS cleared_{i}' for i in range(5))} FROM ({FOLD_SQL}) GROUP BY 1"
 
 
-@query("archive_calendar", DAYS + " SELECT u.user_id, CAST(r.range AS DATE) AS date, won FROM (SELECT DISTINCT user_id FROM ev WHERE user_id % 10 = 1) u CROSS JOIN range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY) r LEFT JOIN dy ON dy.user_id = u.user_id AND dy.date = CAST(r.range AS DATE)")
+@query("archive_calendar", DAYS + " SELECT u.user_id, CAST(r.day AS DATE) AS date, won FROM (SELECT DISTINCT user_id FROM ev) u CROSS JOIN (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS day FROM ev) r LEFT JOIN dy ON dy.user_id = u.user_id AND dy.date = CAST(r.day AS DATE)")
 def _(spark, d):
     e = _events(spark, d)
     days = e.groupBy("user_id", "date").agg(F.bool_or(F.col("kind") == "right").alias("won"))
-    return playlog.calendar(days, e.where("user_id % 10 = 1").select("user_id").distinct(), "2024-01-01", "2024-01-31")
+    span = e.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    return playlog.calendar(days, e.select("user_id").distinct(), str(span.a), str(span.b))
 
 
 @query("latest_play", EVENTS + " SELECT user_id, date, arg_max(kind, seq) AS kind, max(seq) AS seq FROM ev GROUP BY 1, 2")
@@ -255,10 +273,11 @@ def _(spark, d):
     return playlog.latest(_events(spark, d).select("user_id", "date", "seq", "kind"), ["user_id", "date"]).select("user_id", "date", "kind", "seq")
 
 
-def _pages(spark, d):
-    """Page text of members with even ids; every fifth lacks its last spell."""
+def _pages(spark, d, spells=None):
+    """Page text of all members but those of one segment, who have no page; every fifth lacks its last spell."""
     team = A.team(spark, d).select("team_id", F.replace("name", F.lit("#"), F.lit(" ")).alias("team_name"))
-    s = A.spells(spark, d).where("member_id % 2 = 0").join(team, "team_id")
+    paged = A.table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("member_id"))
+    s = (A.spells(spark, d) if spells is None else spells).join(paged, "member_id", "left_semi").join(team, "team_id")
     top = s.groupBy("member_id").agg(F.max("seq").alias("top"))
     s = s.join(top, "member_id").where("NOT (member_id % 5 = 0 AND seq = top)")
     n, text = F.col("seq").cast("string"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -268,7 +287,7 @@ def _pages(spark, d):
     return s.groupBy(F.col("member_id").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x["l"]), "\n").alias("content"))
 
 
-PAGED = "pg AS (SELECT s.*, max(seq) OVER (PARTITION BY member_id) AS top FROM spells s WHERE member_id % 2 = 0), ov AS (SELECT member_id, seq, team_id, CASE WHEN start_year IS NULL THEN end_year ELSE start_year END AS start_year, CASE WHEN start_year IS NOT NULL THEN end_year END AS end_year, apps, goals, loan FROM pg WHERE NOT (member_id % 5 = 0 AND seq = top))"
+PAGED = "pg AS (SELECT s.*, max(seq) OVER (PARTITION BY member_id) AS top FROM spells s SEMI JOIN (SELECT c_custkey AS member_id FROM customer WHERE c_mktsegment <> 'BUILDING') USING (member_id)), ov AS (SELECT member_id, seq, team_id, CASE WHEN start_year IS NULL THEN end_year ELSE start_year END AS start_year, CASE WHEN start_year IS NOT NULL THEN end_year END AS end_year, apps, goals, loan FROM pg WHERE NOT (member_id % 5 = 0 AND seq = top))"
 
 
 @query("infobox_spells", PAGED + " SELECT member_id AS page, CAST(seq AS INT) AS seq, replace(t.name, '#', ' ') AS title, start_year, end_year, apps, goals, loan FROM ov JOIN team t USING (team_id)")
@@ -290,11 +309,12 @@ def _(spark, d):
     return overlay.resolve_titles(asked, norm, old, t.select("title", F.col("team_id").alias("qid")))
 
 
-def _overlay(spark, d):
+def _overlay(spark, d, spells):
     t, norm, old = _titles(spark, d)
-    sp = overlay.infobox_spells(_pages(spark, d))
+    sp = stored(overlay.infobox_spells(_pages(spark, d, spells)))
     ids = overlay.resolve_titles(sp.select("title"), norm, old, t.select("title", F.col("team_id").alias("qid"))).where("qid IS NOT NULL")
-    return sp.join(ids, "title").select(F.col("page").alias("member_id"), F.col("seq").cast("bigint").alias("seq"), F.col("qid").alias("team_id"), "start_year", "end_year", "apps", "goals", "loan")
+    over = sp.join(ids, "title").select(F.col("page").alias("member_id"), F.col("seq").cast("bigint").alias("seq"), F.col("qid").alias("team_id"), "start_year", "end_year", "apps", "goals", "loan")
+    return stored(over)
 
 
 GUARD = PAGED + f""", o AS (SELECT member_id, count(*) AS os, sum(CAST(apps IS NOT NULL AS INT) + CAST(goals IS NOT NULL AS INT)) AS ot FROM ov GROUP BY 1), bb AS (SELECT member_id, count(*) AS q, sum(CAST(apps IS NOT NULL AS INT) + CAST(goals IS NOT NULL AS INT)) AS t FROM spells WHERE coalesce(start_year, end_year, apps, goals) IS NOT NULL GROUP BY 1),
@@ -303,17 +323,31 @@ acc AS (SELECT member_id, os >= coalesce(q, 0) AND ot >= coalesce(t, 0) AS ok FR
 
 @query("overlay_guard", GUARD + " SELECT * FROM acc")
 def _(spark, d):
-    return overlay.accepted(A.spells(spark, d), _overlay(spark, d))
+    base = stored(A.spells(spark, d))
+    return overlay.accepted(base, _overlay(spark, d, base))
 
 
-@query("overlaid_careers", GUARD + """, w AS (SELECT ov.* FROM ov JOIN acc USING (member_id) WHERE ok) SELECT member_id, seq, team_id, start_year, end_year, apps, goals, loan FROM w
-UNION ALL SELECT member_id, seq, team_id, start_year, end_year, apps, goals, loan FROM spells ANTI JOIN w USING (member_id)""")
-def _(spark, d):
-    base, over = A.spells(spark, d), _overlay(spark, d)
-    ok = overlay.accepted(base, over).where("ok").select("member_id")
+CAREERS = GUARD + """, w AS (SELECT ov.* FROM ov JOIN acc USING (member_id) WHERE ok), careers AS (SELECT member_id, seq, team_id, start_year, end_year, apps, goals, loan FROM w
+UNION ALL SELECT member_id, seq, team_id, start_year, end_year, apps, goals, loan FROM spells ANTI JOIN w USING (member_id))"""
+
+
+def _careers(spark, d):
+    base = stored(A.spells(spark, d))
+    over = _overlay(spark, d, base)
+    ok = stored(overlay.accepted(base, over).where("ok").select("member_id"))
     return overlay.replaced(base, over.join(ok, "member_id", "left_semi")).select("member_id", "seq", "team_id", "start_year", "end_year", "apps", "goals", "loan")
 
 
+@query("overlaid_careers", CAREERS + " SELECT * FROM careers")
+def _(spark, d):
+    return _careers(spark, d)
+
+
+@query("overlaid_ends", CAREERS + ", " + solving._eff_sql("careers") + " SELECT member_id, seq, CAST(eff AS INT) AS eff FROM eff")
+def _(spark, d):
+    return solve.effective_end(_careers(spark, d), A.BUILD_YEAR).select("member_id", "seq", "eff")
+
+
 def _truthy(spark, d):
     """Statements of suppliers: a league, an instance and a country, which has a code; orders' priorities as seasons."""
     s, n = A.table(spark, d, "supplier"), A.table(spark, d, "nation")
@@ -378,7 +412,8 @@ def _(spark, d):
 @query("identikits", ANSWERS + f""", t AS (SELECT team_a, team_b, a.member_id, CAST(sum(apps) AS BIGINT) AS apps, CAST(sum(goals) AS BIGINT) AS goals, coalesce(bool_or(last_year >= {A.BUILD_YEAR}), false) AS still_there FROM ans a JOIN posting p ON p.member_id = a.member_id AND p.team_id IN (a.team_a, a.team_b) GROUP BY 1, 2, 3)
 SELECT team_a, team_b, member_id, name[1:1] || '.' AS initials, CAST(birth // 10 * 10 AS INT) AS decade, nat, apps, CASE WHEN NOT gk THEN goals END AS goals, still_there FROM t JOIN member USING (member_id)""")
 def _(spark, d):
-    return pairs.identikits(_answers(spark, d), A.posting(spark, d), A.member(spark, d), A.BUILD_YEAR)
+    posting = stored(A.posting(spark, d))
+    return pairs.identikits(_answers(spark, d, posting), posting, A.member(spark, d), A.BUILD_YEAR)
 
 
 @query("export_violations", """x AS (SELECT team_id, max(member_id) AS top FROM posting GROUP BY 1) SELECT 'id out of range' AS "check", CAST(team_id AS VARCHAR) AS detail FROM x WHERE top >= (SELECT count(*) FROM member) - 5""")

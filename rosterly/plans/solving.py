@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rosterly.functions.names import core_display, core_name, dotted_initials, image_key, initials, search_name, sort_name
+from rosterly.functions.names import MARKED, PLAIN, STOP, WRITTEN, core_display, core_name, dotted_initials, image_key, initials, search_name, sort_name
 from rosterly.operators import career, clean, entity, gate, overlay, postings, search, solve
 from rosterly.sources import adapter as A
 from rosterly.sources import export
@@ -105,8 +105,12 @@ def _(spark, d):
     return solve.bulk_common_members(A.posting(spark, d), wanted)
 
 
-EFF = f"""eff AS (SELECT *, CASE WHEN start_year IS NOT NULL AND end_year IS NULL THEN coalesce(first_value(CASE WHEN start_year IS NOT NULL AND NOT loan THEN start_year END IGNORE NULLS)
-  OVER (PARTITION BY member_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), {A.BUILD_YEAR}) WHEN start_year IS NOT NULL THEN end_year END AS eff FROM spells)"""
+def _eff_sql(source: str) -> str:
+    return f"""eff AS (SELECT * EXCLUDE (later), CASE WHEN start_year IS NOT NULL AND end_year IS NULL THEN coalesce(list_filter(later, lambda y: y >= start_year)[1], {A.BUILD_YEAR}) WHEN start_year IS NOT NULL THEN end_year END AS eff
+  FROM (SELECT *, list(CASE WHEN NOT loan THEN start_year END) OVER (PARTITION BY member_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM {source}))"""
+
+
+EFF = _eff_sql("spells")
 
 
 @query("effective_end", EFF + " SELECT member_id, seq, CAST(eff AS INT) AS eff FROM eff")
@@ -173,27 +177,25 @@ def _(spark, d):
     return career.years_at(A.spells(spark, d).join(A.team(spark, d).select("team_id", F.col("name").alias("team_name")), "team_id"))
 
 
-_MARKED = "àáâãäåāăąçćĉčċďèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
 def _fold_sql(x: str) -> str:
-    return f"translate(lower({x}), '{_MARKED}', '{_PLAIN}')"
+    return f"translate(lower({x}), '{MARKED}', '{PLAIN}')"
 
 
 def _search_sql(x: str) -> str:
     out = f"lower({x})"
-    for a, b in {"đ": "d", "ø": "o", "ł": "l", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ß": "ss"}.items():
+    for a, b in WRITTEN.items():
         out = f"replace({out}, '{a}', '{b}')"
     return f"trim(regexp_replace(regexp_replace({_fold_sql(out)}, '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-NAMES = """n AS (SELECT doc_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 3), ' ') AS name FROM documents)"""
+NAMES = """n AS (SELECT doc_id, replace(text, chr(10), ' ') AS name FROM documents)"""
 
 
 def _doc_names(spark, d):
-    w = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    return A.table(spark, d, "documents").select("doc_id", F.array_join(F.slice(w, 1, 3), " ").alias("name"))
+    """Whole texts as names, for their letters."""
+    return A.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("name"))
 
 
 @query("search_names", f"{NAMES} SELECT doc_id, {_search_sql('name')} AS search, array_to_string(list_transform(list_filter(string_split({_search_sql('name')}, ' '), lambda x: length(x) > 2), lambda x: x[1:1]), '') AS initials FROM n")
@@ -201,7 +203,7 @@ def _(spark, d):
     return _doc_names(spark, d).select("doc_id", search_name(F.col("name")).alias("search"), initials(F.col("name")).alias("initials"))
 
 
-_STOP = ", ".join(f"'{x}'" for x in "fc afc cf cfc ac acf as ss ssc sc us usd ud sd cd rcd ca rc calcio club football futbol associazione sportiva societa spa ssd tsv vfb vfl sv fsv bsc".split())
+_STOP = ", ".join(f"'{x}'" for x in STOP)
 CORE = f"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace({_fold_sql('name')}, '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x NOT IN ({_STOP}) AND NOT regexp_full_match(x, '(18|19|20)[0-9]{{2}}')), ' ')"
 
 

@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset and all tasks run on this machine, a temporary one;
+    on a cluster that is an error, as every executor would write to its own disk."""
+    where, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if where:
+        return where
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return _OWN[context.applicationId]
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    """df with its lineage cut, in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what several parts of a plan use is worked out once."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(df: DataFrame, folder: str, stage: str) -> DataFrame:
     """Write a stage's table, replacing an earlier one, and read it again."""
     df.write.mode("overwrite").parquet(f"{folder}/{stage}")

@@ -11,6 +11,7 @@ STATEMENTS = "st string, s string, p string, o string, start string, end string,
 TRUTHY = "s string, p string, o string"
 LABELS = "s string, lang string, label string"
 SITELINKS = "s string, site string, title string"
+TITLES = "normalized array<struct<`from`: string, to: string>>, redirects array<struct<`from`: string, to: string>>, pages array<struct<title: string, item: string>>"
 PAGES = "pages array<struct<title: string, revisions: array<struct<content: string>>>>"
 
 
@@ -41,7 +42,8 @@ def of_class(rows: DataFrame, truthy: DataFrame, prop: str, cls: str, key: str)
 
 
 def restricted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return rows.join(F.broadcast(keys.select(key)), key, "left_semi")
+    """The rows of a batch of keys, of any size: Spark broadcasts the keys if they turn out to be few."""
+    return rows.join(keys.select(key), key, "left_semi")
 
 
 def excluded(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -84,3 +86,17 @@ def page_text(responses: DataFrame) -> DataFrame:
     """(title, content) of landed responses; pages without a revision are skipped."""
     p = responses.select(F.explode("pages").alias("p"))
     return p.where(F.size("p.revisions") > 0).select("p.title", F.get("p.revisions", F.lit(0))["content"].alias("content"))
+
+
+def pages_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(member_id, content): page texts by exact title; of several members with one title the greatest id has the page."""
+    owner = members.groupBy("title").agg(F.max("member_id").alias("member_id"))
+    return texts.join(owner, "title").select("member_id", "content")
+
+
+def title_maps(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(from, to) of normalised titles, (from, to) of redirects, (title, qid) of pages with an item, from landed responses
+    of the schema TITLES. A title that several responses tell of counts once."""
+    pairs = lambda c: responses.select(F.explode(c).alias("p")).select("p.from", "p.to").groupBy("from").agg(F.min("to").alias("to"))
+    items = responses.select(F.explode("pages").alias("p")).where("p.item IS NOT NULL").groupBy("p.title").agg(F.min("p.item").alias("qid"))
+    return pairs("normalized"), pairs("redirects"), items
