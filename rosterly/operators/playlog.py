@@ -136,6 +136,21 @@ def hint_ranks(events: DataFrame, first_kind: str) -> DataFrame:
     return events.withColumn("reveals", F.coalesce(F.count(F.when(F.col("hint") == first_kind, 1)).over(w), F.lit(0)) + 1)
 
 
+def solving_guesses(events: DataFrame) -> DataFrame:
+    """(run_id, stage, member_id): the first right guess of each stage, which its board shows."""
+    return first_guesses(events.where("kind IN ('right', 'wrong')")).where("kind = 'right' AND NOT dup").groupBy("run_id", "stage").agg(F.min_by("member_id", "seq").alias("member_id"))
+
+
+def hint_texts(hints: DataFrame, answers: DataFrame, member: DataFrame, by: str) -> DataFrame:
+    """hints (run_id, seq, by, reveals) with text: what may be told of the answer (by, member_id) whose place by id the hint
+    reveals: initial, decade of birth and nationality; else its year of birth; else that none is left. by names the
+    column of the question, whose answers are few."""
+    ranked = answers.select(by, "member_id", F.row_number().over(Window.partitionBy(by).orderBy("member_id")).cast("bigint").alias("reveals"))
+    kit = F.concat(F.substr("name", F.lit(1), F.lit(1)), F.lit("., "), (F.floor(F.col("birth") / 10) * 10).cast("string"), F.lit(", "), F.coalesce("nat", F.lit("?")))
+    told = hints.drop("member_id").join(ranked, [by, "reveals"], "left").join(member.select("member_id", "name", "birth", "nat"), "member_id", "left")
+    return told.withColumn("text", F.coalesce(kit, F.concat(F.lit("born "), F.col("birth").cast("string")), F.lit("no more answers")))
+
+
 def stage_board(runs: DataFrame) -> DataFrame:
     """One row per run and stage with its state: skipped, hinted or done before the current stage, current or failed at
     it, to do or revealed after it. runs: run_id, stage, done, won, skipped_stages, hinted_stages."""

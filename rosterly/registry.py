@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rosterly.plans import puzzles, solving
+from rosterly.plans import catalogue, puzzles, solving
 
-QUERIES = {**solving.QUERIES, **puzzles.QUERIES}
-SQL = {**solving.SQL, **puzzles.SQL}
+QUERIES = {**solving.QUERIES, **puzzles.QUERIES, **catalogue.QUERIES}
+SQL = {**solving.SQL, **puzzles.SQL, **catalogue.SQL}

@@ -1,11 +1,13 @@
 """Edge cases from hand-written rows."""
 
+import datetime
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterly.functions import names
-from rosterly.operators import career, clean, entity, overlay, pairs, playlog, postings, schedule, solve
+from rosterly.operators import career, clean, entity, gate, overlay, pairs, playlog, postings, schedule, solve
 from rosterly.sources import export, stages, statements
 from rosterly.streaming import intake
 
@@ -108,11 +110,13 @@ def test_guard_and_replacement(spark):
 
 def test_fold_of_a_run(spark):
     def run(*kinds):
-        return tuple(playlog.fold(spark.createDataFrame([("r", i, k) for i, k in enumerate(kinds)], "run_id string, seq long, kind string")).first())[1:]
+        rows = [("r", i, k, i) if isinstance(k, str) else ("r", i, *k) for i, k in enumerate(kinds)]
+        return tuple(playlog.fold(spark.createDataFrame(rows, "run_id string, seq long, kind string, member_id long")).first())[1:]
 
     assert run("right", "right", "right", "right", "wrong") == (3, 5, 0, 0, True, True)
     assert run("wrong", "wrong", "wrong", "wrong", "wrong", "right") == (0, 0, 5, 0, True, False)
     assert run("skip", "hint", "right", "skip", "skip", "resign") == (3, 5, 0, 2, True, False)
+    assert run(("wrong", 7), ("wrong", 7), ("wrong", 8), ("right", 9), ("wrong", 7)) == (1, 2, 3, 0, False, False)  # a repeated guess is free, in its stage
 
 
 def test_streak_breaks_on_a_gap_and_a_loss(spark):
@@ -122,16 +126,73 @@ def test_streak_breaks_on_a_gap_and_a_loss(spark):
 
 
 def test_schedule_keeps_its_rules(spark):
-    cands = spark.createDataFrame([(s, 0, a, b) for s in range(4) for a in range(12) for b in range(12) if a < b], "stage int, tier int, team_a long, team_b long").cache()
-    cc = spark.createDataFrame([(t, f"C{t % 3}") for t in range(12)], "team_id long, league_cc string")
-    plan = spark.createDataFrame([], "date date, stage int, tier int, team_a long, team_b long")
-    rows = []
-    for date in ("2024-01-01", "2024-01-02"):
-        day = schedule.schedule_day(cands, plan, date, cc).collect()
-        teams = [t for r in day for t in (r.team_a, r.team_b)]
-        assert len(set(teams)) == len(teams) and not set(teams) & {t for r in rows for t in (r.team_a, r.team_b)}
-        rows += day
-        plan = spark.createDataFrame(rows, plan.schema)
+    """Days of a block by brute force: lowest tier left, seeded country and pair, cool-down, fallbacks."""
+    import hashlib
+
+    cands = [(s, 0 if (a + b) % 3 else 1, a, b) for s in range(4) for a in range(22) for b in range(22) if a < b and (a + b + s) % 4 == 0]
+    spare = [(-1, a, b) for a in range(30, 36) for b in range(36, 40)]
+    country = {t: f"C{t % 3}" for t in range(40)}
+    frame = spark.createDataFrame(cands, "stage int, tier int, team_a long, team_b long")
+    other = spark.createDataFrame(spare, "tier int, team_a long, team_b long")
+    got = [tuple(r) for r in schedule.schedule_block(frame, "2024-01-01", 5, spark.createDataFrame(list(country.items()), "team_id long, league_cc string"), other).orderBy("date", "stage").collect()]
+    md5, want = lambda *p: hashlib.md5("|".join(map(str, p)).encode()).hexdigest(), []
+    for k in range(5):
+        date = datetime.date(2024, 1, 1 + k)
+        used = {t for r in want if 1 <= (date - r[0]).days <= 2 for t in r[3:]}
+        banned = {frozenset(r[3:]) for r in want if 1 <= (date - r[0]).days <= 10}
+        for stage in range(4):
+            for pool in ([c[1:] for c in cands if c[0] == stage], spare):
+                left = [c for c in pool if not {c[1], c[2]} & used and frozenset(c[1:]) not in banned]
+                if left:
+                    tier, a, b = min(left, key=lambda c: (c[0], md5(date, stage, country[c[1]]), md5(date, stage, c[1], c[2]), c[1], c[2]))
+                    want.append((date, stage, tier, a, b))
+                    used |= {a, b}
+                    break
+    assert got == want and any(r[2] == -1 for r in got) and any(r[2] == 0 for r in got)
+
+
+def test_cooled_is_the_same_rule_on_tables(spark):
+    cands = spark.createDataFrame([(1, 2), (1, 3), (4, 5), (6, 7)], "team_a long, team_b long")
+    plan = spark.createDataFrame([("2024-01-01", 2, 1), ("2024-01-08", 4, 9), ("2024-01-07", 6, 8)], "date string, team_a long, team_b long").withColumn("date", F.to_date("date"))
+    assert {tuple(r) for r in schedule.cooled(cands, plan, "2024-01-09").collect()} == {(1, 3)}
+    assert {tuple(r) for r in schedule.cooled(cands, plan, "2024-01-12").collect()} == {(1, 3), (4, 5), (6, 7), (1, 2)}
+
+
+def test_effective_end_skips_earlier_starts(spark):
+    """Careers taken from pages are in page order, which need not be that of years."""
+    rows = [(1, 1, 2005, None, False), (1, 2, 2001, 2002, False), (1, 3, 2009, 2010, True), (1, 4, 2008, 2010, False), (2, 1, 2005, None, False), (2, 2, 2001, 2002, False)]
+    got = solve.effective_end(spark.createDataFrame(rows, "member_id long, seq long, start_year int, end_year int, loan boolean"), 2020)
+    assert {(r.member_id, r.seq): r.eff for r in got.collect()} == {(1, 1): 2008, (1, 2): 2002, (1, 3): 2010, (1, 4): 2010, (2, 1): 2020, (2, 2): 2002}
+
+
+def test_one_shard_is_read_for_one_career(spark, tmp_path):
+    spells = spark.createDataFrame([(m, m % 3, 2000, 2001, 1, 1, False, 1) for m in range(300)], "member_id long, team_id long, start_year int, end_year int, apps int, goals int, loan boolean, seq long")
+    export.write_careers(export.career_shards(spells), str(tmp_path / "c"), 2)
+    plan = export.read_career(spark, str(tmp_path / "c"), 130)
+    assert plan.count() == 1 and len(plan.inputFiles()) > 1
+    assert "PartitionFilters: [isnotnull(shard" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        stages.shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs:///x"}
+    assert stages.shared_folder(Session()) == "hdfs:///x"
+
+
+def test_a_gate_raises_with_its_first_failures(spark):
+    found = spark.createDataFrame([("b", str(i)) for i in range(30)] + [("a", "x")], "check string, detail string")
+    assert [(r.check, r.failures) for r in gate.report(found, 2).orderBy("check").collect()] == [("a", 31), ("b", 31)]
+    gate.enforce(found.where("false"))
+    with pytest.raises(ValueError):
+        gate.enforce(found)
 
 
 def test_rosters_and_shards_round_trip(spark, tmp_path):
