@@ -1,9 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
 Patterns propose candidates; features of each (length, changes between character classes, dictionary coverage, path,
-neighbouring words) go to a random forest trained on labelled findings. Candidates come from every whole text, equal
-rows are scanned once; only the training sample is bounded. DataFrame functions and Spark's own forest alone: no Python
-in the tasks.
+neighbouring words) go to a random forest trained on labelled findings. Candidates come from every whole text; only the
+training sample is bounded. Each row is scanned where it is read, copies too: no text is shuffled, and a hot group of
+copies stays spread over the tasks. DataFrame functions and Spark's own forest alone: no Python in the tasks.
 
 Labelled findings: those that people have judged (given by the caller), those made by a generator that knows what it
 made, and those of the corpus whose value alone is certain (a published format, plain words, a path or a ruler of
@@ -198,11 +198,12 @@ def held_out_quality(labels: DataFrame, levels: bytes, part: int = 4) -> tuple[f
 
 
 def scored(docs: DataFrame, extra_labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(row_key, value, before, name, path, is_secret) for every candidate of each distinct row. docs: row_key, path,
-    text. extra_labels: findings (value, before, name, set, path, label) that people have judged, added to the training."""
+    """(row_key, value, before, name, path, is_secret) for every candidate of each row, row_key being a struct of the row's
+    key and its place, which tells copies apart. docs: row_key, path, text. extra_labels: findings (value, before, name,
+    set, path, label) that people have judged, added to the training."""
     levels = levels_of(dictionary(docs))
-    once = promising(docs).dropDuplicates(["row_key"])
-    feats = stored(features(candidates(once), levels), "features")
+    placed = docs.withColumn("row_key", F.struct(F.col("row_key").alias("key"), F.monotonically_increasing_id().alias("place")))
+    feats = stored(features(candidates(placed), levels), "features")
     train = stored(_training(feats, levels, extra_labels, train_rows).drop("value"), "findings")
     model = forest(train)
     dropped(train)
@@ -224,20 +225,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """doc_id, n_candidates, n_secrets (both counted as often as they stand in the text) and secrets (the distinct values,
     sorted) of each row of docs.
 
-    Equal rows (of one path and text, matched by a 128-bit hash) are scanned once and each get the full result of one, as
-    do rows with null ids. A null or empty text has no candidates; a missing path column counts as an empty path; an
+    Equal rows (of one path and text, matched by a 128-bit hash) each get the full result of one, as do rows with null
+    ids. A null or empty text has no candidates; a missing path column counts as an empty path; an
     empty table gives an empty result; other columns are ignored. A value is a secret of a row if any place of it is.
     """
     found = scored(_rows(docs, text_col, path_col))
     values = found.groupBy("row_key", "value").agg(F.count("*").alias("n"), F.max("is_secret").alias("is_secret"), F.sum(F.col("is_secret").cast("int")).alias("s"))
-    per = stored(values.groupBy("row_key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sort_array(F.collect_list(F.when(F.col("is_secret"), F.col("value")))).alias("secrets")), "secrets")
+    each = values.groupBy("row_key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sort_array(F.collect_list(F.when(F.col("is_secret"), F.col("value")))).alias("secrets"))
+    one = each.groupBy(F.col("row_key.key").alias("row_key")).agg(F.min(F.struct("n", "s", "secrets")).alias("r"))  # copies have equal ones
+    per = stored(one.select("row_key", "r.*"), "secrets")
     keyed = docs.select(F.col(id_col).alias("doc_id"), row_key(docs, text_col, path_col).alias("row_key"))
     return keyed.join(per, "row_key", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_candidates"), F.coalesce("s", F.lit(0)).cast("bigint").alias("n_secrets"), F.coalesce("secrets", F.array().cast("array<string>")).alias("secrets"))
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """The rows of docs in which no secret is found, with the columns of docs; rules as in scan."""
-    bad = stored(scored(_rows(docs, text_col, path_col)).where("is_secret").select("row_key").distinct(), "secrets")
+    bad = stored(scored(_rows(docs, text_col, path_col)).where("is_secret").select(F.col("row_key.key").alias("row_key")).distinct(), "secrets")
     few = bad.count() <= BROADCAST_IDS
     key = bad.select(F.col("row_key").alias("_secret_row_key"))
     return docs.join(F.broadcast(key) if few else key, row_key(docs, text_col, path_col) == F.col("_secret_row_key"), "left_anti")
