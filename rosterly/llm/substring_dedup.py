@@ -1,13 +1,16 @@
 """Substring deduplication by level-wise doubling.
 
-Windows that repeat across documents at one length alone are extended to twice that length, until no candidate
-survives or the wanted length is reached. The first level is half the wanted length. There every document gives its
-anchors: of each wanted window, the start inside it whose half-length run has the least hash. The choice depends on the
-words alone, so copies of a window have the same anchor, and only about one start in fourteen is shuffled. Anchors that
-one document alone has end there; around the others, the windows of twice the length are compared by their own hashes.
-
-Identical texts are one class and take part once, as their least id. Hashes are 64-bit for an anchor and again for the
-window at it, so a false repeat needs both to collide. Shuffled: texts once by id, and 16 bytes an anchor or candidate.
+Runs of words that repeat across documents at one length alone are extended to twice that length, level by level, until
+no candidate survives or the wanted length is reached. The levels' lengths are the wanted one halved until it is FIRST
+words or fewer: 25 and 50 for windows of 50 words, 25, 50, 100, 200 and 400 for 400. At the first level every document
+gives its anchors: of each wanted window, the run of that length inside it that has the least hash. At the next levels
+the run around it, of the level's length and inside the window, takes its place, and at the last level that is the
+window. Each choice depends on the window's words alone, so copies of a window meet at every level, and at windows of 50
+words only about one start in fourteen is shuffled first.
+
+Identical texts are one class and take part once, as their least id. Hashes are 64-bit at the level before the last and
+again for the window, so a false repeat needs both to collide. Shuffled: 16 bytes an anchor or candidate, and a level's
+texts with candidates by id.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import BROADCAST_IDS, Shared, dropped, stored, table
 from .hashing import WordHashes, runs
 
 WINDOW = 50
+#: Words at most of the first level's runs. Shorter runs are common to documents that share nothing else.
+FIRST = 25
 DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -32,49 +37,75 @@ def anchors(h: np.ndarray, span: int) -> np.ndarray:
     return np.arange(len(view)) + view.argmin(axis=1)
 
 
-class Levels:
-    """Hashes of one document's runs at the two lengths, and the anchor of each window."""
+def lengths_of(window: int, first: int = FIRST) -> list[int]:
+    """The levels' lengths, at least two, each but for rounding twice the one before."""
+    out = [(window + 1) // 2, window]
+    while out[0] > first:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
-    def __init__(self, text: str | None, window: int, hashes: WordHashes):
-        ws = (text or "").encode().split()
-        self.half = (window + 1) // 2
-        self.a = hashes.of(ws) if len(ws) >= window else np.zeros(0, np.uint64)
-        self.h = runs(self.a, self.half)
-        self.anchor = anchors(self.h, window - self.half + 1) if len(self.h) else np.zeros(0, np.int64)
 
+class Runs:
+    """Of one document the starts of the first level's run in each window, and hashes of its runs of any length."""
 
-def half_level(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id): the distinct anchors of each document."""
+    def __init__(self, text: str | None, lengths: list[int], hashes: WordHashes):
+        ws = (text or "").encode().split()
+        self.lengths, self.window = lengths, lengths[-1]
+        self.a = hashes.of(ws) if len(ws) >= self.window else np.zeros(0, np.uint64)
+        self.n = max(0, len(self.a) - self.window + 1)
+        self.first = runs(self.a, lengths[0]) if self.n else self.a
+        self.anchor = anchors(self.first, self.window - lengths[0] + 1) if self.n else np.zeros(0, np.int64)
+
+    def at(self, level: int) -> np.ndarray:
+        """For each window the hash of its run at a level."""
+        if not self.n or not level:
+            return self.first[self.anchor]
+        start, s = self.anchor, np.arange(self.n)
+        for shorter, length in zip(self.lengths[:level], self.lengths[1 : level + 1]):
+            start = np.clip(start - (length - shorter) // 2, s, s + self.window - length)
+        return runs(self.a, self.lengths[level])[start]
+
+
+def _surviving(v: Runs, level: int, found) -> tuple[np.ndarray, np.ndarray]:
+    """The windows whose run at a level is among found, and that run's hashes."""
+    h = v.at(level)
+    s = np.flatnonzero(np.isin(h, np.array(found, np.int64).view(np.uint64)))
+    return s, h[s]
+
+
+def next_level(docs: DataFrame, lengths: list[int], level: int) -> DataFrame:
+    """(h, doc_id): the distinct runs of each document at a level, but for the first of the windows that survived the
+    level before (column `found`) alone."""
     shared = Shared(docs.sparkSession, 1)
 
     def run(batches):
         hashes = shared.get(lambda _: WordHashes())
         for b in batches:
             ids, out = b.column("doc_id").to_numpy(zero_copy_only=False), [np.zeros(0, np.uint64)]
-            for text in b.column("text"):
-                v = Levels(text.as_py(), window, hashes)
-                out.append(np.unique(v.h[np.unique(v.anchor)]))
+            for k, text in enumerate(b.column("text")):
+                v = Runs(text.as_py(), lengths, hashes)
+                at = v.at(level)
+                out.append(np.unique(at[_surviving(v, level - 1, b.column("found")[k].as_py())[0]] if level else at))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(ids, [len(x) for x in out[1:]]), pa.int64())], names=["h", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h bigint, doc_id bigint")
+    return docs.select("doc_id", "text", *(["found"] if level else [])).mapInArrow(run, "h bigint, doc_id bigint")
 
 
-def full_level(docs: DataFrame, window: int) -> DataFrame:
-    """(h, w, doc_id, th, s): the windows around each document's surviving anchors (column `found`)."""
-    shared = Shared(docs.sparkSession, 1)
+def last_level(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(h, w, doc_id, th, s): the windows that survived the level before the last (column `found`)."""
+    shared, before = Shared(docs.sparkSession, 1), len(lengths) - 2
 
     def run(batches):
         hashes = shared.get(lambda _: WordHashes())
         for b in batches:
             for k in range(len(b)):
-                v = Levels(b.column("text")[k].as_py(), window, hashes)
-                if not len(v.anchor):
+                v = Runs(b.column("text")[k].as_py(), lengths, hashes)
+                if not v.n:
                     continue
-                at_anchor = v.h[v.anchor]
-                s = np.flatnonzero(np.isin(at_anchor, np.array(b.column("found")[k].as_py(), np.int64).view(np.uint64)))
-                w = runs(v.a, window)[s]
+                s, h = _surviving(v, before, b.column("found")[k].as_py())
+                w = runs(v.a, v.window)[s]
                 n = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(at_anchor[s].view(np.int64)), pa.array(w.view(np.int64)), pa.array(np.full(n, b.column("doc_id")[k].as_py(), np.int64)), pa.array(np.full(n, b.column("th")[k].as_py(), np.int64)), pa.array(s.astype(np.int32))], names=["h", "w", "doc_id", "th", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(np.full(n, b.column("doc_id")[k].as_py(), np.int64)), pa.array(np.full(n, b.column("th")[k].as_py(), np.int64)), pa.array(s.astype(np.int32))], names=["h", "w", "doc_id", "th", "s"])
 
     return docs.select("doc_id", "th", "text", "found").mapInArrow(run, "h bigint, w bigint, doc_id bigint, th bigint, s int")
 
@@ -90,7 +121,14 @@ def with_few(docs: DataFrame, info: DataFrame, keys: list[str], column: str) ->
     return own.unionByName(rest)
 
 
-def repeats(rows: DataFrame, window: int) -> DataFrame:
+def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that have candidates, with them."""
+    few = found.count() <= BROADCAST_IDS
+    some = docs.join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi") if few else docs
+    return some.join(found, "doc_id")
+
+
+def repeats(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """rows (doc_id, text) with `copy` (the text is that of a lesser id) and `starts` (of windows that a lesser id has)."""
     rows = rows.withColumn("th", F.xxhash64("text"))
     keyed = stored(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "th", F.sha2("text", 256).alias("key")).distinct(), "keys")
@@ -99,13 +137,19 @@ def repeats(rows: DataFrame, window: int) -> DataFrame:
     few = copies.count() <= BROADCAST_IDS
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     own = known.join(F.broadcast(copies) if few else copies, ["doc_id", "th"], "left_anti")
-    half = stored(half_level(own, window), "half")
-    again = half.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    found = stored(half.join(again, "h").groupBy("doc_id").agg(F.collect_list("h").alias("found")), "found")
-    dropped(half)
-    few = found.count() <= BROADCAST_IDS
-    some = own.join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi") if few else own
-    full = stored(full_level(some.join(found, "doc_id"), window), "full")
+    found, docs = None, own
+    for level in range(len(lengths) - 1):
+        here = stored(next_level(docs, lengths, level), "level")
+        again = here.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        last, found = found, stored(here.join(again, "h").groupBy("doc_id").agg(F.collect_list("h").alias("found")), "found")
+        for done in (here, last):
+            if done is not None:
+                dropped(done)
+        docs = with_found(own, found)
+        if found.isEmpty():
+            break
+    full = stored(last_level(docs, lengths), "full")
+    dropped(found)
     first = full.groupBy("h", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     starts = stored(full.join(first, ["h", "w"]).where("first < doc_id").groupBy("doc_id", "th").agg(F.collect_set("s").alias("starts")), "starts")
     dropped(full)
@@ -141,16 +185,17 @@ def _kept(rows: DataFrame, window: int, digest: bool) -> DataFrame:
     return rows.select("doc_id", "text", "copy", "starts").mapInArrow(run, DIGEST if digest else DIGEST.replace("kept_sha256", "kept_text"))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one blank (or their SHA-256), one row per row of docs.
 
     A word goes if a window of `window` words covers it that also starts in a document with a lesser id; windows are
     judged on the input. A null or empty text has no words; texts under the window length lose nothing; a row with a
     null id loses nothing and takes nothing from others; repeated rows do not affect one another, as their ids are
-    equal; an empty table gives an empty result; other columns are ignored. window: at least 2.
+    equal; an empty table gives an empty result; other columns are ignored. window: at least 2. first: words at
+    most of the first level, which changes the work and not the result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return _kept(repeats(rows, window), window, digest)
+    return _kept(repeats(rows, lengths_of(window, first)), window, digest)
 
 
 def op2_substring_dedup(spark, sf_dir):

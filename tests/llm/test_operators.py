@@ -197,9 +197,23 @@ def brute_repeats(docs, k):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("k", [50, 7])
-def test_substring_dedup_by_brute_force(spark, docs, k):
-    assert rows_of(substring_dedup.without_repeats(frame(spark, docs), k)) == brute_repeats(docs, k)
+@pytest.mark.parametrize(("k", "first"), [(50, 25), (7, 25), (50, 3), (21, 1)])
+def test_substring_dedup_by_brute_force(spark, docs, k, first):
+    assert rows_of(substring_dedup.without_repeats(frame(spark, docs), k, first=first)) == brute_repeats(docs, k)
+
+
+def test_substring_dedup_levels_end_where_nothing_survives(spark):
+    assert substring_dedup.lengths_of(50) == [25, 50] and substring_dedup.lengths_of(400) == [25, 50, 100, 200, 400] and substring_dedup.lengths_of(7, 1) == [1, 2, 4, 7] and substring_dedup.lengths_of(2) == [1, 2]
+    word = lambda i, k: f"w{i}x{k}"
+    shared = " ".join(word("s", k) for k in range(6))
+    # runs of 6 words are common, no run of 12 or more is
+    rows = [(i, f"{' '.join(word(i, k) for k in range(20))} {shared} {' '.join(word(i, k) for k in range(20, 40))}") for i in range(4)]
+    assert rows_of(substring_dedup.without_repeats(frame(spark, rows), 40, first=5)) == brute_repeats(rows, 40)
+    # a passage of 45 words that is common to all, with windows that reach over its ends
+    passage = " ".join(word("p", k) for k in range(45))
+    rows = [(i, f"{' '.join(word(i, k) for k in range(20))} {passage} {' '.join(word(i, k) for k in range(20, 40))}") for i in range(4)]
+    for first in (2, 5, 20):
+        assert rows_of(substring_dedup.without_repeats(frame(spark, rows), 40, first=first)) == brute_repeats(rows, 40)
 
 
 def brute_groups(docs):
