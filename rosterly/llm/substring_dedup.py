@@ -28,6 +28,8 @@ from .hashing import WordHashes, runs
 WINDOW = 50
 #: Words at most of the first level's runs. Shorter runs are common to documents that share nothing else.
 FIRST = 25
+#: Rows of a key beyond which it is joined by a broadcast; more where that would be 100,000 keys or over.
+HOT_ROWS = 10_000
 DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -128,6 +130,16 @@ def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
     return some.join(found, "doc_id")
 
 
+def on_keys(rows: DataFrame, info: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (a stored table) joined with info, which has one row a key and n, the rows of that key. Hot keys are broadcast
+    and their rows stay where they are: each has over 1/100,000 of all rows, so there are fewer than 100,000. The rows of
+    all other keys are shuffled."""
+    hot_rows = max(HOT_ROWS, rows.count() // 100_000)
+    hot = info.where(F.col("n") > hot_rows).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(info.where(F.col("n") <= hot_rows).drop("n"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def repeats(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """rows (doc_id, text) with `copy` (the text is that of a lesser id) and `starts` (of windows that a lesser id has)."""
     rows = rows.withColumn("th", F.xxhash64("text"))
@@ -140,8 +152,8 @@ def repeats(rows: DataFrame, lengths: list[int]) -> DataFrame:
     found, docs = None, own
     for level in range(len(lengths) - 1):
         here = stored(next_level(docs, lengths, level), "level")
-        again = here.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-        last, found = found, stored(here.join(again, "h").groupBy("doc_id").agg(F.collect_list("h").alias("found")), "found")
+        again = here.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
+        last, found = found, stored(on_keys(here, again, ["h"]).groupBy("doc_id").agg(F.collect_list("h").alias("found")), "found")
         for done in (here, last):
             if done is not None:
                 dropped(done)
@@ -150,8 +162,8 @@ def repeats(rows: DataFrame, lengths: list[int]) -> DataFrame:
             break
     full = stored(last_level(docs, lengths), "full")
     dropped(found)
-    first = full.groupBy("h", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    starts = stored(full.join(first, ["h", "w"]).where("first < doc_id").groupBy("doc_id", "th").agg(F.collect_set("s").alias("starts")), "starts")
+    first = full.groupBy("h", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    starts = stored(on_keys(full, first, ["h", "w"]).where("first < doc_id").groupBy("doc_id", "th").agg(F.collect_set("s").alias("starts")), "starts")
     dropped(full)
     return with_few(with_few(rows, copies, ["doc_id", "th"], "copy"), starts, ["doc_id", "th"], "starts")
 
