@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, lm_scoring, near_dedup, pii_surrogates, quality_rules, secret_scan, sharding, substring_dedup, token_counts
+from . import byte_bpe, decontamination, embedding_whitening, lm_scoring, near_dedup, periodic_runs, pii_surrogates, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_quality_classifier": quality_classifier.op12_quality_classifier,
+    "op13_embedding_whitening": embedding_whitening.op13_embedding_whitening,
 }
 SQL = {
     "op2_substring_dedup": substring_dedup.SQL,
@@ -22,4 +25,5 @@ SQL = {
     "op6_sharding": sharding.SQL,
     "op9_near_dedup": near_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_periodic_runs": periodic_runs.SQL,
 }
