@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterly.sources.stages import stored
-
 
 def common_members(posting: DataFrame, member: DataFrame, team_ids: list[int]) -> DataFrame:
     """The members that have a posting at every chosen team, with combined tallies.
@@ -71,8 +69,8 @@ def result_order(by: str, descending: bool = True) -> list[Column]:
 
 
 def page(result: DataFrame, order: list[Column], start: int = 0, size: int = 50) -> DataFrame:
-    """Rows start .. start + size - 1 of the order with their rank, from 1, and how many follow the page."""
-    result = stored(result)  # the page and its total read it
+    """Rows start .. start + size - 1 of the order with their rank, from 1, and how many follow the page. Every task keeps
+    its first start + size rows; the total reads the same shuffle as the page."""
     ranked = result.orderBy(*order).offset(start).limit(size)
     rank = F.row_number().over(Window.orderBy(*order)) + start  # over one page
     total = result.agg(F.count("*").alias("_total"))

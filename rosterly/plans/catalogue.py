@@ -167,7 +167,8 @@ def _(spark, d):
 
 
 def _folder(spark, name: str) -> str:
-    return f"{stages.shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}"
+    """A folder of its own for each call."""
+    return stages.new_path(spark, name)
 
 
 @query("stage_round_trip", "SELECT * FROM posting")
@@ -180,7 +181,7 @@ def _(spark, d):
 @query("resumed_stage", "SELECT member_id, count(*) AS n FROM spells GROUP BY 1")
 def _(spark, d):
     """Two runs: the first is given some members, the second all, and takes only those that are missing."""
-    spells, path = A.spells(spark, d), f"{stages.shared_folder(spark)}/resume-{stages.uuid.uuid4().hex}"
+    spells, path = A.spells(spark, d), stages.new_path(spark, "resume")
     count = lambda keys: spells.join(keys.select("member_id"), "member_id", "left_semi").groupBy("member_id").agg(F.count("*").alias("n"))
     members = spells.select("member_id").distinct()
     stages.resume(members.where("member_id < 500"), "member_id", count, path)

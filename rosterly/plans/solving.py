@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterly.functions.names import MARKED, PLAIN, STOP, WRITTEN, core_display, core_name, dotted_initials, image_key, initials, search_name, sort_name
-from rosterly.operators import career, clean, entity, gate, overlay, postings, search, solve
+from rosterly.operators import blocks, career, clean, entity, gate, overlay, postings, search, solve, triples
 from rosterly.sources import adapter as A
-from rosterly.sources import export
+from rosterly.sources import export, stages
 
 QUERIES, SQL = {}, {}
 TEAMS, MEMBERS = [1, 2, 3], [5, 8]
@@ -69,7 +69,7 @@ SOLVE = f"""c AS (SELECT p.member_id, m.name, birth, nat, img IS NOT NULL AS pho
 
 
 def _common(spark, d):
-    return solve.common_members(A.posting(spark, d), A.member(spark, d), TEAMS)
+    return solve.common_members(A.posting(spark, d, TEAMS), A.member(spark, d), TEAMS)
 
 
 @query("solve_teams", SOLVE + " SELECT member_id, name, apps, goals, has_zero, zero_goals, row_number() OVER (ORDER BY coalesce(apps, 0) DESC, name, member_id) AS rank FROM c QUALIFY rank <= 50")
@@ -95,7 +95,20 @@ def _(spark, d):
 
 @query("solve_semi_joins", f"SELECT member_id FROM posting WHERE team_id IN ({_T}) GROUP BY 1 HAVING count(DISTINCT team_id) = {len(TEAMS)}")
 def _(spark, d):
-    return solve.common_members_by_semi_joins(A.posting(spark, d), TEAMS)
+    return solve.common_members_by_semi_joins(A.posting(spark, d, TEAMS), TEAMS)
+
+
+@query("solve_blocks", SOLVE + " SELECT member_id, name, apps, goals, has_zero, zero_goals FROM c")
+def _(spark, d):
+    index = blocks.write(blocks.blocked(A.posting(spark, d)), stages.new_path(spark, "rosters"))
+    return blocks.common_members(index, A.member(spark, d), TEAMS).select("member_id", "name", "apps", "goals", "has_zero", "zero_goals")
+
+
+@query("roster_blocks", f"""SELECT team_id, member_id // {blocks.WIDTH} AS bucket, min(member_id) AS first_id, max(member_id) AS last_id, count(*) AS n, string_agg(member_id - low, ',' ORDER BY member_id) AS steps
+FROM (SELECT *, min(member_id) OVER (PARTITION BY team_id, member_id // {blocks.WIDTH}) AS low FROM posting) GROUP BY 1, 2""")
+def _(spark, d):
+    b = blocks.blocked(A.posting(spark, d))
+    return b.select("team_id", "bucket", "first_id", "last_id", F.col("n").cast("bigint").alias("n"), F.array_join(F.transform("steps", lambda x: x.cast("string")), ",").alias("steps"))
 
 
 @query("solve_bulk", """w AS (SELECT team_id // 3 AS query_id, team_id FROM team), s AS (SELECT query_id, count(*) AS k FROM w GROUP BY 1)
@@ -268,6 +281,32 @@ def _(spark, d):
     return search.member_matches(search.with_keys(A.member(spark, d)), "00000012").select("member_id")
 
 
+def _names_sql(table: str) -> str:
+    return f"k AS (SELECT *, {_search_sql('name')} AS search FROM {table})"
+
+
+@query("member_search_index", f"""{_names_sql('member')} SELECT member_id, CAST(CASE WHEN starts_with(search, '0012') OR contains(search, ' 0012') THEN 0 ELSE 1 END AS INT) AS rank FROM k WHERE contains(search, '0012')
+ORDER BY rank, CASE WHEN img IS NULL THEN 1 ELSE 0 END, name, member_id LIMIT 8""")
+def _(spark, d):
+    member = search.with_keys(A.member(spark, d))
+    index = triples.write(triples.postings(member, "member_id", ["search"]), stages.new_path(spark, "triples"))
+    return search.member_matches(triples.candidates(index, member, "member_id", "0012"), "0012").select("member_id", "rank")
+
+
+@query("team_search_index", f"""{_names_sql('team')}, s AS (SELECT k.*, n, CASE WHEN team_id % 10 = 9 THEN search[4:] ELSE search END AS sort FROM k JOIN (SELECT team_id, count(*) AS n FROM posting GROUP BY 1) USING (team_id)),
+r AS (SELECT *, CAST(CASE WHEN starts_with(search, 'supplier 00000001') OR starts_with(sort, 'supplier 00000001') THEN 0 WHEN contains(search, 'supplier 00000001') THEN 1 END AS INT) AS rank FROM s)
+SELECT team_id, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, CASE WHEN dissolved IS NULL AND cur_league IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN dissolved IS NULL THEN 0 ELSE 1 END, n DESC, team_id LIMIT 8""")
+def _(spark, d):
+    team = _search_team(spark, d)
+    index = triples.write(triples.postings(team, "team_id", ["search", "sort"], whole=["initials"]), stages.new_path(spark, "triples"))
+    return search.team_matches(triples.candidates(index, team, "team_id", "Supplier#00000001"), "Supplier#00000001").select("team_id", "rank")
+
+
+@query("letter_triples", f"""{_names_sql('member')} SELECT g AS triple, count(*) AS n FROM (SELECT DISTINCT member_id, substr(search, CAST(i AS INT), 3) AS g FROM (SELECT member_id, search, unnest(range(1, length(search) - 1)) AS i FROM k)) GROUP BY 1""")
+def _(spark, d):
+    return triples.postings(search.with_keys(A.member(spark, d)), "member_id", ["search"]).groupBy("triple").agg(F.count("*").alias("n"))
+
+
 @query("browse_country", "SELECT team_id FROM team JOIN league ON dissolved IS NULL AND cur_league = idx WHERE league.cc = 'ASIA'")
 def _(spark, d):
     return search.browse(_search_team(spark, d), A.league(spark, d), "ASIA").select("team_id")

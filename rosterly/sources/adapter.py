@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def statements(spark: SparkSession, sf_dir: str, bare: bool = False) -> DataFrame:
-    """st, member_id, team_id, start_year, end_year, apps, goals, loan; with bare, small quantities know nothing."""
+def statements(spark: SparkSession, sf_dir: str, bare: bool = False, teams: list[int] | None = None) -> DataFrame:
+    """st, member_id, team_id, start_year, end_year, apps, goals, loan; with bare, small quantities know nothing. With teams
+    their statements alone: a statement's rows agree in the team, so the scan can leave out the others."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("oy"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", F.year("l_shipdate").alias("sy"))
+    if teams is not None:
+        line = line.where(F.col("l_suppkey").isin(teams))
     j = line.join(o, line.l_orderkey == o.o_orderkey)
     known = F.lit(True) if not bare else F.col("l_quantity") > 5
     n = F.col("l_linenumber")
@@ -37,8 +40,9 @@ def spells(spark, sf_dir, bare: bool = False) -> DataFrame:
     return clean.with_sequence(clean.collapse_statements(statements(spark, sf_dir, bare)))
 
 
-def posting(spark, sf_dir) -> DataFrame:
-    return postings.posting_table(spells(spark, sf_dir))
+def posting(spark, sf_dir, teams: list[int] | None = None) -> DataFrame:
+    """All postings, or those of some teams. Postings do not need the order of spells."""
+    return postings.posting_table(clean.collapse_statements(statements(spark, sf_dir, teams=teams)))
 
 
 def member(spark, sf_dir) -> DataFrame:

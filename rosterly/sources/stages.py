@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_CLEARED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +27,37 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path that no other call has, in this application's part of the shared folder. That part is deleted when the
+    driver's Python ends; cleared() does it earlier."""
+    app = spark.sparkContext.applicationId
+    if app not in _CLEARED:
+        _CLEARED.add(app)
+        atexit.register(_at_exit, spark)
+    return f"{shared_folder(spark)}/{app}/{what}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all tables at new paths of this application."""
+    delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # a session that was stopped, a folder that is gone
+        cleared(spark)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that stored() made."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the shared folder."""
     spark = df.sparkSession
@@ -34,19 +68,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: what several parts of a plan use is worked out once."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def versions(spark: SparkSession, folder: str, stage: str) -> list[str]:
+    """The versions of a stage that are whole, the oldest first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{stage}")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def save(df: DataFrame, folder: str, stage: str) -> DataFrame:
-    """Write a stage's table, replacing an earlier one, and read it again."""
-    df.write.mode("overwrite").parquet(f"{folder}/{stage}")
-    return load(df.sparkSession, folder, stage)
+    """Write a stage's table as a new version beside the earlier one, and read it again. So a reader of the version before
+    is not disturbed; versions before that one are deleted."""
+    spark = df.sparkSession
+    before = versions(spark, folder, stage)
+    number = int(before[-1].removeprefix("v")) + 1 if before else 0
+    df.write.mode("overwrite").parquet(f"{folder}/{stage}/v{number:06d}")
+    for old in before[:-1]:
+        delete(spark, f"{folder}/{stage}/{old}")
+    return load(spark, folder, stage)
 
 
 def load(spark: SparkSession, folder: str, stage: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{stage}")
+    """The newest whole version of a stage's table."""
+    return spark.read.parquet(f"{folder}/{stage}/{versions(spark, folder, stage)[-1]}")
 
 
 def unprocessed(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
