@@ -15,13 +15,21 @@ def year_span(start: Column, end: Column) -> Column:
 def inferred_loans(spells: DataFrame) -> DataFrame:
     """spells with is_loan: flagged, or inside the years of an earlier-listed spell of the member and shorter than it.
 
-    The self-join is on the member, so that the range condition is only tried inside a career.
+    Careers are listed by start as a rule. Then one sweep answers it, in time linear in the career: of the spells so far
+    that with the greatest end, the earliest such one, contains a spell if any does and is not shorter. Only for members
+    whose list goes back in time, as some page lists do, are all spells so far looked at, one row at a time.
     """
-    dated = spells.where("start_year IS NOT NULL AND end_year IS NOT NULL").select("member_id", "seq", "start_year", "end_year")
-    b = dated.select("member_id", F.col("seq").alias("b_seq"), F.col("start_year").alias("b_start"), F.col("end_year").alias("b_end"))
-    inside = dated.join(b, "member_id").where("b_seq < seq AND b_start <= start_year AND end_year <= b_end AND b_end - b_start > end_year - start_year")
-    hit = inside.select("member_id", "seq").distinct().withColumn("_inside", F.lit(True))
-    return spells.join(hit, ["member_id", "seq"], "left").withColumn("is_loan", F.coalesce("loan", F.lit(False)) | F.coalesce("_inside", F.lit(False))).drop("_inside")
+    dated = F.col("start_year").isNotNull() & F.col("end_year").isNotNull()
+    before = Window.partitionBy("member_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    widest = F.max(F.when(dated, F.struct(F.col("end_year").alias("e"), (-F.col("start_year")).alias("s")))).over(before)
+    back = F.coalesce(dated & (F.col("start_year") < F.max(F.when(dated, F.col("start_year"))).over(before)), F.lit(False))
+    marked = spells.withColumns({"_widest": widest, "_back": back}).withColumn("_any", F.max("_back").over(Window.partitionBy("member_id")))
+    so_far = F.collect_list(F.when(F.col("_any") & dated, F.struct(F.col("start_year").alias("s"), F.col("end_year").alias("e")))).over(before)
+    found = marked.withColumn("_so_far", so_far)
+    swept = (F.col("_widest.e") > F.col("end_year")) | ((F.col("_widest.e") == F.col("end_year")) & (-F.col("_widest.s") < F.col("start_year")))
+    contains = lambda b: (b["s"] <= F.col("start_year")) & (F.col("end_year") <= b["e"]) & (b["e"] - b["s"] > F.col("end_year") - F.col("start_year"))
+    inside = dated & F.when(F.col("_any"), F.exists("_so_far", contains)).otherwise(swept)
+    return found.withColumn("is_loan", F.coalesce("loan", F.lit(False)) | F.coalesce(inside, F.lit(False))).drop("_widest", "_back", "_any", "_so_far")
 
 
 def career_view(spells: DataFrame, gk: DataFrame, selected: DataFrame | None = None) -> DataFrame:

@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterly.functions.names import dotted_initials
+from rosterly.operators.postings import numbered
 
-#: Weights and limits of fame and ease; all are parameters of the functions through this one table.
+#: Weights and limits of fame and ease; parameters of the functions through these tables.
 W = {"apps": 0.75, "goals": 3.0, "apps_cap": 260, "goals_cap": 70, "career": 0.4, "photo": 20.0, "full_season": 25, "unknown_apps": 12}
+RECENCY, RECENCY_REST, UNKNOWN_AGE = ((28, 200), (32, 150), (36, 90), (41, 45)), 10, 99
+ERA, ERA_REST = ((1970, 1.0), (1955, 0.85), (1940, 0.65)), 0.45
+EASE = {"floor": 250, "second": 0.3, "third": 0.18, "fourth": 0.1, "each": 2, "most": 25, "lone_under": 430, "lone_step": 1.5, "lone_most": 150.0, "lesser": 0.93, "near": 500, "near_both": 35.0, "near_each": -45.0}
+#: Answers of a pair that one task ranks before the best of all its parts are ranked.
+SALTED_ROWS = 100_000
 
 
 def stature(team_sizes: DataFrame, marquee: DataFrame, least: int = 120) -> DataFrame:
     """(team_id, stature): teams of at least `least` members ranked by size within their country (column cc): the upper
     40 % have 1, the next 30 % 0.82, the rest 0.66; marquee teams 1.15; teams under `least` have 0.66 whoever they are."""
-    big = team_sizes.where(F.col("n") >= least).join(marquee.select("team_id", F.lit(True).alias("marquee")), "team_id", "left")
-    by = Window.partitionBy("cc").orderBy("n", "team_id")
-    count = F.count("*").over(Window.partitionBy("cc"))
-    pct = F.when(count > 1, (F.row_number().over(by) - 1).cast("double") / (count - 1).cast("double")).otherwise(1.0)
+    sized = team_sizes.select("team_id", "n", "cc", (F.col("n") >= least).alias("_big"))
+    placed = numbered(sized, ["cc", "_big"], ["n", "team_id"], "place").join(marquee.select("team_id", F.lit(True).alias("marquee")), "team_id", "left")
+    pct = F.when(F.col("_of") > 1, F.col("place").cast("double") / (F.col("_of") - 1).cast("double")).otherwise(1.0)
     band = F.when(F.col("marquee"), 1.15).when(F.col("pct") >= 0.6, 1.0).when(F.col("pct") >= 0.3, 0.82).otherwise(0.66)
-    rated = big.withColumn("pct", pct).select("team_id", band.alias("stature"))
-    return team_sizes.select("team_id").join(rated, "team_id", "left").select("team_id", F.coalesce("stature", F.lit(0.66)).alias("stature"))
+    return placed.withColumn("pct", pct).select("team_id", F.when(F.col("_big"), band).otherwise(0.66).alias("stature"))
 
 
 def pools(team_sizes: DataFrame, star: int = 400, sub: int = 120, obs: int = 250, any300: int = 300, any100: int = 100, floor: int = 30) -> DataFrame:
@@ -56,44 +60,75 @@ def pair_members(posting: DataFrame) -> DataFrame:
     return a.join(b, "member_id").where("team_a < team_b")
 
 
+def _banded(x: Column, bands, rest, at_most: bool) -> Column:
+    out = F.when(F.lit(False), rest)
+    for limit, value in bands:
+        out = out.when(x <= limit if at_most else x >= limit, value)
+    return out.otherwise(rest)
+
+
 def recency(age: Column) -> Column:
-    return F.when(age <= 28, 200).when(age <= 32, 150).when(age <= 36, 90).when(age <= 41, 45).otherwise(10)
+    return _banded(age, RECENCY, RECENCY_REST, True)
 
 
 def era(birth: Column) -> Column:
-    return F.when(birth >= 1970, 1.0).when(birth >= 1955, 0.85).when(birth >= 1940, 0.65).otherwise(0.45)
+    return _banded(birth, ERA, ERA_REST, False)
 
 
 def answers(posting: DataFrame, member: DataFrame, statures: DataFrame, marquee: DataFrame, build_year: int) -> DataFrame:
-    """Every pair's effective answers with fame: common members but those with a known 0 apps at either team.
+    """Every pair's effective answers with fame: common members but those with a known 0 apps at either team. _salts: into
+    how many parts a pair's answers are to be dealt when they are ranked, by the smaller roster.
 
     Fame adds recency (scaled by play at the pair; none or unknown apps leave a sliver), capped tallies at the pair and
-    at marquee teams elsewhere (scaled by era), and a photo. Unknown birth counts as age 99 and the oldest era.
+    at marquee teams elsewhere (scaled by era), and a photo. Unknown birth counts as age 99 and the oldest era. What is
+    known of a member goes into the self-join on one side alone, and each side carries two tallies.
     """
     mq = marquee.select("team_id", F.lit(True).alias("mq"))
     tallied = marquee_tallies(posting, statures, marquee, member)
-    rated = posting.join(statures, "team_id").join(mq, "team_id", "left").join(member.select("member_id", "gk"), "member_id")
-    s = F.col("stature")
-    plus = lambda c: F.when(F.col(c) > 0, s * F.col(c)).otherwise(0.0)
-    goals = F.when(~F.coalesce("gk", F.lit(False)), plus("goals")).otherwise(0.0)
-    own = rated.select("team_id", "member_id", (F.col("apps") == 0).alias("zero"), plus("apps").alias("w_apps"), goals.alias("w_goals"), F.when(F.col("mq"), plus("apps")).otherwise(0.0).alias("q_apps"), F.when(F.col("mq"), goals).otherwise(0.0).alias("q_goals"), F.coalesce("mq", F.lit(False)).alias("mq"))
-    side = lambda x: own.select("member_id", *(F.col(c).alias(f"{c}_{x}") for c in own.columns if c != "member_id"))
-    both = side("a").join(side("b"), "member_id").where("team_id_a < team_id_b AND NOT coalesce(zero_a, false) AND NOT coalesce(zero_b, false)")
-    full = both.join(member.select("member_id", "birth", "img", "nat"), "member_id").join(tallied, "member_id", "left")
-    add = lambda c: F.col(f"{c}_a") + F.col(f"{c}_b")
-    rest = lambda m, q, cap: F.least(F.greatest(F.coalesce(m, F.lit(0.0)) - add(q), F.lit(0.0)), F.lit(float(cap)))
-    played = F.least(F.lit(1.0), F.when(add("w_apps") == 0, float(W["unknown_apps"])).otherwise(add("w_apps")) / W["full_season"])
-    age = F.coalesce(F.lit(build_year) - F.col("birth"), F.lit(99))
-    career = W["apps"] * rest("m_apps", "q_apps", W["apps_cap"]) + W["goals"] * rest("m_goals", "q_goals", W["goals_cap"])
-    at_pair = W["apps"] * F.least(add("w_apps"), F.lit(float(W["apps_cap"]))) + W["goals"] * F.least(add("w_goals"), F.lit(float(W["goals_cap"])))
-    fame = recency(age) * played + era(F.coalesce("birth", F.lit(0))) * (at_pair + W["career"] * career) + F.when(F.col("img").isNotNull(), W["photo"]).otherwise(0.0)
-    return full.select(F.col("team_id_a").alias("team_a"), F.col("team_id_b").alias("team_b"), "member_id", "birth", "nat", (F.col("mq_a").cast("int") + F.col("mq_b").cast("int")).alias("n_marquee"), digits(fame, 6).alias("fame"))
-
-
-def ranked(answer: DataFrame) -> DataFrame:
-    """answers with rank 1 for the most famous of the pair (ties: least id) and how many others there are."""
-    pair = Window.partitionBy("team_a", "team_b")
-    return answer.withColumn("rank", F.row_number().over(pair.orderBy(F.desc("fame"), "member_id")).cast("bigint")).withColumn("others", F.count("*").over(pair) - 1)
+    sizes = posting.groupBy("team_id").agg(F.count("*").alias("size"))
+    team = statures.join(mq, "team_id", "left").join(sizes, "team_id")
+    plus = lambda c: F.when(F.col(c) > 0, F.col("stature") * F.col(c)).otherwise(0.0)
+    own = posting.where(~F.coalesce(F.col("apps") == 0, F.lit(False))).join(team, "team_id").select("team_id", "member_id", plus("apps").alias("apps"), plus("goals").alias("goals"), F.coalesce("mq", F.lit(False)).alias("mq"), "size")
+    known = member.select("member_id", "birth", "nat", F.col("img").isNotNull().alias("photo"), F.coalesce("gk", F.lit(False)).alias("gk")).join(tallied, "member_id", "left")
+    side = lambda d, x: d.withColumnsRenamed({c: f"{c}_{x}" for c in ("team_id", "apps", "goals", "mq", "size")})
+    full = side(own, "a").join(known, "member_id").join(side(own, "b"), "member_id").where("team_id_a < team_id_b")
+    value = lambda c, x: F.when(F.col("gk"), 0.0).otherwise(F.col(f"goals_{x}")) if c == "goals" else F.col(f"apps_{x}")
+    add = lambda c: value(c, "a") + value(c, "b")
+    famed = lambda c: F.when(F.col("mq_a"), value(c, "a")).otherwise(0.0) + F.when(F.col("mq_b"), value(c, "b")).otherwise(0.0)
+    rest = lambda m, c, cap: F.least(F.greatest(F.coalesce(m, F.lit(0.0)) - famed(c), F.lit(0.0)), F.lit(float(cap)))
+    played = F.least(F.lit(1.0), F.when(add("apps") == 0, float(W["unknown_apps"])).otherwise(add("apps")) / W["full_season"])
+    age = F.coalesce(F.lit(build_year) - F.col("birth"), F.lit(UNKNOWN_AGE))
+    career = W["apps"] * rest("m_apps", "apps", W["apps_cap"]) + W["goals"] * rest("m_goals", "goals", W["goals_cap"])
+    at_pair = W["apps"] * F.least(add("apps"), F.lit(float(W["apps_cap"]))) + W["goals"] * F.least(add("goals"), F.lit(float(W["goals_cap"])))
+    fame = recency(age) * played + era(F.coalesce("birth", F.lit(0))) * (at_pair + W["career"] * career) + F.when(F.col("photo"), W["photo"]).otherwise(0.0)
+    salts = F.ceil(F.least("size_a", "size_b") / SALTED_ROWS).cast("int")
+    return full.select(F.col("team_id_a").alias("team_a"), F.col("team_id_b").alias("team_b"), "member_id", "birth", "nat", (F.col("mq_a").cast("int") + F.col("mq_b").cast("int")).alias("n_marquee"), digits(fame, 6).alias("fame"), salts.alias("_salts"))
+
+
+def topped(answer: DataFrame, k: int) -> DataFrame:
+    """Of each pair's answers the k most famous (ties: least id) with rank, in two bounded steps: parts of a pair (_salts,
+    one if there is no such column) are ranked apart, then the first k of all parts together.
+
+    Every part also sends its last row with what a running sum knows of the part, so that the pair's number of answers
+    (n_part), most marquee teams (most) and answer of the lowest id (least) need no other pass: add up or compare them
+    over a pair. A row that is sent for these alone has no rank.
+    """
+    salts = F.col("_salts") if "_salts" in answer.columns else F.lit(1)
+    part = Window.partitionBy("team_a", "team_b", "_salt").orderBy(F.desc("fame"), "member_id")
+    so_far = part.rowsBetween(Window.unboundedPreceding, 0)
+    place, last = F.row_number().over(part), F.lead(F.lit(1)).over(part).isNull()
+    dealt = answer.withColumn("_salt", F.pmod(F.xxhash64("member_id"), salts))
+    known = dealt.select("*", place.alias("_place"), last.alias("_last"), F.max("n_marquee").over(so_far).alias("most"), F.min(F.struct("member_id", "birth")).over(so_far).alias("least"))
+    kept = known.where(F.col("_last") | (F.col("_place") <= k)).withColumn("n_part", F.when(F.col("_last"), F.col("_place")).otherwise(0).cast("bigint"))
+    pair = Window.partitionBy("team_a", "team_b").orderBy((F.col("_place") > k).cast("int"), F.desc("fame"), "member_id")
+    ranked = kept.withColumn("rank", F.row_number().over(pair).cast("bigint"))
+    return ranked.withColumn("rank", F.when((F.col("_place") <= k) & (F.col("rank") <= k), F.col("rank"))).drop("_salts", "_salt", "_place", "_last")
+
+
+def ranked(answer: DataFrame, k: int) -> DataFrame:
+    """The k most famous answers of each pair with rank from 1 (ties: least id), and how many others the pair has."""
+    n = F.sum("n_part").over(Window.partitionBy("team_a", "team_b"))
+    return topped(answer, k).withColumn("others", n - 1).where("rank IS NOT NULL").drop("n_part", "most", "least")
 
 
 def pair_facts(answer: DataFrame, team: DataFrame, lesser_cc: list[str]) -> DataFrame:
@@ -101,17 +136,16 @@ def pair_facts(answer: DataFrame, team: DataFrame, lesser_cc: list[str]) -> Data
 
     lesser_cc: countries whose leagues make a pair a notch harder. team: (team_id, league_cc).
     """
-    nth = lambda k: F.coalesce(F.get("_top", F.lit(k - 1)), F.lit(0.0)).alias(f"f{k}")
-    best = F.slice(F.sort_array(F.collect_list("fame"), asc=False), 1, 4)  # a pair's answers are few: members that two teams share
-    per = answer.groupBy("team_a", "team_b").agg(F.count("*").alias("n"), F.max("n_marquee").alias("n_marquee"), best.alias("_top"), F.min_by("birth", "member_id").isNotNull().alias("birth_known"))
-    per = per.select("team_a", "team_b", "n", "n_marquee", nth(1), nth(2), nth(3), nth(4), "birth_known")
-    factor = team.select("team_id", F.when(F.col("league_cc").isin(lesser_cc), 0.93).otherwise(1.0).alias("factor"))
+    nth = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("fame"))), F.lit(0.0)).alias(f"f{k}")
+    per = topped(answer, 4).groupBy("team_a", "team_b").agg(F.sum("n_part").alias("n"), F.max("most").alias("n_marquee"), nth(1), nth(2), nth(3), nth(4), F.min("least")["birth"].isNotNull().alias("birth_known"))
+    factor = team.select("team_id", F.when(F.col("league_cc").isin(lesser_cc), EASE["lesser"]).otherwise(1.0).alias("factor"))
     per = per.join(factor.withColumnsRenamed({"team_id": "team_a", "factor": "fa"}), "team_a").join(factor.withColumnsRenamed({"team_id": "team_b", "factor": "fb"}), "team_b")
-    over = lambda c: F.greatest(F.col(c) - 250, F.lit(0.0))
-    ease = F.col("f1") + 0.3 * over("f2") + 0.18 * over("f3") + 0.1 * over("f4") + 2 * F.least("n", F.lit(25))
-    lone = F.when((F.col("n_marquee") < 2) & (F.col("f2") < 430), F.least((430 - F.col("f2")) * 1.5, F.lit(150.0))).otherwise(0.0)
+    over = lambda c: F.greatest(F.col(c) - EASE["floor"], F.lit(0.0))
+    ease = F.col("f1") + EASE["second"] * over("f2") + EASE["third"] * over("f3") + EASE["fourth"] * over("f4") + EASE["each"] * F.least("n", F.lit(EASE["most"]))
+    short = EASE["lone_under"] - F.col("f2")
+    lone = F.when((F.col("n_marquee") < 2) & (short > 0), F.least(short * EASE["lone_step"], F.lit(EASE["lone_most"]))).otherwise(0.0)
     per = per.withColumn("e", digits((ease - lone) * F.col("fa") * F.col("fb"), 6))
-    near = F.when(F.col("e") >= 500, F.when(F.col("n_marquee") == 2, 35.0).otherwise(-45.0 * (2 - F.col("n_marquee")))).otherwise(0.0)
+    near = F.when(F.col("e") >= EASE["near"], F.when(F.col("n_marquee") == 2, EASE["near_both"]).otherwise(EASE["near_each"] * (2 - F.col("n_marquee")))).otherwise(0.0)
     return per.select("team_a", "team_b", "n", digits(F.col("e") + near, 6).alias("ease"), "birth_known")
 
 
@@ -120,7 +154,7 @@ def pair_nationalities(answer: DataFrame) -> DataFrame:
 
 
 def reveal(top: DataFrame, n: int = 10) -> DataFrame:
-    """The n most famous answers of each pair, and how many more there are."""
+    """The n most famous answers of each pair, and how many more there are. top: at least n ranked answers of each."""
     return top.where(F.col("rank") <= n).withColumn("more", F.greatest(F.col("others") + 1 - n, F.lit(0)))
 
 

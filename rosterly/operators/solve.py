@@ -85,13 +85,24 @@ def solve(posting, member, team_ids, born_from=None, born_to=None, no_zero=False
 
 def effective_end(spells: DataFrame, build_year: int) -> DataFrame:
     """spells with eff: the end; for an open spell the start of the member's next spell, by seq, that is no loan and starts
-    no earlier; else the build year; null where the start is unknown. A member's later starts, which are few, are
-    gathered backwards, so each row adds one."""
-    w = Window.partitionBy("member_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.collect_list(F.when(~F.coalesce("loan", F.lit(False)), F.col("start_year"))).over(w)  # nearest last
-    following = F.get(F.reverse(F.filter("_later", lambda y: y >= F.col("start_year"))), F.lit(0))
+    no earlier; else the build year; null where the start is unknown.
+
+    In a career listed by start that is the next known start, so a row looks at one value. Only for members whose list
+    goes back in time are later starts gathered, which costs the square of such a career's length.
+    """
+    start = F.when(~F.coalesce("loan", F.lit(False)), F.col("start_year"))
+    by = Window.partitionBy("member_id").orderBy(F.desc("seq"))
+    after = by.rowsBetween(Window.unboundedPreceding, -1)
+    back = F.coalesce(F.col("start_year") > F.min(start).over(after), F.lit(False))  # some later spell starts earlier
+    marked = spells.withColumn("_start", start).withColumn("_back", back)
+    marked = marked.withColumn("_any", F.max("_back").over(Window.partitionBy("member_id")))
+    nearest = F.last("_start", ignorenulls=True).over(after)
+    later = F.collect_list(F.when(F.col("_any"), F.col("_start"))).over(after)  # nearest last; empty for careers in order
+    found = marked.withColumns({"_nearest": nearest, "_later": later})
+    following = F.when(F.col("_any"), F.get(F.reverse(F.filter("_later", lambda y: y >= F.col("start_year"))), F.lit(0))).otherwise(F.col("_nearest"))
     opened = F.col("start_year").isNotNull() & F.col("end_year").isNull()
-    return spells.withColumn("_later", later).withColumn("eff", F.when(opened, F.coalesce(following, F.lit(build_year))).when(F.col("start_year").isNotNull(), F.col("end_year"))).drop("_later")
+    eff = F.when(opened, F.coalesce(following, F.lit(build_year))).when(F.col("start_year").isNotNull(), F.col("end_year"))
+    return found.withColumn("eff", eff).drop("_start", "_back", "_any", "_nearest", "_later")
 
 
 def shared_teams(spells: DataFrame, member_ids: list[int]) -> DataFrame:
@@ -105,15 +116,21 @@ def teammate_years(spells: DataFrame, k: int, build_year: int) -> DataFrame:
     """Runs of years in which k members provably were at a team together: team_name, from_year, to_year, still (the run
     reaches the build year). spells: member_id, team_name, start_year, eff of the chosen members.
 
-    A team at which one of them has no dated spell claims nothing; spells that end before they start hold no year.
+    A team at which one of them has no dated spell claims nothing; spells that end before they start hold no year. A
+    sweep over ends and beginnings: a member's spells that touch are made one, each then adds 1 in its first year and
+    takes 1 off after its last, and where the running sum is k all are there. No year is written out.
     """
     dated = spells.where(F.col("start_year").isNotNull() & F.col("eff").isNotNull())
     claim = dated.groupBy("team_name").agg(F.count_distinct("member_id").alias("n")).where(F.col("n") == k).select("team_name")
-    years = dated.join(claim, "team_name", "left_semi").where("start_year <= eff").select("team_name", "member_id", F.explode(F.sequence("start_year", "eff")).alias("year"))
-    together = years.groupBy("team_name", "year").agg(F.count_distinct("member_id").alias("n")).where(F.col("n") == k)
-    island = F.col("year") - F.row_number().over(Window.partitionBy("team_name").orderBy("year"))
-    runs = together.withColumn("island", island).groupBy("team_name", "island").agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"))
-    return runs.select("team_name", "from_year", "to_year", (F.col("to_year") >= build_year).alias("still"))
+    own = dated.join(claim, "team_name", "left_semi").where("start_year <= eff").select("team_name", "member_id", "start_year", "eff")
+    by = Window.partitionBy("team_name", "member_id").orderBy("start_year", "eff")
+    apart = F.coalesce(F.col("start_year") > F.max("eff").over(by.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    stays = own.withColumn("_apart", apart).withColumn("_stay", F.sum(F.col("_apart").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("team_name", "member_id", "_stay").agg(F.min("start_year").alias("a"), F.max("eff").alias("b"))
+    step = lambda year, n: F.struct(year.alias("year"), F.lit(n).alias("step"))
+    steps = stays.select("team_name", F.explode(F.array(step(F.col("a"), 1), step(F.col("b") + 1, -1))).alias("x")).groupBy("team_name", "x.year").agg(F.sum("x.step").alias("step")).where("step <> 0")
+    time = Window.partitionBy("team_name").orderBy("year")
+    there = steps.withColumn("n", F.sum("step").over(time.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to_year", F.lead("year").over(time) - 1).where(F.col("n") == k)
+    return there.select("team_name", F.col("year").alias("from_year"), "to_year", (F.col("to_year") >= build_year).alias("still"))
 
 
 def shared_totals(spells: DataFrame, member_ids: list[int]) -> DataFrame:

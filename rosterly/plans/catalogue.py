@@ -303,7 +303,7 @@ def _(spark, d):
 
 @query("reveal", puzzles.ANSWERS + " SELECT team_a, team_b, member_id, rank, greatest(others + 1 - 10, 0) AS more FROM ranked WHERE rank <= 10")
 def _(spark, d):
-    return pairs.reveal(puzzles._ranked(spark, d)).select("team_a", "team_b", "member_id", "rank", "more")
+    return pairs.reveal(puzzles._ranked(spark, d, 10)).select("team_a", "team_b", "member_id", "rank", "more")
 
 
 @query("pair_keys", PAIR_SIZES + " SELECT team_a || '-' || team_b AS pair, n FROM ps")

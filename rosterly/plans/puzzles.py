@@ -110,14 +110,14 @@ ANSWERS = f"""{STATURE}, {TALLIES}, {_side('side')}, ans AS (SELECT a.team_id AS
 ranked AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b ORDER BY dg4(fame) DESC, member_id) AS rank, count(*) OVER (PARTITION BY team_a, team_b) - 1 AS others FROM ans)"""
 
 
-def _ranked(spark, d):
+def _ranked(spark, d, k: int):
     """Ranked by fame rounded to four digits, so that engines agree on near-ties."""
-    return pairs.ranked(_answers(spark, d).withColumn("fame", pairs.digits(F.col("fame"), 4)))
+    return pairs.ranked(_answers(spark, d).withColumn("fame", pairs.digits(F.col("fame"), 4)), k)
 
 
 @query("fame_top_answers", ANSWERS + " SELECT team_a, team_b, member_id, dg3(dg4(fame)) AS fame, rank, others FROM ranked WHERE rank <= 3")
 def _(spark, d):
-    return _ranked(spark, d).where("rank <= 3").select("team_a", "team_b", "member_id", pairs.digits(F.col("fame"), 3).alias("fame"), "rank", "others")
+    return _ranked(spark, d, 3).select("team_a", "team_b", "member_id", pairs.digits(F.col("fame"), 3).alias("fame"), "rank", "others")
 
 
 FACTS = f"""facts0 AS (SELECT team_a, team_b, count(*) AS n, max(n_marquee) AS nm, coalesce(max(CASE WHEN rank = 1 THEN fame END), 0) AS f1, coalesce(max(CASE WHEN rank = 2 THEN fame END), 0) AS f2, coalesce(max(CASE WHEN rank = 3 THEN fame END), 0) AS f3, coalesce(max(CASE WHEN rank = 4 THEN fame END), 0) AS f4,
