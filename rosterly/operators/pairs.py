@@ -132,12 +132,13 @@ def ranked(answer: DataFrame, k: int) -> DataFrame:
 
 
 def pair_facts(answer: DataFrame, team: DataFrame, lesser_cc: list[str]) -> DataFrame:
-    """Per pair: n (effective answers), ease rounded to six digits, whether the birth of the lowest-id answer is known.
+    """Per pair: n (effective answers), ease rounded to six digits, whether the birth of the lowest-id answer is known, and
+    the most famous answer (representative).
 
     lesser_cc: countries whose leagues make a pair a notch harder. team: (team_id, league_cc).
     """
     nth = lambda k: F.coalesce(F.max(F.when(F.col("rank") == k, F.col("fame"))), F.lit(0.0)).alias(f"f{k}")
-    per = topped(answer, 4).groupBy("team_a", "team_b").agg(F.sum("n_part").alias("n"), F.max("most").alias("n_marquee"), nth(1), nth(2), nth(3), nth(4), F.min("least")["birth"].isNotNull().alias("birth_known"))
+    per = topped(answer, 4).groupBy("team_a", "team_b").agg(F.sum("n_part").alias("n"), F.max("most").alias("n_marquee"), nth(1), nth(2), nth(3), nth(4), F.max(F.when(F.col("rank") == 1, F.col("member_id"))).alias("representative"), F.min("least")["birth"].isNotNull().alias("birth_known"))
     factor = team.select("team_id", F.when(F.col("league_cc").isin(lesser_cc), EASE["lesser"]).otherwise(1.0).alias("factor"))
     per = per.join(factor.withColumnsRenamed({"team_id": "team_a", "factor": "fa"}), "team_a").join(factor.withColumnsRenamed({"team_id": "team_b", "factor": "fb"}), "team_b")
     over = lambda c: F.greatest(F.col(c) - EASE["floor"], F.lit(0.0))
@@ -146,7 +147,7 @@ def pair_facts(answer: DataFrame, team: DataFrame, lesser_cc: list[str]) -> Data
     lone = F.when((F.col("n_marquee") < 2) & (short > 0), F.least(short * EASE["lone_step"], F.lit(EASE["lone_most"]))).otherwise(0.0)
     per = per.withColumn("e", digits((ease - lone) * F.col("fa") * F.col("fb"), 6))
     near = F.when(F.col("e") >= EASE["near"], F.when(F.col("n_marquee") == 2, EASE["near_both"]).otherwise(EASE["near_each"] * (2 - F.col("n_marquee")))).otherwise(0.0)
-    return per.select("team_a", "team_b", "n", digits(F.col("e") + near, 6).alias("ease"), "birth_known")
+    return per.select("team_a", "team_b", "n", digits(F.col("e") + near, 6).alias("ease"), "birth_known", "representative")
 
 
 def pair_nationalities(answer: DataFrame) -> DataFrame:

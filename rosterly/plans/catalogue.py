@@ -316,27 +316,83 @@ def _(spark, d):
     return schedule.fallbacks(_pair_sizes(spark, d), puzzles._pools(spark, d))
 
 
+def _schedule(spark, d, days: int):
+    """The first days of a block under cool-down rules, and the facts of its pairs."""
+    cands, sizes, facts = puzzles._cands_and_facts(spark, d)
+    spare = stages.stored(schedule.fallbacks(facts.select("team_a", "team_b", "n"), pairs.pools(sizes, star=500, sub=120, obs=520)).select("tier", "team_a", "team_b"))
+    cands = cands.select("stage", "tier", "team_a", "team_b")
+    return schedule.schedule_block(cands, "2024-01-01", days, sizes.select("team_id", F.col("cc").alias("league_cc")), spare), facts
+
+
+#: Step by step: the first candidate of a day and stage that the draws before leave free, rungs before fallbacks. Of each step
+#: the first 1,000 are looked at: at most 22 teams and 40 pairs are forbidden at a time.
+SCHEDULE = puzzles.CANDS + """, spare AS (SELECT f.team_a, f.team_b FROM facts f JOIN pools a ON a.team_id = f.team_a JOIN pools b ON b.team_id = f.team_b WHERE a.star AND b.star AND a.cc = b.cc),
+pool AS (SELECT stage, tier, p.team_a, p.team_b, s.cc, false AS late FROM cands p JOIN sizes s ON s.team_id = p.team_a UNION ALL SELECT CAST(k.range AS INT), CAST(-1 AS INT), p.team_a, p.team_b, s.cc, true FROM spare p JOIN sizes s ON s.team_id = p.team_a, range(4) k),
+steps AS (SELECT range AS step, CAST(range % 4 AS INT) AS stage, DATE '2024-01-01' + CAST(range // 4 AS INT) AS date FROM range(4 * {DAYS})),
+ord AS (SELECT step, tier, team_a, team_b, row_number() OVER (PARTITION BY step ORDER BY late, tier, md5(concat_ws('|', date, stage, cc)), md5(concat_ws('|', date, stage, team_a, team_b)), team_a, team_b) AS r FROM pool JOIN steps USING (stage)),
+lists AS MATERIALIZED (SELECT step, list({'tier': tier, 'a': team_a, 'b': team_b} ORDER BY r) AS l FROM ord WHERE r <= 1000 GROUP BY 1),
+walk AS (SELECT CAST(-1 AS BIGINT) AS step, CAST(NULL AS STRUCT(tier INT, a BIGINT, b BIGINT)) AS x, CAST([] AS STRUCT(step BIGINT, a BIGINT, b BIGINT)[]) AS past
+UNION ALL SELECT step, x, CASE WHEN x IS NULL THEN past ELSE list_append(past, {'step': step, 'a': x.a, 'b': x.b}) END FROM (
+  SELECT step, past, list_filter(l, lambda c: NOT list_contains(used, c.a) AND NOT list_contains(used, c.b) AND NOT list_contains(banned, least(c.a, c.b) || '-' || greatest(c.a, c.b)))[1] AS x FROM (
+    SELECT w.step + 1 AS step, w.past, l, flatten(list_transform(list_filter(w.past, lambda h: (w.step + 1) // 4 - h.step // 4 <= 2), lambda h: [h.a, h.b])) AS used,
+      list_transform(list_filter(w.past, lambda h: (w.step + 1) // 4 - h.step // 4 BETWEEN 1 AND 10), lambda h: least(h.a, h.b) || '-' || greatest(h.a, h.b)) AS banned
+    FROM walk w LEFT JOIN lists ON lists.step = w.step + 1 WHERE w.step < 4 * {DAYS} - 1))),
+plan AS (SELECT CAST(DATE '2024-01-01' + CAST(step // 4 AS INT) AS DATE) AS date, CAST(step % 4 AS INT) AS stage, x.tier AS tier, x.a AS team_a, x.b AS team_b FROM walk WHERE x IS NOT NULL)"""
+
+
 @query("puzzle_schedule")
 def _(spark, d):
-    """Five days of a block, under cool-down rules; the loop over days is in the driver, four rows a day."""
-    cands, sizes = puzzles._cands(spark, d)
-    cands = cands.select("stage", "tier", "team_a", "team_b")
-    spare = stages.stored(schedule.fallbacks(_pair_sizes(spark, d), pairs.pools(sizes, star=500, sub=120, obs=520)).select("tier", "team_a", "team_b"))
-    return schedule.schedule_block(cands, "2024-01-01", 5, sizes.select("team_id", F.col("cc").alias("league_cc")), spare)
+    """A block of 90 days."""
+    return _schedule(spark, d, schedule.BLOCK_DAYS)[0]
+
+
+SQL["puzzle_schedule"] = A.oracle(puzzles._digits(SCHEDULE.replace("{DAYS}", "90") + " SELECT * FROM plan")).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("schedule_calibration")
+def _(spark, d):
+    plan, facts = _schedule(spark, d, schedule.BLOCK_DAYS)
+    return schedule.calibration(plan, facts).withColumnsRenamed({str(k): f"stage_{k}" for k in range(4)})
+
+
+SQL["schedule_calibration"] = A.oracle(puzzles._digits(SCHEDULE.replace("{DAYS}", "90") + """, tx AS (SELECT date, stage, printf('%d-%d n=%d ease=%.2f tier=%d best=%d', p.team_a, p.team_b, f.n, dg2(f.ease), tier, f.representative) AS t
+FROM plan p JOIN facts f ON f.team_a = least(p.team_a, p.team_b) AND f.team_b = greatest(p.team_a, p.team_b))
+SELECT date, """ + ", ".join(f"max(CASE WHEN stage = {k} THEN t END) AS stage_{k}" for k in range(4)) + " FROM tx GROUP BY 1")).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("puzzle_calibration", puzzles.CANDS + f""", days AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-01-15', INTERVAL 1 DAY)), fd AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY stage) AS low FROM cands) WHERE tier = low),
 dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, stage ORDER BY md5(concat_ws('|', date, stage, cc)), md5(concat_ws('|', date, stage, team_a, team_b)), team_a, team_b) AS r FROM days, fd JOIN (SELECT team_id, cc FROM sizes) s ON s.team_id = fd.team_a) WHERE r = 1),
-tx AS (SELECT date, stage, printf('%d-%d n=%d ease=%.2f tier=%d', team_a, team_b, n, ease, tier) AS t FROM dr)
+tx AS (SELECT date, stage, printf('%d-%d n=%d ease=%.2f tier=%d best=%d', dr.team_a, dr.team_b, dr.n, dr.ease, tier, f.representative) AS t FROM dr JOIN facts f ON f.team_a = least(dr.team_a, dr.team_b) AND f.team_b = greatest(dr.team_a, dr.team_b))
 SELECT date, {', '.join(f"max(CASE WHEN stage = {k} THEN t END) AS stage_{k}" for k in range(4))} FROM tx GROUP BY 1""")
 def _(spark, d):
-    cands, sizes = puzzles._cands(spark, d)
+    cands, sizes, facts = puzzles._cands_and_facts(spark, d)
     days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-14')) AS date")
     drawn = puzzles._draws(cands, sizes, days)
-    facts = drawn.select(F.least("team_a", "team_b").alias("team_a"), F.greatest("team_a", "team_b").alias("team_b"), "n", "ease").distinct()
     return schedule.calibration(drawn.select("date", "stage", "tier", "team_a", "team_b"), facts).withColumnsRenamed({str(k): f"stage_{k}" for k in range(4)})
 
 
+@query("random_question", """top AS (SELECT min(idx) AS cur_league FROM league GROUP BY cc), good AS (SELECT team_id FROM team SEMI JOIN top USING (cur_league) WHERE dissolved IS NULL),
+d0 AS (SELECT size, draw, team_id FROM good, (VALUES (2), (3)) s(size), range(64) r(draw)),
+p0 AS (SELECT size, draw, arg_min(team_id, md5(concat_ws('|', 'seed 9|' || size, draw, 0, team_id))) AS team_id FROM d0 GROUP BY 1, 2),
+p1 AS (SELECT size, draw, arg_min(team_id, md5(concat_ws('|', 'seed 9|' || size, draw, 1, team_id))) AS team_id FROM d0 ANTI JOIN p0 USING (size, draw, team_id) GROUP BY 1, 2),
+p2 AS (SELECT size, draw, arg_min(team_id, md5(concat_ws('|', 'seed 9|' || size, draw, 2, team_id))) AS team_id FROM d0 ANTI JOIN (SELECT * FROM p0 UNION ALL SELECT * FROM p1) USING (size, draw, team_id) WHERE size = 3 GROUP BY 1, 2),
+dr AS (SELECT *, 0 AS place FROM p0 UNION ALL SELECT *, 1 FROM p1 UNION ALL SELECT *, 2 FROM p2),
+ne AS (SELECT size, draw, count(*) AS n FROM (SELECT size, draw, member_id FROM dr JOIN posting USING (team_id) GROUP BY 1, 2, 3 HAVING count(*) = size) GROUP BY 1, 2),
+one AS (SELECT * FROM ne ORDER BY size DESC, draw LIMIT 1)
+SELECT team_id, CAST(place AS INT) AS place, n FROM dr JOIN one USING (size, draw)""")
+def _(spark, d):
+    posting = stages.stored(A.posting(spark, d))
+    return schedule.random_question(posting, A.team(spark, d), gate.top_divisions(A.league(spark, d)), "seed 9")
+
+
+@query("random_members", """fit AS (SELECT member_id, birth FROM member WHERE img IS NOT NULL AND birth IS NOT NULL), pl AS (SELECT a.member_id AS anchor, p.team_id, b.member_id, md5(concat_ws('|', 'seed 4', a.member_id)) AS h1, md5(concat_ws('|', 'seed 4', a.member_id, p.team_id)) AS h2, md5(concat_ws('|', 'seed 4', a.member_id, p.team_id, b.member_id)) AS h3
+  FROM (SELECT * FROM fit ORDER BY md5(concat_ws('|', 'seed 4', member_id)), member_id LIMIT 64) a JOIN posting p USING (member_id) JOIN posting q USING (team_id) JOIN fit b ON b.member_id = q.member_id AND abs(b.birth - a.birth) <= 2 AND b.member_id <> a.member_id),
+w AS (SELECT anchor, team_id FROM pl ORDER BY h1, anchor, h2, team_id LIMIT 1), f AS (SELECT pl.* FROM pl JOIN w USING (anchor, team_id) ORDER BY h3, member_id LIMIT 2)
+SELECT DISTINCT team_id, unnest([anchor, member_id]) AS member_id FROM f""")
+def _(spark, d):
+    return schedule.random_members(stages.stored(A.posting(spark, d)), A.member(spark, d), "seed 4")
+
+
 # Play archives.
 
 

@@ -121,10 +121,10 @@ def _(spark, d):
 
 
 FACTS = f"""facts0 AS (SELECT team_a, team_b, count(*) AS n, max(n_marquee) AS nm, coalesce(max(CASE WHEN rank = 1 THEN fame END), 0) AS f1, coalesce(max(CASE WHEN rank = 2 THEN fame END), 0) AS f2, coalesce(max(CASE WHEN rank = 3 THEN fame END), 0) AS f3, coalesce(max(CASE WHEN rank = 4 THEN fame END), 0) AS f4,
-  arg_min(coalesce(birth, -1), member_id) <> -1 AS birth_known FROM ranked GROUP BY 1, 2),
+  arg_min(coalesce(birth, -1), member_id) <> -1 AS birth_known, max(CASE WHEN rank = 1 THEN member_id END) AS representative FROM ranked GROUP BY 1, 2),
 facts1 AS (SELECT f.*, dg6((f1 + 0.3 * greatest(f2 - 250, 0) + 0.18 * greatest(f3 - 250, 0) + 0.1 * greatest(f4 - 250, 0) + 2 * least(f.n, 25) - CASE WHEN nm < 2 AND f2 < 430 THEN least((430 - f2) * 1.5, 150) ELSE 0 END)
   * (CASE WHEN a.cc IN ('AFRICA', 'ASIA') THEN 0.93 ELSE 1.0 END)::DOUBLE * (CASE WHEN b.cc IN ('AFRICA', 'ASIA') THEN 0.93 ELSE 1.0 END)::DOUBLE) AS e FROM facts0 f JOIN sizes a ON a.team_id = team_a JOIN sizes b ON b.team_id = team_b),
-facts AS (SELECT team_a, team_b, n, dg6(e + CASE WHEN e >= 500 THEN CASE WHEN nm = 2 THEN 35 ELSE -45 * (2 - nm) END ELSE 0 END) AS ease, birth_known FROM facts1)"""
+facts AS (SELECT team_a, team_b, n, dg6(e + CASE WHEN e >= 500 THEN CASE WHEN nm = 2 THEN 35 ELSE -45 * (2 - nm) END ELSE 0 END) AS ease, birth_known, representative FROM facts1)"""
 
 
 def _facts(spark, d, posting=None, sizes=None):
@@ -135,7 +135,7 @@ def _facts(spark, d, posting=None, sizes=None):
 
 @query("pair_ease", f"{ANSWERS.replace('AS n_marquee, dg6(', 'AS n_marquee, dg64(')}, {FACTS} SELECT team_a, team_b, n, dg2(ease) AS ease, birth_known FROM facts")
 def _(spark, d):
-    return _facts(spark, d).withColumn("ease", pairs.digits(F.col("ease"), 2))
+    return _facts(spark, d).select("team_a", "team_b", "n", pairs.digits(F.col("ease"), 2).alias("ease"), "birth_known")
 
 
 LADDER = [(0, 0, "star", "field", 2, 10**9, 545.0, 1e9, False), (0, 1, "star", "field", 2, 10**9, 470.0, 1e9, False), (1, 0, "star", "field", 3, 10**9, 425.0, 545.0, False), (1, 1, "star", "field", 2, 10**9, 350.0, 570.0, False), (2, 0, "field", "field", 2, 180, 140.0, 370.0, False), (2, 1, "field", "field", 2, 250, 0.0, 700.0, False), (3, 0, "obs", "any300", 1, 150, -1e9, 560.0, True), (3, 1, "obs", "any100", 1, 300, -1e9, 1000.0, False)]
@@ -145,12 +145,16 @@ def _ladder(spark):
     return spark.createDataFrame(LADDER, "stage int, tier int, pool_a string, pool_b string, min_n long, max_n long, ease_lo double, ease_hi double, need_birth boolean")
 
 
-def _cands(spark, d):
-    """Candidates, and the sizes of teams, both stored."""
+def _cands_and_facts(spark, d):
+    """Candidates, the sizes of teams and the facts of pairs, all stored."""
     posting = stored(A.posting(spark, d))
     sizes = stored(_sizes(spark, d, posting))
-    facts = _facts(spark, d, posting, sizes).withColumn("ease", pairs.digits(F.col("ease"), 2))
-    return stored(schedule.candidates(facts, pairs.pools(sizes, star=500, sub=120, obs=520), _ladder(spark))), sizes
+    facts = stored(_facts(spark, d, posting, sizes).withColumn("ease", pairs.digits(F.col("ease"), 2)))
+    return stored(schedule.candidates(facts, pairs.pools(sizes, star=500, sub=120, obs=520), _ladder(spark))), sizes, facts
+
+
+def _cands(spark, d):
+    return _cands_and_facts(spark, d)[:2]
 
 
 _PICK = lambda side, col: "CASE " + col + " " + " ".join(f"WHEN '{p}' THEN {side}.{p}" for p in ("star", "sub", "field", "obs", "any300", "any100")) + " END"

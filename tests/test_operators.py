@@ -125,8 +125,9 @@ def test_streak_breaks_on_a_gap_and_a_loss(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 4, 3, 2, 0), (2, 1, 0, 0, 0), (3, 1, 1, 1, 1)}
 
 
-def test_schedule_keeps_its_rules(spark):
-    """Days of a block by brute force: lowest tier left, seeded country and pair, cool-down, fallbacks."""
+@pytest.mark.parametrize("heap", [64, 1, 5])
+def test_schedule_keeps_its_rules(spark, heap):
+    """Days of a block by brute force: lowest tier left, seeded country and pair, cool-down, fallbacks; heaps run dry."""
     import hashlib
 
     cands = [(s, 0 if (a + b) % 3 else 1, a, b) for s in range(4) for a in range(22) for b in range(22) if a < b and (a + b + s) % 4 == 0]
@@ -134,7 +135,7 @@ def test_schedule_keeps_its_rules(spark):
     country = {t: f"C{t % 3}" for t in range(40)}
     frame = spark.createDataFrame(cands, "stage int, tier int, team_a long, team_b long")
     other = spark.createDataFrame(spare, "tier int, team_a long, team_b long")
-    got = [tuple(r) for r in schedule.schedule_block(frame, "2024-01-01", 5, spark.createDataFrame(list(country.items()), "team_id long, league_cc string"), other).orderBy("date", "stage").collect()]
+    got = [tuple(r) for r in schedule.schedule_block(frame, "2024-01-01", 5, spark.createDataFrame(list(country.items()), "team_id long, league_cc string"), other, heap).orderBy("date", "stage").collect()]
     md5, want = lambda *p: hashlib.md5("|".join(map(str, p)).encode()).hexdigest(), []
     for k in range(5):
         date = datetime.date(2024, 1, 1 + k)
