@@ -8,8 +8,9 @@ from rosterly.functions.names import image_key
 from rosterly.operators import clean, entity, gate, overlay, pairs, playlog, postings, schedule, search, solve
 from rosterly.plans import puzzles, solving
 from rosterly.sources import adapter as A
-from rosterly.sources import export, stages
+from rosterly.sources import batches, export, stages
 from rosterly.sources import statements as S
+from rosterly.streaming import live
 
 QUERIES, SQL = {}, {}
 
@@ -393,6 +394,56 @@ def _(spark, d):
     return schedule.random_members(stages.stored(A.posting(spark, d)), A.member(spark, d), "seed 4")
 
 
+@query("resumed_batches", "SELECT member_id, count(*) AS n FROM spells GROUP BY 1")
+def _(spark, d):
+    """Three runs: one that is lost before its last batch is entered, one over fewer members, one over all."""
+    spells, path, schema = stages.stored(A.spells(spark, d)), stages.new_path(spark, "batches"), "member_id bigint, n bigint"
+    count = lambda todo: spells.join(todo, "member_id", "left_semi").groupBy("member_id").agg(F.count("*").alias("n"))
+    members = spells.select("member_id").distinct()
+    batches.resume(members.where("member_id % 3 = 0"), "member_id", count, path, schema, 2)
+    count(members.where("member_id % 3 = 1")).write.parquet(batches.folder(path, 2))
+    batches.resume(members.where("member_id % 2 = 0"), "member_id", count, path, schema)
+    return batches.resume(members, "member_id", count, path, schema, 2)
+
+
+@query("careers_of_members", "SELECT member_id, count(*) AS n FROM spells WHERE member_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) GROUP BY 1")
+def _(spark, d):
+    path = _folder(spark, "careers")
+    export.write_careers(export.career_shards(A.spells(spark, d)), path)
+    ids = A.table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("member_id"))
+    return export.read_careers(spark, path, ids).select("member_id", F.size("spells").cast("bigint").alias("n"))
+
+
+LIVE_EVENTS = puzzles.EVENTS.replace("user_id || '-' || (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) AS run_id", "user_id || '-' || date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS run_id")
+
+
+def _live_events(spark, d):
+    """Runs of a user and day."""
+    e = puzzles._events(spark, d)
+    ts = A.table(spark, d, "events").select(F.col("event_id").alias("seq"), "ts")
+    day = F.datediff("date", F.lit(puzzles.EPOCH).cast("date")).cast("string")
+    return e.join(ts, "seq").select(F.concat_ws("-", "user_id", day).alias("run_id"), "user_id", "date", F.col("ts").cast("timestamp").alias("ts"), "seq", "kind", "member_id")
+
+
+@query("live_streaks")
+def _(spark, d):
+    """The events as a stream in three parts, each read by a start of its own; a last event closes the last day."""
+    events, landed, path, progress = stages.stored(_live_events(spark, d)), *(stages.new_path(spark, x) for x in ("landed", "runs", "progress"))
+    days = events.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    part = F.floor(F.datediff("date", F.lit(days.a)) * 3 / (F.datediff(F.lit(days.b), F.lit(days.a)) + 1))
+    end = events.limit(1).select(F.lit("end").alias("run_id"), "user_id", F.date_add(F.lit(days.b), 2).alias("date"), F.date_add(F.lit(days.b), 2).cast("timestamp").alias("ts"), "seq", "kind", "member_id")
+    for k in range(3):
+        (events.where(part == k) if k < 2 else events.where(part == k).unionByName(end)).write.mode("append").parquet(landed)
+        live.settle(spark.readStream.schema(live.EVENT).parquet(landed), path, progress).awaitTermination()
+    return live.stats(spark, path)
+
+
+_RUNS = puzzles.FOLD_SQL.replace(puzzles.EVENTS, LIVE_EVENTS)
+SQL["live_streaks"] = f"""WITH r AS ({_RUNS}), dy AS (SELECT CAST(split_part(run_id, '-', 1) AS BIGINT) AS user_id, DATE '{puzzles.EPOCH}' + CAST(split_part(run_id, '-', 2) AS INT) AS date, won FROM r),
+i AS (SELECT user_id, date, date_diff('day', DATE '2000-01-01', date) - row_number() OVER (PARTITION BY user_id ORDER BY date) AS g FROM dy WHERE won), s AS (SELECT user_id, count(*) AS len, max(date) AS last FROM i GROUP BY user_id, g), b AS (SELECT user_id, max(len) AS best, arg_max(len, last) AS ll, max(last) AS lw FROM s GROUP BY 1),
+p AS (SELECT user_id, count(*) AS played, count(*) FILTER (won) AS wins, max(date) AS lp FROM dy GROUP BY 1) SELECT user_id, played, wins, coalesce(best, 0) AS best, CASE WHEN lw = lp THEN ll ELSE 0 END AS current FROM p LEFT JOIN b USING (user_id)"""
+
+
 # Play archives.
 
 
