@@ -68,6 +68,22 @@ def export_violations(rosters: DataFrame, n_members: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [rosters.where(bad).select(F.lit(name).alias("check"), F.col("team_id").cast("string").alias("detail")) for name, bad in checks])
 
 
+def block_violations(blocks: DataFrame, n_members: int, width: int) -> DataFrame:
+    """(check, detail) of what is wrong with blocks of rosters, or of the list of goalkeepers as a roster of its own: arrays
+    of unequal length, a first id that is negative or not the block's, steps that do not rise, a last id that the steps
+    do not give or that is past the last member, an id outside the block's range, a block that is there twice."""
+    steps, name = F.col("steps"), F.concat_ws("-", "team_id", "bucket")
+    falls = F.exists(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.get(steps, i) <= F.get(steps, i - 1))
+    checks = [
+        ("arrays differ in length", (F.size("steps") != F.size("apps")) | (F.size("steps") != F.size("goals")) | (F.size("steps") != F.col("n"))),
+        ("steps", (F.col("first_id") < 0) | (F.get(steps, F.lit(0)) != 0) | F.when(F.size(steps) > 1, falls).otherwise(False) | (F.col("first_id") + F.element_at(steps, -1) != F.col("last_id"))),
+        ("id out of range", (F.col("last_id") >= n_members) | (F.floor(F.col("first_id") / width) != F.col("bucket")) | (F.floor(F.col("last_id") / width) != F.col("bucket"))),
+    ]
+    wrong = [blocks.where(bad).select(F.lit(check).alias("check"), name.alias("detail")) for check, bad in checks]
+    twice = blocks.groupBy("team_id", "bucket").agg(F.count("*").alias("k")).where("k > 1").select(F.lit("block repeats").alias("check"), name.alias("detail"))
+    return reduce(DataFrame.unionByName, [*wrong, twice])
+
+
 def missing_shards(shards: DataFrame, n: int) -> DataFrame:
     every = shards.sparkSession.range(n).select(F.col("id").cast("int").alias("shard"))
     return every.join(shards.select("shard").distinct(), "shard", "left_anti")

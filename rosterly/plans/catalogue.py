@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterly.functions.names import image_key
-from rosterly.operators import clean, entity, gate, overlay, pairs, playlog, postings, schedule, search, solve
+from rosterly.operators import blocks, clean, entity, gate, hints, overlay, pairs, playlog, postings, schedule, search, solve
 from rosterly.plans import puzzles, solving
 from rosterly.sources import adapter as A
 from rosterly.sources import batches, export, stages
@@ -394,6 +394,64 @@ def _(spark, d):
     return schedule.random_members(stages.stored(A.posting(spark, d)), A.member(spark, d), "seed 4")
 
 
+@query("block_violations", f"""b AS (SELECT team_id, member_id // {blocks.WIDTH} AS bucket, max(member_id) AS top FROM (SELECT team_id, member_id FROM posting UNION ALL SELECT -1, member_id FROM member WHERE gk) GROUP BY 1, 2)
+SELECT 'id out of range' AS "check", team_id || '-' || bucket AS detail FROM b WHERE top >= (SELECT count(*) FROM member) - 5""")
+def _(spark, d):
+    none = F.lit(None).cast("bigint")
+    keepers = A.member(spark, d).where("gk").select(F.lit(-1).cast("bigint").alias("team_id"), "member_id", none.alias("apps"), none.alias("goals"))
+    every = A.posting(spark, d).select("team_id", "member_id", "apps", "goals").unionByName(keepers)
+    return gate.block_violations(blocks.blocked(every), A.table(spark, d, "customer").count() - 5, blocks.WIDTH)
+
+
+def _question(events):
+    """The pair of each run and stage: one of five teams by the user, one of four by the stage."""
+    runs = events.select("run_id", "user_id").distinct()
+    return runs.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("stage"), (1 + F.pmod("user_id", F.lit(5))).cast("bigint").alias("team_a")).withColumn("team_b", (6 + F.col("stage")).cast("bigint"))
+
+
+def _hinted(spark, d):
+    """Events with named hints, the questions, the two most famous answers of their pairs, and all answers."""
+    name = F.element_at(F.array(F.lit(hints.FIRST), F.lit(hints.SECOND), F.lit(hints.NATIONALITIES)), F.col("hint").cast("int") + 1)
+    events = puzzles._events(spark, d).withColumn("hint", name)
+    question = _question(events)
+    posting = stages.stored(A.posting(spark, d))
+    asked = F.broadcast(question.select("team_a", "team_b").distinct().limit(1000))  # 5 x 4 pairs
+    answer = stages.stored(puzzles._answers(spark, d, posting).withColumn("fame", pairs.digits(F.col("fame"), 4)).join(asked, ["team_a", "team_b"], "left_semi"))
+    return events, question, posting, answer, stages.stored(pairs.ranked(answer, 2))
+
+
+HINTED = puzzles.ANSWERS + ", " + puzzles.EVENTS + """, q AS (SELECT DISTINCT run_id, s.stage, 1 + user_id % 5 AS team_a, 6 + s.stage AS team_b FROM ev, (VALUES (0), (1), (2), (3)) s(stage)),
+hs AS (SELECT run_id, CASE hint WHEN '0' THEN 'first' WHEN '1' THEN 'second' ELSE 'nationalities' END AS hint, arg_min(stage, seq) AS stage FROM ev WHERE kind = 'hint' GROUP BY 1, 2),
+sp AS (SELECT a.*, CASE a.hint WHEN 'first' THEN 1 WHEN 'second' THEN 1 + CAST(coalesce(b.stage = a.stage, false) AS INT) END AS reveals FROM hs a LEFT JOIN hs b ON b.run_id = a.run_id AND b.hint = 'first')"""
+
+
+@query("hint_chain", HINTED + """, op AS (SELECT member_id, list(team_id) AS opn FROM spells WHERE start_year IS NOT NULL AND end_year IS NULL GROUP BY 1),
+kit AS (SELECT r.team_a, r.team_b, rank, concat_ws(' · ', concat_ws(' ', any_value(name)[1:1] || '.', CAST(any_value(m.birth) // 10 * 10 AS INT) || 's'), any_value(m.nat), CASE WHEN sum(greatest(coalesce(apps, 0), 0)) > 0 THEN sum(greatest(coalesce(apps, 0), 0)) || ' apps' END,
+  CASE WHEN NOT any_value(gk) AND sum(greatest(coalesce(goals, 0), 0)) > 0 THEN sum(greatest(coalesce(goals, 0), 0)) || ' goals' END, CASE WHEN any_value(list_contains(opn, r.team_a) OR list_contains(opn, r.team_b)) THEN 'still there' WHEN any_value(len(opn)) > 0 THEN 'still active' END) AS kit
+  FROM ranked r JOIN posting p ON p.member_id = r.member_id AND p.team_id IN (r.team_a, r.team_b) JOIN member m ON m.member_id = r.member_id LEFT JOIN op ON op.member_id = r.member_id WHERE rank <= 2 AND r.team_a <= 5 AND r.team_b BETWEEN 6 AND 9 GROUP BY 1, 2, 3),
+ct AS (SELECT team_a, team_b, string_agg(n || ' ' || nat, ' · ' ORDER BY n DESC, nat) AS counts FROM (SELECT team_a, team_b, coalesce(nat, '?') AS nat, count(*) AS n FROM ans GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT sp.run_id, sp.hint, sp.stage, CAST(reveals AS BIGINT) AS reveals, coalesce(CASE WHEN hint = 'nationalities' THEN counts ELSE kit END, '…') AS text FROM sp JOIN q USING (run_id, stage) LEFT JOIN kit ON kit.team_a = q.team_a AND kit.team_b = q.team_b AND kit.rank = reveals LEFT JOIN ct ON ct.team_a = q.team_a AND ct.team_b = q.team_b""")
+def _(spark, d):
+    events, question, posting, answer, top = _hinted(spark, d)
+    named = A.spells(spark, d).join(A.team(spark, d).select("team_id", F.col("name").alias("team_name")), "team_id")
+    kits = hints.described(top, posting, A.member(spark, d), hints.notes(named, top))
+    return hints.texts(hints.spent(events), question, kits, answer)
+
+
+@query("stage_board_answers", None)
+def _(spark, d):
+    events, question, _, _, top = _hinted(spark, d)
+    guesses = playlog.solving_guesses(puzzles._events(spark, d))
+    return hints.board(playlog.stage_board(puzzles._run_lists(spark, d)), guesses, question, top.where("rank = 1"))
+
+
+SQL["stage_board_answers"] = A.oracle(puzzles._digits(f"""{puzzles.ANSWERS}, face AS (SELECT team_a, team_b, member_id, others FROM ranked WHERE rank = 1), sb AS ({puzzles.SQL["stage_board"]}),
+g0 AS (SELECT run_id, stage, member_id, seq, kind, row_number() OVER (PARTITION BY run_id, stage, member_id ORDER BY seq) AS r FROM ev3 WHERE kind IN ('right', 'wrong')), g AS (SELECT run_id, stage, arg_min(member_id, seq) AS hit FROM g0 WHERE kind = 'right' AND r = 1 GROUP BY 1, 2),
+x AS (SELECT sb.*, 1 + CAST(split_part(run_id, '-', 1) AS BIGINT) % 5 AS team_a, 6 + stage_at AS team_b FROM sb)
+SELECT x.run_id, stage_at, state, CASE WHEN state IN ('done', 'hinted') THEN hit WHEN state NOT IN ('current', 'to do') THEN f.member_id END AS member_id, CASE WHEN state NOT IN ('current', 'to do') THEN others END AS others
+FROM x LEFT JOIN g ON g.run_id = x.run_id AND g.stage = x.stage_at LEFT JOIN face f ON f.team_a = x.team_a AND f.team_b = x.team_b""".replace(", face AS (", ", " + puzzles.EVENTS.replace("ev AS (", "ev3 AS (", 1) + ", face AS (")))
+
+
 @query("resumed_batches", "SELECT member_id, count(*) AS n FROM spells GROUP BY 1")
 def _(spark, d):
     """Three runs: one that is lost before its last batch is entered, one over fewer members, one over all."""
