@@ -5,11 +5,14 @@ mention of an entity in any document gets the same one, written in the mention's
 compared with each other and with the real entities; those that collide are drawn again until all differ. Only a drawn
 collision depends on what else is there: a ledger of earlier surrogates keeps them across batches.
 
-Persons are found by a title. Their names are replaced part by part: a part has one made-up stem everywhere and takes
-the ending of its person's gender, so "Mr John Smith", "Mr Smith", "Mrs Smith" and, in a document that names a Smith by
-a title, a bare "Smith" or "John Smith" stay recognisably the same or related, and different parts stay different. A
-mention whose title tells no gender takes that of a titled mention of the same document: of the whole name, else of
-the last part. Names that no title of the document introduces are not found.
+Persons are found by a title. Their names are replaced part by part: a part has one made-up stem everywhere, whatever its
+capitals, and takes the ending of its person's gender, so "Mr John Smith", "Mr Smith", "MRS SMITH" and, in a document
+that names a Smith by a title, a bare "Smith" or "John Smith" stay recognisably the same or related, and different parts
+stay different. Initials get another letter, particles ("van", "de") stay. A mention whose title tells no gender takes
+that of a titled mention of the same document: of the whole name, else of the last part. A bare word that begins a
+sentence and is an ordinary word too (ORDINARY) counts only next to another part of a name.
+
+Not found: names that no title of the document introduces, dates of birth, addresses of places.
 DataFrame functions only: no Python in the tasks.
 """
 
@@ -24,27 +27,40 @@ from .common import BROADCAST_IDS, dropped, let, stored, table
 
 #: Titles and the gender that they tell ("" for none). Names follow in capitals, in Latin, Cyrillic or Greek script.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
-NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
+#: Titles that stand in capitals too.
+SHOUTED = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
+TITLE = "|".join([*TITLES, *(t.upper() for t in SHOUTED)])
+#: A part of a name: a capital and letters, inner capitals and all capitals too, after one letter with an apostrophe or none;
+#: further parts behind a hyphen or apostrophe belong to it.
+NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)*(?!\p{L})"
+INITIALS = r"(?:\p{Lu}\. ?|\p{Lu} (?=\p{Lu}))"
+INITIAL = r"(?:(?:\p{Lu}\.)+|\p{Lu})"
+PARTICLE = r"(?:van|von|de|der|den|del|della|di|da|dos|du|des|la|le|ter|ten|zu|zur|af|av|bin|ibn|al|el)"
+#: Ordinary words of the titles' languages that are names too.
+ORDINARY = "will may mark bill frank art long short brown white black green gray grey young old king page wood stone hill field rich love day best price hope grace rose joy faith summer winter march june august west north south east more case guy chase cook gross klein lang kurz jung alt weiss schwarz braun koch bauer petit grand blanc noir bon blanco bueno rey luz paz sol".split()
 #: Type -> pattern. The order is that of precedence where two could start at one place.
 TYPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z-])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{3,4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z-])",
-    "person": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? {NAME}(?: {NAME}){{0,2}}",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+])(?:0[1-9]|\+[0-9]{2,3}[ .-]?[1-9])(?:[ .-][0-9]{2}){4}(?![0-9A-Za-z-])",
+    "person": rf"(?<!\p{{L}})(?:{TITLE})\.? {INITIALS}{{0,3}}(?:{PARTICLE} ){{0,3}}{NAME}(?: {INITIALS}{{0,2}}(?:{PARTICLE} ){{0,3}}{NAME}){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Any capitalised word: looked at in documents that name a person by a title.
-BARE = rf"(?<!\p{{L}}){NAME}(?!\p{{L}})"
-TITLED = rf"(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? \p{{Lu}}"
-#: A cheap test that every entity passes: an @, two digits with at most one sign between, or a title.
-HINT = rf"@|[0-9][ .()-]?[0-9]|{'|'.join(TITLES)}"
+BARE = rf"(?<!\p{{L}}){NAME}"
+TITLED = rf"(?<!\p{{L}})(?:{TITLE})\.? (?:{PARTICLE} ){{0,3}}\p{{Lu}}"
+#: A cheap test that every entity passes: an @, two digits with at most one sign between, two colons, or a title.
+HINT = rf"@|[0-9][ .()-]?[0-9]|:[0-9A-Fa-f]{{0,4}}:|{TITLE}"
 #: Syllables by script, and endings by script and gender; a made-up name part is three or four syllables and an ending.
 SYLLABLES = {"latin": "ba be bo da de do fa ga ka ke la le lo ma me mi na ne no ra re ri ro sa se so ta te ti va vi".split(), "cyrillic": "ба бе во да де до ка ко ла ле ло ма ме ми на не но ра ре ри ро са се со та те ти ва ви за".split(), "greek": "βα γα γε δα δε θα κα κε λα λε λο μα με μι να νε νο πα πε ρα ρε ρι ρο σα σε σο τα τε τι φι".split()}
 ENDINGS = {"latin": {"m": "n", "f": "na", "": "s"}, "cyrillic": {"m": "н", "f": "на", "": "с"}, "greek": {"m": "ν", "f": "να", "": "ς"}}
 MAX_ROUNDS = 40
+#: Up to so many entities with their surrogates are broadcast to the mentions.
+BROADCAST_TEXTS = 200_000
 #: The key that the query uses, which has no secret to keep: callers pass their own.
 EXAMPLE_KEY = "an example, not a secret"
 #: Rounds after which what is drawn grows, and the place of the numbers for it in an entity's stream.
@@ -57,7 +73,7 @@ def kind_of(mention: Column) -> Column:
 
 def canonical(kind: Column, mention: Column) -> Column:
     """What mentions of one entity share: signs without separators, in lower case; a person's name without its title."""
-    return F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(mention, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "person", F.regexp_replace(mention, rf"^(?:{'|'.join(TITLES)})\.? ", "")).otherwise(F.lower(mention))
+    return F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(mention, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "person", F.regexp_replace(mention, rf"^(?:{TITLE})\.? ", "")).otherwise(F.lower(mention))
 
 
 def _mod97(signs: Column) -> Column:
@@ -76,8 +92,18 @@ def valid(kind: Column, entity: Column) -> Column:
 
 
 def gender_of(mention: Column) -> Column:
-    title = F.regexp_extract(mention, r"^(\p{L}+)\.? ", 1)
-    return reduce(lambda c, t: c.when(title == t, TITLES[t]), list(TITLES)[1:], F.when(title == "Mr", "m")).otherwise("")
+    title = F.lower(F.regexp_extract(mention, r"^(\p{L}+)\.? ", 1))
+    return reduce(lambda c, t: c.when(title == t.lower(), TITLES[t]), list(TITLES)[1:], F.when(title == "mr", "m")).otherwise("")
+
+
+def part_of(word: Column) -> Column:
+    """What the writings of a part of a name share: one capital, then small letters."""
+    return F.concat(F.upper(F.substr(word, F.lit(1), F.lit(1))), F.lower(F.substr(word, F.lit(2))))
+
+
+def parts_of(name: Column) -> Column:
+    """The parts of a name in order; initials that touch one another are one part, and stand apart from what follows."""
+    return F.filter(F.split(F.regexp_replace(name, r"(\p{Lu}\.)(?=\p{Lu}\p{L})", "$1 "), " "), lambda p: p != "")
 
 
 def _stream(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
@@ -92,6 +118,12 @@ def _drawn(signs: Column, r: Column, keep: int = 0) -> Column:
     return F.array_join(F.transform(F.split(signs, ""), lambda c, i: F.when(i < keep, c).when(c.rlike("[0-9]"), F.pmod(pick(i) + F.ascii(c), F.lit(10)).cast("string")).when(c.rlike("[a-z]"), F.char(F.pmod(pick(i), F.lit(26)) + 97)).when(c.rlike("[A-Z]"), F.char(F.pmod(pick(i), F.lit(26)) + 65)).otherwise(c)), "")
 
 
+def _hex(signs: Column, r: Column) -> Column:
+    """Signs with each digit of a hexadecimal number replaced by a drawn one; a group does not get a leading zero."""
+    digits = F.array(*(F.lit(x) for x in "123456789abcdef"))
+    return F.array_join(F.transform(F.split(signs, ""), lambda c, i: F.when(c == ":", c).otherwise(F.get(digits, F.pmod(F.get(r, F.pmod(i, F.lit(64))), F.lit(15))))), "")
+
+
 def _check_sum(body: Column, doubled: int) -> Column:
     """The sum of a card's digits from the right, those at odd or even places doubled and reduced to one digit."""
     twice = lambda c: F.when(c > 4, c * 2 - 9).otherwise(c * 2)
@@ -140,7 +172,7 @@ def _surrogate(key: str, attempt: int) -> Column:
         further = F.concat(F.lit(""), *(F.char(F.pmod(F.get(r, F.lit(SPARE + i)), F.lit(26)) + 97) for i in range(more)))
         email = F.concat(_drawn(F.substring_index(entity, "@", 1), r), further, F.lit("@"), _drawn(F.regexp_replace(domain, r"\.[^.]+$", ""), rd), F.lit("."), F.substring_index(domain, ".", -1))
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.get(r, i), F.when(i == 0, 223).otherwise(254)) + 1).cast("string")), ".")
-        return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", _luhn(_drawn(entity, r, 1))).when(kind == "phone", _drawn(entity, r, 1)).when(kind == "iban", _iban(_drawn(entity, r, 2))).when(kind == "part", _stem(entity, r, more)).otherwise(_drawn(entity, r))
+        return F.when(kind == "email", email).when(kind == "ipv4", octets).when(kind == "card", _luhn(_drawn(entity, r, 1))).when(kind == "phone", _drawn(entity, r, 1)).when(kind == "iban", _iban(_drawn(entity, r, 2))).when(kind == "ipv6", _hex(entity, r)).when(kind == "part", _stem(entity, r, more)).otherwise(_drawn(entity, r))
 
     drawn = F.struct(_stream(key, kind, entity, F.lit(attempt)).alias("r"), _stream(key, F.lit("domain"), domain, F.lit(attempt)).alias("d"))
     return let(drawn, lambda s: made(s["r"], s["d"]))
@@ -179,7 +211,7 @@ def _written(kind: Column, mention: Column, surrogate: Column) -> Column:
     signs = F.split(mention, "")
     put = F.aggregate(signs, F.struct(F.lit("").alias("t"), F.lit(0).alias("k")), lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["t"], F.substr(surrogate, a["k"] + 1, F.lit(1))).alias("t"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["t"], c).alias("t"), a["k"].alias("k"))), lambda a: a["t"])
     cased = F.array_join(F.zip_with(F.split(surrogate, ""), signs, lambda s, c: F.when(c.rlike("[A-Z]"), F.upper(s)).otherwise(s)), "")
-    return F.when(kind == "ipv4", surrogate).when(kind == "email", cased).otherwise(put)
+    return F.when(kind == "ipv4", surrogate).when(kind == "ipv6", F.when(mention.rlike("[A-F]"), F.upper(surrogate)).otherwise(surrogate)).when(kind == "email", cased).otherwise(put)
 
 
 def _key(text: Column) -> Column:
@@ -192,29 +224,38 @@ def _named(text: Column) -> Column:
 
 
 def found_mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(th, i, mention, kind, entity) of each distinct text, in order. kind "bare" is a capitalised word of a text that
-    names a person by a title; kind null is what only looks like an entity."""
+    """(th, i, mention, kind, entity, begins, joined) of each distinct text, in order. kind "bare" is a capitalised word of a
+    text that names a person by a title; kind null is what only looks like an entity. begins: the mention begins a
+    sentence; joined: only a blank is between it and the mention before."""
     text = F.col(text_col)
-    hits = F.when(_named(text), F.regexp_extract_all(text, F.lit(f"{PATTERN}|{BARE}"), F.lit(0))).when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    some = docs.select(_key(text).alias("th"), hits.alias("m")).where(F.size("m") > 0).dropDuplicates(["th"])
-    each = some.select("th", F.posexplode("m").alias("i", "mention"))
+    both = f"{PATTERN}|{BARE}"
+    hits = F.when(_named(text), F.regexp_extract_all(text, F.lit(both), F.lit(0))).when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    gaps = F.when(_named(text), F.transform(F.split(text, both, -1), lambda g: F.struct(g.rlike(r"^\s*$|[.!?:;…\n\"“”«»(]\s*$").alias("begins"), (g == " ").alias("joined"))))
+    some = docs.select(_key(text).alias("th"), hits.alias("m"), gaps.alias("g")).where(F.size("m") > 0).dropDuplicates(["th"])
+    each = some.select("th", "g", F.posexplode("m").alias("i", "mention"))
+    gap = F.get("g", F.col("i"))
+    each = each.select("th", "i", "mention", F.coalesce(gap["begins"] & ((F.col("i") == 0) | ~gap["joined"]), F.lit(False)).alias("begins"), F.coalesce(gap["joined"], F.lit(False)).alias("joined"))
     kind = F.when(F.col("mention").rlike(f"^{NAME}$"), "bare").otherwise(F.coalesce(kind_of(F.col("mention")), F.lit("phone")))
-    each = each.withColumn("kind", kind).withColumn("entity", F.when(F.col("kind") == "bare", F.col("mention")).otherwise(canonical(F.col("kind"), F.col("mention"))))
+    each = each.withColumn("kind", kind).withColumn("entity", F.when(F.col("kind") == "bare", part_of(F.col("mention"))).otherwise(canonical(F.col("kind"), F.col("mention"))))
     return each.withColumn("kind", F.when(valid(F.col("kind"), F.col("entity")), F.col("kind")))
 
 
 def persons(each: DataFrame) -> DataFrame:
-    """(th, i, mention, entity, gender): titled and bare mentions of persons. The gender is the title's; without one, that
-    of the first titled mention of the text with the same name, else of the first with the same last part. A bare word
-    counts if a titled mention of its text has it as a part."""
-    titled = each.where("kind = 'person'").withColumn("gender", gender_of(F.col("mention"))).withColumn("parts", F.split("entity", " "))
+    """(th, i, mention, entity, gender): titled and bare mentions of persons, entity being the name without its title. The
+    gender is the title's; without one, that of the first titled mention of the text with the same name, else of the
+    first with the same last part. A bare word counts if a titled mention of its text has it as a part; an ordinary word
+    that begins a sentence only if such a part follows it at once."""
+    titled = each.where("kind = 'person'").withColumn("gender", gender_of(F.col("mention"))).withColumn("parts", F.transform(F.filter(parts_of(F.col("entity")), lambda p: p.rlike(r"^\p{Lu}['’]?\p{L}")), part_of)).withColumn("name", F.array_join("parts", " "))
     first = lambda d, k: d.groupBy("th", k).agg(F.min_by("gender", F.when(F.col("gender") != "", F.col("i"))).alias(f"by_{k}"))
     parts = first(titled.select("th", "i", "gender", F.explode("parts").alias("last")), "last")
-    names = first(titled.select("th", "i", "gender", F.col("entity").alias("name")), "name")
-    own = titled.withColumn("last", F.element_at("parts", -1)).withColumn("name", F.col("entity")).join(names, ["th", "name"]).join(parts, ["th", "last"])
+    names = first(titled.select("th", "i", "gender", "name"), "name")
+    own = titled.withColumn("last", F.element_at("parts", -1)).join(names, ["th", "name"]).join(parts, ["th", "last"])
     own = own.select("th", "i", "mention", "entity", F.when(F.col("gender") != "", F.col("gender")).otherwise(F.coalesce("by_name", "by_last", F.lit(""))).alias("gender"))
     bare = each.where("kind = 'bare'").withColumn("last", F.col("entity")).join(parts, ["th", "last"])
-    return own.unionByName(bare.select("th", "i", "mention", "entity", F.coalesce("by_last", F.lit("")).alias("gender")))
+    after = bare.select("th", (F.col("i") - 1).alias("i"), F.col("joined").alias("_next"))
+    doubtful = F.col("begins") & F.lower("entity").isin(ORDINARY) & ~F.coalesce("_next", F.lit(False))
+    bare = bare.join(after, ["th", "i"], "left").where(~doubtful)
+    return own.unionByName(bare.select("th", "i", "mention", F.col("mention").alias("entity"), F.coalesce("by_last", F.lit("")).alias("gender")))
 
 
 def anonymised(docs: DataFrame, key: str, text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
@@ -240,16 +281,23 @@ def _anonymised(docs: DataFrame, key: str, text_col: str, ledger: DataFrame | No
     kept = [c for c in docs.columns if c not in ("pii_mentions", "pii_kinds")]
     text = F.col(text_col)
     each = stored(found_mentions(docs, text_col), "mentions")
-    people = stored(persons(each).select("th", "i", "mention", "gender", F.posexplode(F.split("entity", " ")).alias("k", "entity")), "persons")
+    split = persons(each).select("th", "i", "mention", F.col("entity").alias("name"), "gender", F.posexplode(parts_of(F.col("entity"))).alias("k", "word"))
+    people = stored(split.withColumn("entity", F.when(F.col("word").rlike(rf"^(?:{INITIAL}|{PARTICLE})$"), F.lit(None).cast("string")).otherwise(part_of(F.col("word")))), "persons")
     things = stored(each.where("kind NOT IN ('person', 'bare')").select("mention", "kind", "entity").distinct(), "things")
-    named = surrogates(things.select("kind", "entity").union(people.select(F.lit("part"), "entity")).distinct(), key, ledger)
+    named = surrogates(things.select("kind", "entity").union(people.where("entity IS NOT NULL").select(F.lit("part"), "entity")).distinct(), key, ledger)
+    small = F.broadcast if named.count() <= BROADCAST_TEXTS else lambda d: d  # an entity may be in most documents
     written = things.join(named, ["kind", "entity"]).select("mention", "kind", _written(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("put"))
     stems = named.where("kind = 'part'").select("entity", "surrogate")
-    whole = people.join(stems, "entity").withColumn("part", F.concat("surrogate", ending(F.col("entity"), F.col("gender"))))
-    title = F.regexp_extract("mention", rf"^((?:{'|'.join(TITLES)})\.? )", 1)
+    made = F.concat("surrogate", ending(F.col("entity"), F.col("gender")))
+    shouted = (F.upper("word") == F.col("word")) & (F.length("word") > 1)
+    drawn = lambda c: F.substr(_stem(c, _stream(key, F.lit("initial"), c, F.lit(0))), F.lit(1), F.lit(1))
+    letter = F.array_join(F.transform(F.split("word", ""), lambda c: F.when(c == ".", c).otherwise(drawn(c))), "")
+    part = F.when(F.col("surrogate").isNotNull(), F.when(shouted, F.upper(made)).otherwise(made)).when(F.col("word").rlike(f"^{INITIAL}$"), letter).otherwise(F.col("word"))
+    whole = people.join(small(stems), "entity", "left").withColumn("part", part)
+    title = F.regexp_extract("mention", rf"^((?:{TITLE})\.? )", 1)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]), " ")
-    told = whole.groupBy("th", "i", "mention").agg(joined.alias("name")).select("th", "i", F.lit("person").alias("kind"), F.concat(title, "name").alias("put"))
-    puts = each.where("kind NOT IN ('person', 'bare')").select("th", "i", "mention", "kind").join(written, ["mention", "kind"]).select("th", "i", "kind", "put").unionByName(told)
+    told = whole.groupBy("th", "i", "mention", "name").agg(joined.alias("made")).select("th", "i", F.lit("person").alias("kind"), F.concat(F.when(F.col("name") == F.col("mention"), "").otherwise(title), "made").alias("put"))
+    puts = each.where("kind NOT IN ('person', 'bare')").select("th", "i", "mention", "kind").join(small(written), ["mention", "kind"]).select("th", "i", "kind", "put").unionByName(told)
     put = F.struct("i", F.coalesce("put", F.col("mention")).alias("put"))  # what only looks like an entity stays
     lists = each.select("th", "i", "mention").join(puts, ["th", "i"], "left").groupBy("th").agg(F.transform(F.sort_array(F.collect_list(put)), lambda x: x["put"]).alias("_put"), F.sort_array(F.collect_set("kind")).alias("_kinds"), F.count("kind").alias("_n"))
     lists = stored(lists.where("_n > 0"), "lists")
