@@ -35,12 +35,25 @@ PLACEHOLDER = r"(?i)(example|sample|changeme|your[_-]|xxxx|0000|1234|dummy|place
 SAFE_PATH, RISKY_PATH = r"(?i)(test|example|sample|fixture|docs?/|mock)", r"(?i)(config|\.env|secret|credential|deploy|settings|\.pem|\.key)"
 #: A candidate is a run of 16 or more of these signs with a digit, or of 20 or more, a known format anywhere in a word,
 #: or what a key name is set to: up to the closing quote or, without one, to a blank, quote, comma, semicolon or the
-#: next parameter of a query. A word may hold many.
+#: next parameter of a query; or, where a key name is among the last 200 signs before a word and set, that word. A word
+#: may hold many. The password in a URL's user information or after the user of a
+#: command's user option, and what follows Authorization and its scheme, count as set by a key name.
 SIGN = r"A-Za-z0-9+/_=.\-"
 LONG = rf"[{SIGN}]{{16,}}"
 ANYWHERE = r"(?<![A-Z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Z0-9])|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+"
 QUOTED = r"(?<=\")(?:(?!\\?\")\S){8,}|(?<=')(?:(?!\\?')\S){8,}"
-ASSIGNED = KEY_NAME + r"(?:\\?[\"'])?\s*[=:]\s*(?:\\?[\"'])?(" + QUOTED + r"|(?<![\"'])(?:(?!\\?[\"']|&(?:amp;)?[\w.-]+=)[^\s,;]){8,})"
+#: What stands in user information before its colon, and user information whose password (up to the last @ of the host
+#: part) is a candidate.
+USER_OF_URL = r"://[^\s/:@?&#=\"'<>]{0,200}"
+URL_USER = USER_OF_URL + r":([^\s/\"'<>]{8,})@"
+#: A user option, alone or with its value, the user and password after it, and a header's name and scheme.
+USER_OPTION = r"^\W*(?:-u|-U|--user|--proxy-user)$"
+USER_GLUED = r"^\W*(?:-u|-U|--user=|--proxy-user=)[\"']?[^\s:\"'/=]+:(?!//)([^\s\"']{8,})"
+USER_VALUE = r"^[\"']?[^\s:\"'/=]+:(?!//)([^\s\"']{8,})"
+SCHEME = r"(?i)(bearer|basic|digest|token|apikey)$"
+AUTH_SCHEME = r"(?i)authorization\W{0,8}[=:]\W{0,8}(bearer|basic|digest|token|apikey)$"
+ASSIGNED = KEY_NAME + rf"(?!(?<={USER_OF_URL}):)" + r"(?:\\?[\"'])?[=:](?:\\?[\"'])?(" + QUOTED + r"|(?<![\"'])(?:(?!\\?[\"']|&(?:amp;)?[\w.-]+=)[^\s,;]){8,})"
+BLANK = r"\x20\x09-\x0D"
 EDGES = "\"'`,;:()[]{}<>."
 FEATURES = ("length", "transitions", "distinct", "digits", "upper", "hex", "coverage", "named", "assigned", "hash_near", "placeholder", "safe_path", "risky_path", "slashes")
 
@@ -48,7 +61,7 @@ FEATURES = ("length", "transitions", "distinct", "digits", "upper", "hex", "cove
 def promising(docs: DataFrame) -> DataFrame:
     """The rows of docs that can hold a candidate."""
     t = F.col("text")
-    return docs.where(t.rlike(LONG) | t.rlike(KEY_NAME + r"\W{0,3}\s{0,3}[=:]") | t.contains("-----BEGIN "))
+    return docs.where(t.rlike(LONG) | t.rlike(KEY_NAME + rf"[^{BLANK}]{{0,200}}(?:[{BLANK}]++[^{BLANK}]{{0,200}})?[=:]") | t.rlike(URL_USER) | t.rlike(rf"(?:^|[{BLANK}])\W{{0,3}}-(?:[uU]|-user|-proxy-user)|(?i:authorization\W{{0,8}}[=:])") | t.contains("-----BEGIN "))
 
 
 def _units(text: Column) -> Column:
@@ -61,25 +74,32 @@ def _units(text: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """(row_key, path, value, before, name, set): one row per candidate. docs: row_key, path, text."""
     w = promising(docs).select("row_key", "path", _units(F.col("text")).alias("w"))
-    some = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= 8) & (F.get("w", i).rlike(LONG) | F.get("w", i).rlike(KEY_NAME) | F.get("w", i - 1).rlike(r"[=:]$")))
+    some = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= 8) & let(F.get("w", i), lambda x: x.rlike(LONG) | x.rlike(KEY_NAME) | x.rlike(URL_USER) | x.rlike(USER_GLUED) | x.startswith("-----BEGIN ") | let(F.get("w", i - 1), lambda b: b.rlike(r"[=:]\W{0,8}$") | (b.rlike(USER_OPTION) & x.contains(":")) | (b.rlike(SCHEME) & F.concat_ws(" ", F.get("w", i - 2), b).rlike(AUTH_SCHEME)))))
     at = w.where(F.size("w") > 0).select("row_key", "path", "w", F.explode(some).alias("i"))
     word = F.get("w", F.col("i"))
     near = at.select("row_key", "path", word.alias("word"), F.coalesce(F.get("w", F.col("i") - 1), F.lit("")).alias("b1"), F.coalesce(F.get("w", F.col("i") - 2), F.lit("")).alias("b2"))
-    before = F.when(F.col("b1").rlike(r"^\W*[=:]\W*$"), F.concat_ws(" ", "b2", "b1")).otherwise(F.col("b1"))
-    near = near.select("row_key", "path", "word", F.btrim("word", F.lit(EDGES)).alias("bare"), before.alias("before"), F.regexp_extract(before, KEY_NAME, 0).alias("near_name"), before.rlike(r"[=:]\W*$").alias("near_set"))
+    by_scheme = F.concat_ws(" ", "b2", "b1").rlike(AUTH_SCHEME)
+    before = F.when(F.col("b1").rlike(r"^\W*[=:]\W*$") | by_scheme, F.concat_ws(" ", "b2", "b1")).otherwise(F.col("b1"))
+    near = near.select("row_key", "path", "word", F.btrim("word", F.lit(EDGES)).alias("bare"), before.alias("before"), F.regexp_extract(F.right(before, F.lit(200)), KEY_NAME, 0).alias("near_name"), (before.rlike(r"[=:]\W{0,8}$") | by_scheme).alias("near_set"))
+    # passwords of users: in URLs, and after a user option that is the word before or the word's own start
+    option = F.rtrim(F.when(F.col("before").rlike(USER_OPTION), F.regexp_extract("word", USER_VALUE, 1)).otherwise(F.regexp_extract("word", USER_GLUED, 1)), F.lit("`,;"))
+    near = near.withColumns({"in_urls": F.regexp_extract_all("word", F.lit(URL_USER), F.lit(1)), "option": option})
+    users = F.concat("in_urls", F.filter(F.array("option"), lambda v: v != ""))
     # the word as a whole where the word before sets a key name: what its first quotes hold, else all of it
     quoted = F.regexp_extract("word", rf"^[(\[{{]*\\?[\"']({QUOTED})", 1)
     set_before = (F.col("near_name") != "") & F.col("near_set")
     near = near.withColumns({"quoted": F.when(set_before, quoted).otherwise(""), "whole": F.when(set_before & (quoted == ""), F.col("bare")).otherwise(""), "names": F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1)), "values": F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(3))})
     plain = F.col("whole").rlike(r"^[^\"',;{}]+$")  # nothing but the one value
     left = F.when(F.col("quoted") != "", F.replace("word", F.col("quoted"), F.lit(" "))).otherwise(F.col("bare"))
+    left = F.regexp_replace(left, rf"({USER_OF_URL}:)[^\s/\"'<>]{{8,}}@", "$1 @")
+    left = F.when(F.col("option") != "", F.replace(left, F.col("option"), F.lit(" "))).otherwise(left)
     near = near.withColumns({"rest": F.when(plain, "").otherwise(F.regexp_replace(left, ASSIGNED, " ")), "inside": F.concat("values", F.array(F.col("quoted"), F.when(plain, F.col("whole")).otherwise("")))})
     known = lambda text: F.regexp_extract_all(text, F.lit(ANYWHERE), F.lit(0))
     nested = F.flatten(F.transform("inside", lambda v: F.filter(known(v), lambda k: k != v)))
     runs = F.transform(F.regexp_extract_all(F.regexp_replace("rest", ANYWHERE, " "), F.lit(LONG), F.lit(0)), lambda v: F.btrim(v, F.lit(".")))
     item = lambda value, name, set_: F.struct(value.alias("value"), name.alias("name"), set_.alias("set"))
     by_near = lambda v: item(v, F.col("near_name"), F.col("near_set"))
-    each = F.concat(F.zip_with("values", "names", lambda v, k: item(v, k, F.lit(True))), F.transform(F.concat(F.filter(F.array("quoted", "whole"), lambda v: v != ""), known(F.col("rest")), nested, runs), by_near))
+    each = F.concat(F.transform(users, lambda v: item(v, F.lit("password"), F.lit(True))), F.zip_with("values", "names", lambda v, k: item(v, k, F.lit(True))), F.transform(F.concat(F.filter(F.array("quoted", "whole"), lambda v: v != ""), known(F.col("rest")), nested, runs), by_near))
     each = F.when(F.col("word").rlike(r"^-----BEGIN [\s\S]*-----$"), F.array(item(F.col("word"), F.lit("private key"), F.lit(True)))).otherwise(each)
     found = near.select("row_key", "path", "before", F.explode(each).alias("c")).select("row_key", "path", "c.value", "before", "c.name", "c.set")
     return found.where((F.length("value") >= 20) | ((F.length("value") >= 16) & F.col("value").rlike(r"\d")) | F.col("value").rlike(KNOWN) | ((F.col("name") != "") & F.col("set") & (F.length("value") >= 8)))
@@ -159,7 +179,7 @@ def synthetic(spark: SparkSession, n: int = SYNTHETIC_ROWS) -> DataFrame:
     hashed = (one_of("hash", ("commit", "sha256:", "md5", "checksum", "digest", "revision")), F.lit(""), False)
     rows = [
         (F.concat(F.lit("AKIA"), upper(16)), bare, 1), (F.concat(F.lit("ASIA"), upper(16)), set_, 1), (F.concat(F.lit("ghp_"), F.substr(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), F.lit(36))), bare, 1), (upto(long, 18, 64), set_, 1), (upto(long, 18, 40), set_, 1), (F.upper(upto(long, 18, 48)), set_, 1), (upto(b64, 20, 64), set_, 1),
-        (upto(b64, 24, 48), said, 1), (F.concat(title("e", 2), digits(2), F.lit("!"), word("f", 2), digits(3)), set_, 1), (F.concat(word("e", 3), digits(4)), set_, 1), (F.concat(title("e", 1), F.lit("$"), upto(b64, 8, 14)), set_, 1), (upto(long, 32, 64), said, 1),
+        (upto(b64, 24, 48), said, 1), (F.concat(title("e", 2), digits(2), F.lit("!"), word("f", 2), digits(3)), set_, 1), (F.concat(word("e", 3), digits(4)), set_, 1), (F.concat(title("e", 1), F.lit("$"), upto(b64, 8, 14)), set_, 1), (F.concat(word("e", 2), digits(1), word("f", 2)), set_, 1), (upto(long, 32, 64), said, 1),
         (word("e", 9), bare, 0), (word("e", 5), set_, 0), (title("e", 8), said, 0), (upto(long, 32, 64), hashed, 0), (F.substr(long, F.lit(1), F.lit(40)), hashed, 0), (uuid, bare, 0), (uuid, hashed, 0), (F.concat(F.lit("your-"), word("e", 4)), set_, 0), (F.concat(F.lit("EXAMPLE"), upto(long, 8, 24)), set_, 0), (F.concat(F.lit("changeme"), digits(4)), set_, 0),
         (F.concat_ws("/", word("e", 3), word("f", 4), word("g", 2)), bare, 0), (F.concat(F.lit("/"), word("e", 3), F.lit("/"), word("f", 5)), set_, 0), (F.concat_ws("_", word("e", 3), word("f", 3), word("g", 2)), bare, 0), (F.concat(word("e", 3), title("f", 4), title("g", 3)), bare, 0), (F.concat_ws(".", word("e", 2), word("f", 4), word("g", 4)), bare, 0), (F.concat_ws("-", word("e", 3), word("f", 3), word("g", 4)), said, 0),
         (digits(20), bare, 0), (F.concat(F.lit("2024-0"), digits(1), F.lit("-1"), digits(1), F.lit("T10."), digits(9)), bare, 0), (F.repeat(one_of("sign", ("=", "-", "_", ".", "a", "0")), 16 + number("length", 40)), bare, 0), (F.concat(word("e", 4), F.lit("."), word("f", 2), F.lit("."), digits(2)), bare, 0),
