@@ -94,9 +94,12 @@ def flag(cc: Column, parts: dict[str, str] | None = None) -> Column:
 
 
 def thumbnail(key: Column, base: str, width: int = 120) -> Column:
-    """The address of an image's thumbnail from its image key: vector images as .png, scans and documents as .jpg."""
+    """The address of an image's thumbnail from its image key: vector images as .png, scans and documents as .jpg. Names
+    are coded as browsers code a part of a path, which leaves ! ' ( ) ~ as they are."""
     prefix, name = F.substr(key, F.lit(1), F.lit(2)), F.substring(key, 3, 1 << 20)
-    coded = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    coded = F.url_encode(name)
+    for code, sign in {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}.items():
+        coded = F.replace(coded, F.lit(code), F.lit(sign))
     low = F.lower(name)
     page, tail = F.when(low.rlike("[.](tiff?|pdf)$"), F.when(low.rlike("[.]pdf$"), "page1-").otherwise("lossy-page1-")).otherwise(""), F.when(low.rlike("[.]svg$"), ".png").when(low.rlike("[.](tiff?|pdf)$"), ".jpg").otherwise("")
     return F.when(F.length(key) > 2, F.concat(F.lit(base), F.lit("/"), F.substr(prefix, F.lit(1), F.lit(1)), F.lit("/"), prefix, F.lit("/"), coded, F.lit("/"), page, F.lit(f"{width}px-"), coded, tail))

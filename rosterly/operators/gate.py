@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterly.sources import stages
+
 
 def metrics(team: DataFrame, member: DataFrame, posting: DataFrame) -> DataFrame:
     """One row: counts, shares of known attributes, coverage of tallies, the longest roster."""
@@ -97,6 +99,20 @@ def regressions(now: DataFrame, baseline: DataFrame, count_share: float = 0.97,
     return reduce(DataFrame.unionByName, [j.where(w).select(F.lit(k).alias("check"), d.cast("string").alias("detail")) for k, w, d in bad])
 
 
+def against_stored(now: DataFrame, folder: str, stage: str = "metrics") -> DataFrame:
+    """(check, detail) where one-row metrics fell against the baseline that the last accepted build left in a shared
+    folder. A build without a regression, the first one too, becomes the next baseline; a regressed one leaves the
+    baseline as it is."""
+    spark = now.sparkSession
+    fixed = stages.stored(now)
+    baseline = stages.load(spark, folder, stage) if stages.versions(spark, folder, stage) else fixed
+    found = stages.stored(regressions(fixed, baseline))
+    if found.isEmpty():
+        stages.save(fixed, folder, stage)
+    stages.dropped(fixed)
+    return found
+
+
 def report(found: DataFrame, shown: int = 20) -> DataFrame:
     """The first failures of a gate, by check and detail, with the number of all."""
     total = found.agg(F.count("*").alias("failures"))

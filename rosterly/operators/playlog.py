@@ -69,12 +69,23 @@ def live_only(events: DataFrame) -> DataFrame:
     return events.where((F.col("mode") == "live") & (F.to_date("ts") == F.col("date")))
 
 
+def _islands(day: DataFrame) -> DataFrame:
+    """The days won of (user_id, date, won), one row a day, with a number that neighbouring days share."""
+    return day.where("won").withColumn("island", F.datediff("date", F.lit("2000-01-01").cast("date")) - F.row_number().over(Window.partitionBy("user_id").orderBy("date")))
+
+
+def streak_days(days: DataFrame) -> DataFrame:
+    """(user_id, date, streak) of each day played: the days won in a row up to and with it, 0 for a day lost."""
+    day = days.groupBy("user_id", "date").agg(F.bool_or("won").alias("won"))
+    won = _islands(day).select("user_id", "date", F.row_number().over(Window.partitionBy("user_id", "island").orderBy("date")).cast("bigint").alias("streak"))
+    return won.unionByName(day.where("NOT coalesce(won, false)").select("user_id", "date", F.lit(0).cast("bigint").alias("streak")))
+
+
 def streaks(days: DataFrame) -> DataFrame:
     """Per user of (user_id, date, won): played, wins, best streak of days won in a row, and the current one, which ends
     with the last day played. A day lost and a day left out both break it."""
     day = days.groupBy("user_id", "date").agg(F.bool_or("won").alias("won"))
-    won = day.where("won").withColumn("island", F.datediff("date", F.lit("2000-01-01").cast("date")) - F.row_number().over(Window.partitionBy("user_id").orderBy("date")))
-    runs = won.groupBy("user_id", "island").agg(F.count("*").alias("len"), F.max("date").alias("last_day"))
+    runs = _islands(day).groupBy("user_id", "island").agg(F.count("*").alias("len"), F.max("date").alias("last_day"))
     best = runs.groupBy("user_id").agg(F.max("len").alias("best"), F.max_by("len", "last_day").alias("last_len"), F.max("last_day").alias("last_win"))
     played = day.groupBy("user_id").agg(F.count("*").alias("played"), F.count_if("won").alias("wins"), F.max("date").alias("last_played"))
     return played.join(best, "user_id", "left").select("user_id", "played", "wins", F.coalesce("best", F.lit(0)).alias("best"), F.when(F.col("last_win") == F.col("last_played"), F.col("last_len")).otherwise(0).alias("current"))
@@ -118,9 +129,10 @@ def backfilled(archive: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def share_text(number: Column, codes: Column, won: Column, wrong: Column, hints: Column, streak: Column) -> Column:
-    """The line to share: puzzle number, symbols, misses and hints where there were any, and a streak of two or more."""
+    """The line to share: puzzle number, symbols, misses and hints where there were any, and of a run
+    that is won the streak that it belongs to."""
     some = lambda n, word: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}")))
-    return F.concat_ws(" · ", F.concat(F.lit("#"), number.cast("string"), F.lit(" "), share_line(codes)), F.when(won, "won").otherwise("lost"), some(wrong, "missed"), some(hints, "hints"), F.when(streak > 1, F.concat(F.lit("streak "), streak.cast("string"))))
+    return F.concat_ws(" · ", F.concat(F.lit("#"), number.cast("string"), F.lit(" "), share_line(codes)), F.when(won, "won").otherwise("lost"), some(wrong, "missed"), some(hints, "hints"), F.when(won & (streak > 0), F.concat(F.lit("streak "), streak.cast("string"))))
 
 
 def resolved_days(stored: DataFrame, team: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rosterly.functions.names import image_key
+from rosterly.functions.names import image_key, thumbnail
 from rosterly.operators import blocks, clean, entity, gate, hints, overlay, pairs, playlog, postings, schedule, search, solve
 from rosterly.plans import puzzles, solving
 from rosterly.sources import adapter as A
@@ -239,6 +239,29 @@ def _(spark, d):
     return gate.regressions(gate.metrics(team.where("dissolved IS NULL"), member, bare), gate.metrics(team, member, A.posting(spark, d)))
 
 
+SQL["regressions_of_builds"] = f"""WITH f AS ({SQL['regressions']}) SELECT CAST(build AS INT) AS build, "check", detail FROM f, (VALUES (2), (3)) b(build)"""
+
+
+@query("regressions_of_builds")
+def _(spark, d):
+    """Four builds against the stored baseline: whole, reduced, reduced again, whole."""
+    team, member = A.team(spark, d), A.member(spark, d)
+    bare = A.spells(spark, d, True).groupBy("team_id", "member_id").agg(F.sum("apps").alias("apps"), F.sum("goals").alias("goals"))
+    whole, reduced = gate.metrics(team, member, A.posting(spark, d)), gate.metrics(team.where("dissolved IS NULL"), member, bare)
+    folder = stages.new_path(spark, "builds")
+    found = [gate.against_stored(m, folder).withColumn("build", F.lit(k)) for k, m in enumerate((whole, reduced, reduced, whole), 1)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).select("build", "check", "detail")
+
+
+@query("thumbnails_of_kinds", """k AS (SELECT member_id, 'photo_' || member_id || '_(a' AS f, ['.svg', '.TIFF', '.tif', '.pdf', '.PNG'][member_id % 5 + 1] AS ext FROM member WHERE img IS NOT NULL), h AS (SELECT *, md5(f || '&b)' || ext)[1:2] AS p, f || '%26b)' || ext AS c FROM k)
+SELECT member_id, 'base/' || p[1:1] || '/' || p || '/' || c || '/' || CASE member_id % 5 WHEN 0 THEN '120px-' || c || '.png' WHEN 3 THEN 'page1-120px-' || c || '.jpg' WHEN 4 THEN '120px-' || c ELSE 'lossy-page1-120px-' || c || '.jpg' END AS link FROM h""")
+def _(spark, d):
+    """Images of all kinds that get another extension, with signs in their names that are coded and that are not."""
+    kind = F.element_at(F.array(*map(F.lit, (".svg", ".TIFF", ".tif", ".pdf", ".PNG"))), (F.col("member_id") % 5 + 1).cast("int"))
+    img = F.concat(F.regexp_replace(F.replace("img", F.lit(" "), F.lit("%20")), "[.]jpg$", "%20(a%26b)"), kind)
+    return A.member(spark, d).where("img IS NOT NULL").select("member_id", thumbnail(image_key(img), "base").alias("link"))
+
+
 @query("image_key_violations", """SELECT 'image key' AS "check", CAST(member_id AS VARCHAR) AS detail FROM member WHERE img IS NOT NULL AND birth IS NULL""")
 def _(spark, d):
     key = F.when(F.col("birth").isNull(), F.col("img")).otherwise(image_key(F.replace("img", F.lit(" "), F.lit("%20"))))
@@ -537,15 +560,28 @@ def _(spark, d):
     return playlog.board_source(days, saved("right"), saved("hint"), days)
 
 
+DAY_STREAKS = """dy AS (SELECT user_id, date, bool_or(kind = 'right') AS won FROM {} GROUP BY 1, 2), wi AS (SELECT user_id, date, date_diff('day', DATE '2000-01-01', date) - row_number() OVER (PARTITION BY user_id ORDER BY date) AS g FROM dy WHERE won),
+ws AS (SELECT user_id, date, row_number() OVER (PARTITION BY user_id, g ORDER BY date) AS streak FROM wi), sd AS (SELECT user_id, date, coalesce(streak, 0) AS streak FROM dy LEFT JOIN ws USING (user_id, date))"""
+
+
+@query("day_streaks", puzzles.EVENTS + ", " + DAY_STREAKS.format("ev") + " SELECT user_id, date, streak FROM sd")
+def _(spark, d):
+    return playlog.streak_days(puzzles._events(spark, d).select("user_id", "date", (F.col("kind") == "right").alias("won")))
+
+
 @query("share_texts")
 def _(spark, d):
-    runs = playlog.outcome_codes(puzzles._run_lists(spark, d))
+    """Lines of runs, a run's streak being that of its last day."""
+    events = puzzles._events(spark, d)
+    last = events.groupBy("run_id").agg(F.first("user_id").alias("user_id"), F.max("date").alias("date"))
+    streak = last.join(playlog.streak_days(events.select("user_id", "date", (F.col("kind") == "right").alias("won"))), ["user_id", "date"]).select("run_id", "streak")
+    runs = playlog.outcome_codes(puzzles._run_lists(spark, d)).join(streak, "run_id")
     number = F.substring_index("run_id", "-", -1).cast("int") + 1
-    return runs.select("run_id", playlog.share_text(number, F.col("codes"), F.col("won"), F.col("wrong"), F.size("hinted_stages"), F.lit(1)).alias("line"))
+    return runs.select("run_id", playlog.share_text(number, F.col("codes"), F.col("won"), F.col("wrong"), F.size("hinted_stages"), F.col("streak")).alias("line"))
 
 
-SQL["share_texts"] = f"""WITH {puzzles.EV2}, {puzzles.RUN_LISTS}, c AS (SELECT run_id, won, wrong, coalesce(len(any_value(h)), 0) AS hints, string_agg(CASE WHEN sk THEN '🟥' WHEN won OR stage_at < stage THEN CASE WHEN hi THEN '🟨' ELSE '🟩' END WHEN stage_at = stage THEN '🟥' ELSE '⬜' END, '' ORDER BY stage_at) AS line FROM bd LEFT JOIN hs USING (run_id) GROUP BY 1, 2, 3)
-SELECT run_id, '#' || (CAST(split_part(run_id, '-', 2) AS INT) + 1) || ' ' || line || CASE WHEN won THEN ' · won' ELSE ' · lost' END || CASE WHEN wrong > 0 THEN ' · ' || wrong || ' missed' ELSE '' END || CASE WHEN hints > 0 THEN ' · ' || hints || ' hints' ELSE '' END AS line FROM c"""
+SQL["share_texts"] = f"""WITH {puzzles.EV2}, {DAY_STREAKS.format('ev2')}, rs AS (SELECT run_id, streak FROM (SELECT run_id, any_value(user_id) AS user_id, max(date) AS date FROM ev2 GROUP BY 1) JOIN sd USING (user_id, date)), {puzzles.RUN_LISTS}, c AS (SELECT run_id, won, wrong, coalesce(len(any_value(h)), 0) AS hints, string_agg(CASE WHEN sk THEN '🟥' WHEN won OR stage_at < stage THEN CASE WHEN hi THEN '🟨' ELSE '🟩' END WHEN stage_at = stage THEN '🟥' ELSE '⬜' END, '' ORDER BY stage_at) AS line FROM bd LEFT JOIN hs USING (run_id) GROUP BY 1, 2, 3)
+SELECT run_id, '#' || (CAST(split_part(run_id, '-', 2) AS INT) + 1) || ' ' || line || CASE WHEN won THEN ' · won' ELSE ' · lost' END || CASE WHEN wrong > 0 THEN ' · ' || wrong || ' missed' ELSE '' END || CASE WHEN hints > 0 THEN ' · ' || hints || ' hints' ELSE '' END || CASE WHEN won AND streak > 0 THEN ' · streak ' || streak ELSE '' END AS line FROM c JOIN rs USING (run_id)"""
 
 
 @query("solving_guesses", puzzles.EVENTS + """, g AS (SELECT run_id, stage, member_id, seq, kind, row_number() OVER (PARTITION BY run_id, stage, member_id ORDER BY seq) AS r FROM ev WHERE kind IN ('right', 'wrong')) SELECT run_id, stage, arg_min(member_id, seq) AS member_id FROM g WHERE kind = 'right' AND r = 1 GROUP BY 1, 2""")
