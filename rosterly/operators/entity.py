@@ -31,10 +31,12 @@ def canonical(rows: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def display_names(team: DataFrame, outside: DataFrame, merges: DataFrame) -> DataFrame:
-    """(team_id, name): own names and those of outside teams; merged ids show the canonical name; unknown is ""."""
-    names = team.select("team_id", "name").unionByName(outside.select("team_id", "name").join(team, "team_id", "left_anti"))
-    shown = names.withColumnsRenamed({"team_id": "canonical", "name": "shown"})
-    return names.join(merges, "team_id", "left").join(shown, "canonical", "left").select("team_id", F.coalesce("shown", "name", F.lit("")).alias("name"))
+    """(team_id, name) of every id that is a team, an outside team or merged: a merged one shows the canonical team's own
+    name, others their outside label, else their own name; unknown is "". Of several labels of an id the greatest counts."""
+    own = team.select("team_id", F.col("name").alias("own"))
+    label = outside.groupBy("team_id").agg(F.max("name").alias("label"))
+    shown = merges.join(team.select(F.col("team_id").alias("canonical"), F.col("name").alias("shown")), "canonical", "left").select("team_id", "shown")
+    return own.join(label, "team_id", "full").join(shown, "team_id", "full").select("team_id", F.coalesce("shown", "label", "own", F.lit("")).alias("name"))
 
 
 def lineage(team: DataFrame, merges: DataFrame, leagues: DataFrame) -> DataFrame:

@@ -313,9 +313,9 @@ def _(spark, d):
     return overlay.resolve_titles(asked, norm, old, t.select("title", F.col("team_id").alias("qid")))
 
 
-def _overlay(spark, d, spells):
+def _overlay(spark, d, spells, pages=_pages):
     t, norm, old = _titles(spark, d)
-    sp = stored(overlay.infobox_spells(_pages(spark, d, spells)))
+    sp = stored(overlay.infobox_spells(pages(spark, d, spells)))
     ids = overlay.resolve_titles(sp.select("title"), norm, old, t.select("title", F.col("team_id").alias("qid"))).where("qid IS NOT NULL")
     over = sp.join(ids, "title").select(F.col("page").alias("member_id"), F.col("seq").cast("bigint").alias("seq"), F.col("qid").alias("team_id"), "start_year", "end_year", "apps", "goals", "loan")
     return stored(over)
@@ -335,13 +335,31 @@ CAREERS = GUARD + """, w AS (SELECT ov.* FROM ov JOIN acc USING (member_id) WHER
 UNION ALL SELECT member_id, seq, team_id, start_year, end_year, apps, goals, loan FROM spells ANTI JOIN w USING (member_id))"""
 
 
-def _careers(spark, d):
+def _careers(spark, d, pages=_pages):
     base = stored(A.spells(spark, d))
-    over = _overlay(spark, d, base)
+    over = _overlay(spark, d, base, pages)
     ok = stored(overlay.accepted(base, over).where("ok").select("member_id"))
     return overlay.replaced(base, over.join(ok, "member_id", "left_semi")).select("member_id", "seq", "team_id", "start_year", "end_year", "apps", "goals", "loan")
 
 
+def _titled_pages(spark, d, spells=None):
+    """Page texts by title, matched with the members that name the title. Every tenth member names the page of the member
+    before: that page goes to the greater id, and the own page of such a member to nobody."""
+    title = lambda c: F.concat(F.lit("Page "), c.cast("string"))
+    texts = _pages(spark, d, spells).select(title(F.col("page")).alias("title"), "content")
+    named = A.member(spark, d).select("member_id", title(F.when(F.col("member_id") % 10 == 3, F.col("member_id") - 1).otherwise(F.col("member_id"))).alias("title"))
+    return S.pages_of(named, texts).withColumnRenamed("member_id", "page")
+
+
+BY_TITLE = CAREERS.replace("ov AS (SELECT member_id", "ov0 AS (SELECT member_id", 1).replace(", o AS (", """, pt AS (SELECT CASE WHEN member_id % 10 = 3 THEN member_id - 1 ELSE member_id END AS page, max(member_id) AS member_id FROM member GROUP BY 1),
+ov AS (SELECT pt.member_id, ov0.* EXCLUDE (member_id) FROM ov0 JOIN pt ON pt.page = ov0.member_id), o AS (""", 1)
+
+
+@query("careers_of_titled_pages", BY_TITLE + " SELECT * FROM careers")
+def _(spark, d):
+    return _careers(spark, d, _titled_pages)
+
+
 @query("overlaid_careers", CAREERS + " SELECT * FROM careers")
 def _(spark, d):
     return _careers(spark, d)

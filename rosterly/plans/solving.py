@@ -264,6 +264,16 @@ def _(spark, d):
     return entity.display_names(team, team.select("team_id", "name").where("false"), entity.merge_map(team, A.posting(spark, d)))
 
 
+@query("shown_names_outside", MERGES + """, outs AS (SELECT team_id, 'Label ' || team_id AS name FROM team WHERE team_id % 4 = 3 UNION ALL SELECT team_id + 1000000, name FROM team WHERE team_id % 5 = 0)
+SELECT team_id, coalesce(c.name, o.name, t.name, '') AS name FROM team t FULL JOIN outs o USING (team_id) LEFT JOIN merges m USING (team_id) LEFT JOIN team c ON c.team_id = m.canonical""")
+def _(spark, d):
+    """Some teams have a label from outside too, and some outside teams are no teams here."""
+    team = A.team(spark, d)
+    labels = team.where("team_id % 4 = 3").select("team_id", F.concat(F.lit("Label "), F.col("team_id").cast("string")).alias("name"))
+    others = team.where("team_id % 5 = 0").select((F.col("team_id") + 1000000).alias("team_id"), "name")
+    return entity.display_names(team, labels.unionByName(others), entity.merge_map(team, A.posting(spark, d)))
+
+
 def _search_team(spark, d):
     n = A.posting(spark, d).groupBy("team_id").agg(F.count("*").alias("n"))
     return search.with_keys(A.team(spark, d)).join(n, "team_id").withColumn("league_mask", F.coalesce(F.call_function("shiftleft", F.lit(1), F.col("cur_league")), F.lit(0)))

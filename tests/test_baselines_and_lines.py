@@ -7,7 +7,7 @@ from urllib.parse import quote
 from pyspark.sql import functions as F
 
 from rosterly.functions.names import image_key, thumbnail
-from rosterly.operators import gate, playlog
+from rosterly.operators import entity, gate, playlog
 from rosterly.sources import stages
 
 
@@ -56,3 +56,11 @@ def test_addresses_of_images_are_coded_as_in_browsers(spark):
         sized = sized + ".png" if low.endswith(".svg") else f"page1-{sized}.jpg" if low.endswith(".pdf") else f"lossy-page1-{sized}.jpg" if low.endswith((".tif", ".tiff")) else sized
         coded = lambda t: quote(t, safe="!'()*~")
         assert r.key[2:] == f and r.link == f"b/{r.key[0]}/{r.key[:2]}/{coded(f)}/{coded(sized)}"
+
+
+def test_names_shown_take_canonical_then_outside_then_own(spark):
+    team = spark.createDataFrame([(1, "One"), (2, "Two"), (3, None), (4, "Four"), (5, None)], "team_id long, name string")
+    outside = spark.createDataFrame([(2, "Two abroad"), (4, "Four abroad"), (9, "Nine"), (9, "Nina"), (7, "Seven")], "team_id long, name string")
+    merges = spark.createDataFrame([(4, 1), (7, 2), (8, 1), (5, 3)], "team_id long, canonical long")
+    got = {r.team_id: r.name for r in entity.display_names(team, outside, merges).collect()}
+    assert got == {1: "One", 2: "Two abroad", 3: "", 4: "One", 5: "", 7: "Two", 8: "One", 9: "Nine"}
