@@ -8,11 +8,14 @@ coordinates give candidate buckets; every link is confirmed on full sets.
 Shape of the job, for groups of any size without all pairs:
 1. One pass makes set size, set hash and bands. Documents with equal sets form a class; its least id stands for it.
    Sets of one or two shingles are similar enough to equal sets alone, so they have no bands.
-2. In each bucket every class is compared with the bucket's least id (a star), and links give components.
+2. In each bucket every class is compared with the bucket's least id (a star), and links give components. The pairs of
+   a large bucket are dealt to parts of about STAR_PAIRS, each with its own copy of the least id's set.
 3. Only buckets that still hold several components are looked at again. Members of a bucket's largest component need
    no comparing with one another, so only the strays, the members of its other components, are dealt to blocks and
-   compared with all members. A group is a block of strays and a block of members, both of bounded size; it returns
-   links alone. New links give the final components.
+   held against all members. A group is a block of strays and a block of members, both of bounded size; it returns
+   links alone. Inside a group an index of each member's rarest shingles gives a stray its candidates: sets that are
+   similar enough share one of those, so pages of one template that are not linked are hardly ever compared. New links
+   give the final components.
 A pair with similarity s misses every bucket with probability about (1 - s^4)^32, 5e-6 at 0.75, the least that is
 linked; circulant coordinates are not quite independent, so a test measures the share of pairs that meet.
 """
@@ -32,6 +35,8 @@ from .hashing import WordHashes, mixed, runs
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 #: Shingles in one block of members.
 BLOCK_SHINGLES = 1_000_000
+#: Pairs of one bucket that are compared with one copy of the set of its least id.
+STAR_PAIRS = 1_000
 #: The largest n with 100 * n < PERCENT * (n + 1): sets of up to n shingles are linked with equal sets alone.
 MAX_EQUAL_ONLY = PERCENT // (100 - PERCENT) - (PERCENT % (100 - PERCENT) == 0)
 SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, bands binary"
@@ -135,9 +140,15 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * n >= PERCENT * (len(x) + len(y) - n)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
+def linked(multi: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (head, rep) of buckets whose full sets are similar enough. multi: head, rep and n, the bucket's members.
+    A head has parts for its largest bucket; a pair takes the part that rep has among those for its own bucket."""
+    parts = F.ceil(F.max("n") / STAR_PAIRS).cast("int")
+    pairs = multi.where("head < rep").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(parts.alias("parts"))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    heads = multi.groupBy(F.col("head").alias("a")).agg(parts.alias("parts")).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    heads = heads.select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(heads, ["a", "part"]).select("a", "b", "sa", "sb")
 
     @trimmed
     def run(batches):
@@ -165,6 +176,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def prefixes(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets after one another, n[k] shingles (numbers from 0) in set k: the set and the shingle of each entry of their
+    prefixes, and whether the entry is in the short prefix too. A prefix is a set's first shingles, those that fewest
+    sets have first. Similar enough sets have PERCENT of the larger in common and 2 * PERCENT / (100 + PERCENT) of the
+    smaller, so their rarest common shingle is in the prefix of the larger and in the short prefix of the smaller."""
+    own = np.repeat(np.arange(len(n)), n)
+    rank = np.empty(int(flat.max()) + 1, np.int64)
+    rank[np.argsort(np.bincount(flat), kind="stable")] = np.arange(len(rank))
+    order = np.lexsort((rank[flat], own))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    entry = place < (n + (-PERCENT * n) // 100 + 1)[own]
+    short = place < (n + (-2 * PERCENT * n) // (100 + PERCENT) + 1)[own]
+    return own[order[entry]], flat[order[entry]], short[entry]
+
+
+class Holders:
+    """For each shingle the sets that have it among the given entries."""
+
+    def __init__(self, shingle: np.ndarray, own: np.ndarray, size: int):
+        order = np.argsort(shingle, kind="stable")
+        self.own, self.begin = own[order], np.searchsorted(shingle[order], np.arange(size + 1))
+
+    def of(self, shingles: np.ndarray) -> list[np.ndarray]:
+        return [self.own[self.begin[t] : self.begin[t + 1]] for t in shingles]
+
+
 def cross_links(members: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between different components that share a bucket. members: key, band, rep, n_shingles, label, of buckets
     with several labels. Per bucket, strays (members outside its largest component) and all members are each dealt to
@@ -188,10 +225,15 @@ def cross_links(members: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFra
         _, flat = np.unique(np.concatenate(data), return_inverse=True)
         first = np.concatenate([[0], np.cumsum(n)])
         mark = np.zeros(int(flat.max()) + 1, np.bool_)
-        others = np.flatnonzero(~stray)
+        own, rare, short = prefixes(flat, n)
+        asked = np.searchsorted(own, np.arange(len(n) + 1))
+        member = ~stray[own]
+        as_larger, as_smaller = (Holders(rare[of], own[of], len(mark)) for of in (member, member & short))
         links = []
         for i in np.flatnonzero(stray):
-            rest = others[(label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
+            mine = slice(asked[i], asked[i + 1])
+            rest = np.unique(np.concatenate(as_smaller.of(rare[mine]) + as_larger.of(rare[mine][short[mine]])))
+            rest = rest[(label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))]
             if band:  # a pair is looked at in the first band that it shares
                 rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
             if not len(rest):
@@ -223,12 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
     reps = stored(real.join(classes, "set_hash").where("doc_id = rep").select("rep", "n_shingles", "set_hash", "bands").dropDuplicates(["rep", "set_hash"]), "reps")
     bands = banded(reps)
-    heads = bands.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").drop("last")
+    heads = bands.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count("*").alias("n")).where("head < last").drop("last")
     multi = stored(bands.join(heads, "key"), "buckets")
     sets = stored(set_table(of_ids(rows, multi.select(F.col("rep").alias("doc_id")).distinct(), "left_semi")), "sets")
-    star = stored(linked(multi.where("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), sets), "links")
+    star = stored(linked(multi, sets), "links")
     labels = components(star)
-    members = multi.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    members = multi.drop("n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     several = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     more = stored(cross_links(members.join(several, "key", "left_semi"), sets, reps), "links")
     texts = real.join(classes, "set_hash").select("doc_id", "rep")
