@@ -2,11 +2,11 @@
 
 Runs of words that repeat across documents at one length alone are extended to twice that length, level by level, until
 no candidate survives or the wanted length is reached. The levels' lengths are the wanted one halved until it is FIRST
-words or fewer: 25 and 50 for windows of 50 words, 25, 50, 100, 200 and 400 for 400. At the first level every document
-gives its anchors: of each wanted window, the run of that length inside it that has the least hash. At the next levels
-the run around it, of the level's length and inside the window, takes its place, and at the last level that is the
-window. Each choice depends on the window's words alone, so copies of a window meet at every level, and at windows of 50
-words only about one start in fourteen is shuffled first.
+words or fewer: 13, 25 and 50 for windows of 50 words, 13, 25, 50, 100, 200 and 400 for 400. A level holds one run for
+each wanted window that survived so far: at the first, of the runs inside it the one that has the least hash; at the
+next, the run around that one, of the level's length and inside the window; at the last, the window. Each choice depends
+on the window's words alone, so copies of a window meet at every level. Neighbouring windows mostly choose the same run,
+so at windows of 50 words about one start in twenty is shuffled at the first level.
 
 Identical texts are one class and take part once, as their least id. Hashes are 64-bit at the level before the last and
 again for the window, so a false repeat needs both to collide. Shuffled: 16 bytes an anchor or candidate, and a level's
@@ -27,7 +27,7 @@ from .hashing import WordHashes, runs
 
 WINDOW = 50
 #: Words at most of the first level's runs. Shorter runs are common to documents that share nothing else.
-FIRST = 25
+FIRST = 13
 #: Rows of a key beyond which it is joined by a broadcast; more where that would be 100,000 keys or over.
 HOT_ROWS = 10_000
 DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -144,8 +144,9 @@ def repeats(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """rows (doc_id, text) with `copy` (the text is that of a lesser id) and `starts` (of windows that a lesser id has)."""
     rows = rows.withColumn("th", F.xxhash64("text"))
     keyed = stored(rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "th", F.sha2("text", 256).alias("key")).distinct(), "keys")
-    least = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    copies = stored(keyed.join(least, "key").where("doc_id > rep").select("doc_id", "th", F.lit(True).alias("copy")), "copies")
+    least = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(on_keys(keyed, least, ["key"]).where("doc_id > rep").select("doc_id", "th", F.lit(True).alias("copy")), "copies")
+    dropped(keyed)
     few = copies.count() <= BROADCAST_IDS
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     own = known.join(F.broadcast(copies) if few else copies, ["doc_id", "th"], "left_anti")

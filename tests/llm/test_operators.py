@@ -203,7 +203,7 @@ def test_substring_dedup_by_brute_force(spark, docs, k, first):
 
 
 def test_substring_dedup_levels_end_where_nothing_survives(spark):
-    assert substring_dedup.lengths_of(50) == [25, 50] and substring_dedup.lengths_of(400) == [25, 50, 100, 200, 400] and substring_dedup.lengths_of(7, 1) == [1, 2, 4, 7] and substring_dedup.lengths_of(2) == [1, 2]
+    assert substring_dedup.lengths_of(50) == [13, 25, 50] and substring_dedup.lengths_of(400) == [13, 25, 50, 100, 200, 400] and substring_dedup.lengths_of(7, 1) == [1, 2, 4, 7] and substring_dedup.lengths_of(2) == [1, 2]
     word = lambda i, k: f"w{i}x{k}"
     shared = " ".join(word("s", k) for k in range(6))
     # runs of 6 words are common, no run of 12 or more is
