@@ -34,7 +34,12 @@ def postings(rows: DataFrame, id_col: str, parts: list[str], lists: tuple[str, .
     own = [_triples(F.coalesce(F.col(c), F.lit(""))) for c in parts]
     own += [F.flatten(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), _triples)) for c in lists]
     own += [F.when(F.length(c) > 0, F.array(F.concat(F.lit(WHOLE), F.col(c)))).otherwise(F.array().cast("array<string>")) for c in whole]
-    return rows.select(F.explode(F.array_distinct(F.concat(*own))).alias("triple"), F.col(id_col).alias("id")).distinct()
+    # Rows of one id are put together before triples are written out, so that no task holds its triples to find equal ones.
+    used = F.struct(*dict.fromkeys([*parts, *lists, *whole]))
+    per = rows.groupBy(F.col(id_col).alias("id")).agg(F.collect_set(used).alias("_r")).select("id", F.explode("_r").alias("_r"), (F.size("_r") > 1).alias("_more")).select("id", "_more", "_r.*")
+    found = per.select("id", "_more", F.array_distinct(F.concat(*own)).alias("_t"))
+    one = found.where("NOT _more").select(F.explode("_t").alias("triple"), "id")
+    return one.unionByName(found.where("_more").select(F.explode("_t").alias("triple"), "id").distinct())
 
 
 def write(found: DataFrame, path: str, files: int = 1) -> DataFrame:
