@@ -247,7 +247,7 @@ def _(spark, d):
     """Four builds against the stored baseline: whole, reduced, reduced again, whole."""
     team, member = A.team(spark, d), A.member(spark, d)
     bare = A.spells(spark, d, True).groupBy("team_id", "member_id").agg(F.sum("apps").alias("apps"), F.sum("goals").alias("goals"))
-    whole, reduced = gate.metrics(team, member, A.posting(spark, d)), gate.metrics(team.where("dissolved IS NULL"), member, bare)
+    whole, reduced = stages.stored(gate.metrics(team, member, A.posting(spark, d))), stages.stored(gate.metrics(team.where("dissolved IS NULL"), member, bare))  # a row each
     folder = stages.new_path(spark, "builds")
     found = [gate.against_stored(m, folder).withColumn("build", F.lit(k)) for k, m in enumerate((whole, reduced, reduced, whole), 1)]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).select("build", "check", "detail")
