@@ -450,7 +450,8 @@ def _hinted(spark, d):
     question = _question(events)
     posting = stages.stored(A.posting(spark, d))
     asked = F.broadcast(question.select("team_a", "team_b").distinct().limit(1000))  # 5 x 4 pairs
-    answer = stages.stored(puzzles._answers(spark, d, posting).withColumn("fame", pairs.digits(F.col("fame"), 4)).join(asked, ["team_a", "team_b"], "left_semi"))
+    teams = asked.select(F.explode(F.array("team_a", "team_b")).alias("team_id")).distinct()
+    answer = stages.stored(puzzles._answers(spark, d, posting, teams=teams).withColumn("fame", pairs.digits(F.col("fame"), 4)).join(asked, ["team_a", "team_b"], "left_semi"))
     return events, question, posting, answer, stages.stored(pairs.ranked(answer, 2))
 
 
