@@ -332,7 +332,8 @@ def _pair_sizes(spark, d, teams=None):
 SELECT team_a, team_b, n FROM ps SEMI JOIN good a ON a.team_id = team_a SEMI JOIN good b ON b.team_id = team_b ORDER BY md5(concat_ws('|', 'seed 7', team_a, team_b)), team_a, team_b LIMIT 1""")
 def _(spark, d):
     team, top = A.team(spark, d), gate.top_divisions(A.league(spark, d))
-    return schedule.random_pair(_pair_sizes(spark, d, schedule.askable(team, top)), team, top, "seed 7")
+    good = stages.stored(schedule.askable(team, top))
+    return schedule.random_pair(pairs.pair_counts(A.posting(spark, d, good)), team, top, "seed 7")
 
 
 @query("reveal", puzzles.ANSWERS + " SELECT team_a, team_b, member_id, rank, greatest(others + 1 - 10, 0) AS more FROM ranked WHERE rank <= 10")
